@@ -10,7 +10,11 @@ sets are compared exactly.
 Why no link is lost: the prefix of a set of n shingles are its
 ``n - ceil(t * n) + 1`` first ones in a global order. Two sets with likeness t
 or more share a shingle of both prefixes, so each finds the other's group; the
-union bound and the size bound never underestimate the likeness.
+union bound and the size bound never underestimate the likeness. Let u be the
+last prefix shingle of x or y, whichever comes first in the order. The larger
+set (or the other) shows its whole prefix up to u, so besides the c shared
+prefix shingles at most ``ceil(t * max(|x|, |y|)) - 1`` can be shared; a group
+that shares fewer prefix shingles with x than this leaves over is passed by.
 
 The global order puts frequent shingles last. Frequency comes from a count-min
 sketch over all documents; its errors change the order alike for every
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm import _sketch
-from statloom.llm._words import mix, shingle_set
+from statloom.llm._words import distinct, mix, shingle_set
 from statloom.plans.graph import connected_components
 from statloom.plans.lineage import cut, small
 
@@ -35,7 +39,9 @@ from statloom.plans.lineage import cut, small
 CELLS = 1 << 21
 #: Most members of a group block, and documents that one task holds against it.
 MEMBERS, QUERIES = 256, 512
-#: Candidate pairs that a sweeping task remembers to emit each once.
+#: Sizes within a group differ by about this factor.
+SIZES = 1.06
+#: Candidate pairs that a sweeping task counts before it passes them on.
 REMEMBERED = 500_000
 
 
@@ -44,13 +50,9 @@ def _need(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
-def _sizes(num: int, den: int, n: int) -> int:
-    """Size class: classes grow by den/num, so linked sets lie in one or two adjacent ones."""
-    return int(np.floor(np.log(n) / np.log(den / num) + 1e-9))
-
-
 def _links(left: np.ndarray, right: np.ndarray, num: int, den: int) -> bool:
-    both = len(np.intersect1d(left, right, assume_unique=True))
+    all_of = np.sort(np.concatenate((left, right)))
+    both = int((all_of[1:] == all_of[:-1]).sum())
     return den * both >= num * (len(left) + len(right) - both)
 
 
@@ -82,9 +84,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     spark = docs.sparkSession
 
     def count(cells: np.ndarray, batch: pd.DataFrame) -> None:
-        for text in batch["text"]:
-            s = shingle_set(text, words)
-            np.add.at(cells, s % np.uint64(CELLS), 1)
+        for i in range(0, len(batch), 1000):
+            found = np.concatenate([shingle_set(t, words) for t in batch["text"].iloc[i : i + 1000]])
+            cells += np.bincount((found % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(cells.dtype)
 
     cells = _sketch.merged(src.select("text"), CELLS, "uint32", count, _sketch.add)
     load = max(4.0, 4.0 * float(cells.mean()))
@@ -109,7 +111,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
                 if rank.any():
                     s = s[np.argsort(rank, kind="stable")]
                 prefix = s[:first].view(np.int64)
-                group = mix(s[:1], _sizes(num, den, n)).view(np.int64)[0]
+                group = mix(s[:1], int(np.log(n) / np.log(SIZES))).view(np.int64)[0]
                 k1, k2 = (np.add.reduce(mix(s, seed)).astype(np.uint64).view(np.int64) for seed in (11, 12))
                 out.append((doc_id, n, k1, k2, group, prefix))
             yield pd.DataFrame(out, columns=["doc_id", "n", "k1", "k2", "grp", "prefix"]).astype({"doc_id": "Int64", "k1": "Int64", "k2": "Int64", "grp": "Int64"})
@@ -120,64 +122,82 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     rows = one.select("k1", "n", "grp", F.explode("prefix").alias("tok"))
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        told: set = set()
-        tok, groups = None, {}  # groups of this token so far: sizes of members
+        counts: dict = {}
+        tok, groups = None, {}  # groups of this shingle so far: sizes of members, the member if there is one
+
+        def told() -> pd.DataFrame:
+            out = pd.DataFrame([(x, g, c) for (x, g), c in counts.items()], columns=["x", "grp", "c"])
+            counts.clear()
+            return out
+
         for batch in batches:
-            out = []
-            for t, g, x, n in zip(batch["tok"].to_numpy(), batch["grp"].to_numpy(), batch["k1"].to_numpy(), batch["n"].to_numpy()):
+            for t, g, x, n in zip(*(batch[c].tolist() for c in ("tok", "grp", "k1", "n"))):
                 if t != tok:
                     tok, groups = t, {}
                 for other, (low, high, alone) in groups.items():
                     if den * low >= num * n and num * high <= den * n or den * n >= num * low and num * n <= den * high:
-                        if (other != g or alone != x) and (x, other) not in told:
-                            told.add((x, other))
-                            out.append((x, other))
+                        if other != g or alone != x:
+                            counts[x, other] = counts.get((x, other), 0) + 1
                 low, high, alone = groups.get(g, (n, n, x))
                 groups[g] = (min(low, n), max(high, n), alone if alone == x else None)
-            if len(told) > REMEMBERED:
-                told.clear()
-            if out:
-                yield pd.DataFrame(out, columns=["x", "grp"])
+            if len(counts) > REMEMBERED:
+                yield told()
+        if counts:
+            yield told()
 
     dealt = rows.repartition("tok").sortWithinPartitions("tok", "grp", "k1")
-    pairs = cut(dealt.mapInPandas(sweep, "x long, grp long").distinct())
+    hits = dealt.mapInPandas(sweep, "x long, grp long, c long").groupBy("x", "grp").agg(F.sum("c").alias("c"))
+    groups = cut(nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")))
+    # the least size that fits and the largest need the fewest shared prefix shingles
+    ceil = lambda x: F.ceil(x - F.lit(1e-9))
+    fewest = lambda n, m: ceil((n + m) * num / (num + den)) - ceil(F.greatest(n, m) * num / den) + 1
+    low = F.greatest(F.col("low"), ceil(F.col("n") * num / den))
+    high = F.least(F.col("high"), F.floor(F.col("n") * den / num + F.lit(1e-9)))
+    sized = hits.join(groups, "grp").join(nodes.select(F.col("k1").alias("x"), "n"), "x")
+    pairs = cut(sized.where((low <= high) & (F.col("c") >= F.least(fewest(F.col("n"), low), fewest(F.col("n"), high)))).select("x", "grp"))
     asked = pairs.groupBy("grp").agg(F.count("*").alias("asks"))
-    blocks = nodes.groupBy("grp").agg(F.count("*").alias("members")).join(asked, "grp")
+    blocks = groups.join(asked, "grp")
     blocks = cut(blocks.select("grp", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks"), F.ceil(F.col("asks") / QUERIES).cast("int").alias("salts")))
     inside = nodes.join(blocks, "grp", "left_semi").select("k1", "rep")
     wanted = cut(inside.unionByName(pairs.select(F.col("x").alias("k1")).distinct().join(nodes.select("k1", "rep"), "k1")).distinct())
     texts = src.where("text is not null").join(small(wanted.select("k1", F.col("rep").alias("doc_id"))), "doc_id").dropDuplicates(["k1"])
     texts = cut(texts.select("k1", "text"))
     spread = lambda key, n: F.pmod(F.xxhash64(key, F.lit(7)), F.col(n)).cast("int")
-    held_by = nodes.select("k1", "grp").join(blocks, "grp").join(texts, "k1")
-    members = held_by.withColumn("block", spread("k1", "blocks")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    queries = pairs.withColumnRenamed("x", "k1").join(blocks, "grp").join(texts, "k1")
-    queries = queries.withColumn("salt", spread("k1", "salts")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held_by = nodes.select("k1", "grp").join(blocks, "grp").withColumn("block", spread("k1", "blocks"))
+    members = held_by.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("asks", F.lit(False))
+    queries = pairs.withColumnRenamed("x", "k1").join(blocks, "grp").withColumn("salt", spread("k1", "salts"))
+    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     key = ["grp", "block", "salt"]
+    both = members.select("k1", *key, "asks").unionByName(queries.select("k1", *key, "asks")).join(texts, "k1")
 
-    def opened(group: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        if not len(group) or not len(asks):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        inner = [(int(k), shingle_set(t, words)) for k, t in zip(group["k1"], group["text"])]
-        union = np.unique(np.concatenate([s for _, s in inner]))
-        least = min(len(s) for _, s in inner)
-        forest, out = _Forest(), []
-        for x, text in sorted(zip(asks["k1"], asks["text"])):
-            s = shingle_set(text, words)
-            at = np.minimum(np.searchsorted(union, s), len(union) - 1)
-            if int((union[at] == s).sum()) < _need(max(len(s), least), num, den):
-                continue
-            for y, t in inner:
-                if x == y or den * len(s) < num * len(t) or den * len(t) < num * len(s) or forest.root(x) == forest.root(y):
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, inner, union, least, forest = None, [], None, 0, _Forest()
+        for batch in batches:
+            out = []
+            for k, asks, text, *here in zip(batch["k1"].tolist(), batch["asks"].tolist(), batch["text"], *(batch[c].tolist() for c in key)):
+                if here != at:
+                    at, inner, union, forest = here, [], None, _Forest()
+                s = shingle_set(text, words)
+                if not asks:
+                    inner.append((k, s))
                     continue
-                if _links(s, t, num, den):
-                    forest.join(x, y)
-                    out.append((x, y))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    slim = ["k1", "text", *key]
-    asking = queries.select(*[F.col(c).alias(f"q_{c}") for c in slim]).toDF(*slim)
-    links = members.select(slim).groupBy(key).cogroup(asking.groupBy(key)).applyInPandas(opened, "a long, b long")
+                if union is None:
+                    union = distinct(np.concatenate([t for _, t in inner]))
+                    least = min(len(t) for _, t in inner)
+                place = np.minimum(np.searchsorted(union, s), len(union) - 1)
+                if int((union[place] == s).sum()) < _need(max(len(s), least), num, den):
+                    continue  # the group stays closed
+                for y, t in inner:
+                    if k == y or den * len(s) < num * len(t) or den * len(t) < num * len(s) or forest.root(k) == forest.root(y):
+                        continue
+                    if _links(s, t, num, den):
+                        forest.join(k, y)
+                        out.append((k, y))
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    sorted_in = both.repartition(*key).sortWithinPartitions(*key, "asks", "k1")
+    links = cut(sorted_in.mapInPandas(opened, "a long, b long"))
     ids = nodes.select("k1", "rep")
     edges = links.join(ids.select(F.col("k1").alias("a"), F.col("rep").alias("src")), "a").join(ids.select(F.col("k1").alias("b"), F.col("rep").alias("dst")), "b")
     comps = cut(connected_components(edges))

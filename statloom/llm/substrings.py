@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm import _sketch
-from statloom.llm._words import grams, hashes, mix, windows, words
+from statloom.llm._words import distinct, grams, hashes, mix, windows, words
 from statloom.plans.lineage import cut, small
 
 #: Words of the runs that anchors are chosen from.
@@ -66,7 +66,7 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
         for batch in batches:
             out = []
             for doc_id, text, tag in zip(batch["doc_id"], batch["text"], batch["tag"]):
-                h = hashes(words(text))
+                h = hashes(text)
                 s = [int(np.add.reduce(mix(h, k) * (2 * np.arange(len(h), dtype=np.uint64) + np.uint64(1)), dtype=np.uint64).astype(np.int64)) for k in (31, 32)]
                 out.append((doc_id, tag, len(h), *s))
             yield pd.DataFrame(out, columns=["doc_id", "tag", "n_words", "s1", "s2"])
@@ -83,9 +83,9 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
 
     def count(own: np.ndarray, batch: pd.DataFrame) -> None:
         for text in batch["text"]:
-            a = np.unique(_anchors(hashes(words(text)), span))
+            a = distinct(_anchors(hashes(text), span))
             for row in range(DEPTH):
-                at = np.unique(_cell(a, row, cells))
+                at = distinct(_cell(a, row, cells))
                 own[at] = np.minimum(own[at] + 1, 2)
 
     seen = _sketch.merged(sole.select("text"), DEPTH * cells, "uint8", count, _sketch.saturate)
@@ -100,7 +100,7 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
         for batch in batches:
             out = []
             for doc_id, text, tag in zip(batch["doc_id"].to_numpy(), batch["text"], batch["tag"].to_numpy()):
-                h = hashes(words(text))
+                h = hashes(text)
                 a = _anchors(h, span)
                 if not len(a):
                     continue
@@ -147,7 +147,7 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
                 start = np.zeros(len(w) + 1, dtype=bool)
                 for first, n in np.asarray(run).reshape(-1, 2):
                     start[first : first + n] = True
-                hit = windows(hashes(w), span, 41)
+                hit = windows(hashes(text), span, 41)
                 start = np.isin(hit, hit[np.flatnonzero(start[: len(hit)])])  # every start of these windows here
                 edge = np.zeros(len(w) + 1, dtype=np.int32)
                 edge[: len(start)] += start
