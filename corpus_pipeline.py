@@ -1,34 +1,75 @@
-"""A training-data pipeline over ``documents``."""
+"""A training-data pipeline over ``documents``: classify, deduplicate, mix, pack.
+
+Each stage works on all its predecessor kept; stages are written as Parquet in
+between. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statloom.llm import queries as q
 from statloom.llm.jaccard import keep_first_of_group
+from statloom.llm.mixing import mix
+from statloom.llm.packing import pack
+from statloom.llm.quality import score, train
 from statloom.llm.substrings import remove_repeats
+from statloom.plans.lineage import cut
+
+#: Share of the words that pass the earlier stages which the mixture keeps.
+SHARE = 0.8
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (score under 0.7) go."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model, at=0.7).where("predicted = 1").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, likeness 0.8 or more."""
-    return keep_first_of_group(docs)
+    return keep_first_of_group(docs, words=5, num=80, den=100)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words inside 50-word windows seen in a smaller doc_id go; emptied documents too."""
-    out = remove_repeats(docs)
-    out = out.where("n_removed = 0 or n_removed < n_words")
-    return out
+    """Words of 50-word windows seen in a smaller doc_id go, and documents that lose all.
+
+    A document that loses nothing keeps its text as it is.
+    """
+    done = remove_repeats(docs, span=50)
+    changed = done.where("n_removed = 0 or n_removed < n_words")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return changed.withColumn("n_chars", n_chars).withColumn("text", text).select(docs.columns)
 
 
-STAGES = [("near duplicates", near_duplicates), ("substring dedup", repeated_substrings)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents up to the budgets of domains, languages and sources, each once."""
+    return mix(docs, q.mix_levels(), q.MIX_WEIGHTS, SHARE, epochs=1, seed=q.MIX_SEED).where("copies > 0").select(docs.columns)
 
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of at most 2048 ids."""
+    out = pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram jaccard join", near_duplicates),
+    ("substring dedup", repeated_substrings),
+    ("mixing", mixture),
+    ("packing", packing),
+]
+
+#: Learned rules and a tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from statloom.plans.lineage import cut
-
+    """All stages applied to the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))

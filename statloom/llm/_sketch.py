@@ -17,13 +17,28 @@ def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add(a, b, out=a)
 
 
-def saturate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Counts of 0, 1 and 2; two or more are one value."""
-    return np.minimum(np.add(a, b, out=a), 2, out=a)
+def either(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Merges bit planes (rows, once or twice, bytes): a cell is met twice if either side did or both met it."""
+    met = np.bitwise_and(a[:, 0], b[:, 0])
+    np.bitwise_or(a, b, out=a)
+    np.bitwise_or(a[:, 1], met, out=a[:, 1])
+    return a
+
+
+def meet(planes: np.ndarray, row: int, cells: np.ndarray) -> None:
+    """Counts each of the cells of one row once."""
+    at, bit = (cells >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cells & np.uint64(7)).astype(np.uint8)
+    np.bitwise_or.at(planes[row, 1], at, planes[row, 0, at] & bit)
+    np.bitwise_or.at(planes[row, 0], at, bit)
+
+
+def has(plane: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Which of the cells a bit plane holds."""
+    return (plane[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def pack(cells: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(cells.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(cells).data)
 
 
 def unpack(blob: bytes, dtype) -> np.ndarray:
@@ -32,20 +47,20 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
 
 def merged(
     df: DataFrame,
-    cells: int,
+    shape: int | tuple[int, ...],
     dtype: str,
     count: Callable[[np.ndarray, pd.DataFrame], None],
     combine: Callable[[np.ndarray, np.ndarray], np.ndarray],
 ) -> np.ndarray:
     """The merged sketch of all rows: ``count`` adds a batch to a partition's cells.
 
-    Every partition makes one array of ``cells``; up to MERGERS tasks merge
-    them one by one, and the driver holds two arrays at a time. ``cells`` is a
+    Every partition makes one array of ``shape``; up to MERGERS tasks merge
+    them one by one, and the driver holds two arrays at a time. ``shape`` is a
     fixed bound, so nothing here grows with the rows.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = np.zeros(cells, dtype=dtype)
+        own = np.zeros(shape, dtype=dtype)
         for batch in batches:
             count(own, batch)
         yield pd.DataFrame({"blob": [pack(own)]})
@@ -54,12 +69,12 @@ def merged(
         own = None
         for batch in batches:
             for blob in batch["blob"]:
-                own = unpack(blob, dtype) if own is None else combine(own, unpack(blob, dtype))
+                own = unpack(blob, dtype).reshape(shape) if own is None else combine(own, unpack(blob, dtype).reshape(shape))
         if own is not None:
             yield pd.DataFrame({"blob": [pack(own)]})
 
-    total = np.zeros(cells, dtype=dtype)
+    total = np.zeros(shape, dtype=dtype)
     parts = df.mapInPandas(partial, "blob binary").repartition(MERGERS).mapInPandas(merge, "blob binary")
-    for row in parts.toLocalIterator():
-        total = combine(total, unpack(bytes(row.blob), dtype))
+    for row in parts.collect():  # at most MERGERS compressed arrays
+        total = combine(total, unpack(bytes(row.blob), dtype).reshape(shape))
     return total

@@ -42,7 +42,7 @@ MEMBERS, QUERIES = 256, 512
 #: Sizes within a group differ by about this factor.
 SIZES = 1.06
 #: Candidate pairs that a sweeping task counts before it passes them on.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 def _need(n: int, num: int, den: int) -> int:
@@ -126,7 +126,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         tok, groups = None, {}  # groups of this shingle so far: sizes of members, the member if there is one
 
         def told() -> pd.DataFrame:
-            out = pd.DataFrame([(x, g, c) for (x, g), c in counts.items()], columns=["x", "grp", "c"])
+            keys = np.array(list(counts), dtype=np.int64).reshape(-1, 2)
+            out = pd.DataFrame({"x": keys[:, 0], "grp": keys[:, 1], "c": np.fromiter(counts.values(), dtype=np.int64, count=len(counts))})
             counts.clear()
             return out
 
@@ -135,7 +136,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
                 if t != tok:
                     tok, groups = t, {}
                 for other, (low, high, alone) in groups.items():
-                    if den * low >= num * n and num * high <= den * n or den * n >= num * low and num * n <= den * high:
+                    if den * n >= num * low and num * n <= den * high:
                         if other != g or alone != x:
                             counts[x, other] = counts.get((x, other), 0) + 1
                 low, high, alone = groups.get(g, (n, n, x))
@@ -160,7 +161,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     blocks = cut(blocks.select("grp", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks"), F.ceil(F.col("asks") / QUERIES).cast("int").alias("salts")))
     inside = nodes.join(blocks, "grp", "left_semi").select("k1", "rep")
     wanted = cut(inside.unionByName(pairs.select(F.col("x").alias("k1")).distinct().join(nodes.select("k1", "rep"), "k1")).distinct())
-    texts = src.where("text is not null").join(small(wanted.select("k1", F.col("rep").alias("doc_id"))), "doc_id").dropDuplicates(["k1"])
+    texts = src.where("text is not null").join(small(wanted.select("k1", F.col("rep").alias("doc_id"))), "doc_id")
     texts = cut(texts.select("k1", "text"))
     spread = lambda key, n: F.pmod(F.xxhash64(key, F.lit(7)), F.col(n)).cast("int")
     held_by = nodes.select("k1", "grp").join(blocks, "grp").withColumn("block", spread("k1", "blocks"))

@@ -119,12 +119,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
             next_id += 1
 
         def flush() -> pd.DataFrame:
-            made = pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            made = pd.DataFrame(out, columns=names)
             out.clear()
             return made
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 ids = (ids_of.of(text) if text else b"") + end
                 at, total = 0, len(ids) // 4
                 for length, k in cuts(total, capacity):
@@ -151,5 +151,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
         if out:
             yield flush()
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInPandas(task, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    # ids travel as text: pandas would make longs with nulls floats
+    src = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = src.mapInPandas(task, "doc_id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))

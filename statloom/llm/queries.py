@@ -10,6 +10,91 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Parameters of the registered queries; tests reuse them.
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+DOMAINS = ("web", "books", "code")
+MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1, "*": 1}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.5, 2, 42
+
+
+def mix_levels() -> dict:
+    """Domain (by the source's number), language, source."""
+    number = F.coalesce(F.regexp_extract("source", r"([0-9]+)$", 1).try_cast("long"), F.lit(0))
+    domain = F.when(number % 3 == 0, DOMAINS[0]).when(number % 3 == 1, DOMAINS[1]).otherwise(DOMAINS[2])
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.fingerprints import edited_pairs, resemblance
+
+    out = edited_pairs(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
+        F.array_join("sketch", "").alias("fingerprint"),
+        F.array_join("edited_sketch", "").alias("edited_fingerprint"),
+        resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.quality import held_out, score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.html import extract
+
+    return extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.mixing import mix
+
+    levels = mix_levels()
+    out = mix(_table(spark, sf_dir, "documents"), levels, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+    return out.select("doc_id", levels["domain"].alias("domain"), "lang", "source", "tokens", "copies")
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.neighbours import search
+
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, top=5)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from statloom.llm.packing import pack
+
+    out = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.licences import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.urls import judge
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge(_table(spark, sf_dir, "pages"), rules)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from statloom.llm.jaccard import jaccard_components
 
@@ -26,6 +111,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_document_fingerprints,
+        op2_quality_classifier,
+        op3_html_extraction,
+        op4_mix_sources,
+        op5_nearest_neighbours,
+        op6_packing,
+        op7_licence_scan,
+        op8_url_filter,
         op9_ngram_jaccard_join,
         op10_substring_dedup,
     )

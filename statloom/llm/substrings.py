@@ -27,7 +27,7 @@ from statloom.plans.lineage import cut, small
 
 #: Words of the runs that anchors are chosen from.
 GRAM = 8
-#: Rows of the sketch, and its least and most cells a row (one byte each).
+#: Rows of the sketch, and its least and most cells a row (two bits each: met once, met again).
 DEPTH, LEAST_CELLS, MOST_CELLS = 2, 1 << 18, 1 << 26
 
 
@@ -39,7 +39,7 @@ def _anchors(h: np.ndarray, span: int) -> np.ndarray:
 
 
 def _cell(anchors: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return mix(anchors, 21 + row) % np.uint64(cells) + np.uint64(row * cells)
+    return mix(anchors, 21 + row) % np.uint64(cells)
 
 
 def _cells_for(n_words: int, span: int) -> int:
@@ -49,7 +49,7 @@ def _cells_for(n_words: int, span: int) -> int:
 
 
 def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
-    """``doc_id, text, n_words, n_removed, kept`` for every row of ``docs``.
+    """``docs`` with ``n_words, n_removed, kept`` for every row.
 
     A word goes if a window covers it whose words also start in a document with
     a smaller doc_id; windows are those of the input. ``kept`` are the words
@@ -57,7 +57,8 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
     empty string; texts of fewer than ``span`` words keep all words. Copies
     within one document, and rows that repeat a doc_id, are no smaller
     document, so they remove nothing. Rows with a null doc_id are neither
-    judged nor a source for others. Other columns are ignored.
+    judged nor a source for others. Other columns stay; those of the three new
+    names are replaced.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tag"))
     spark = docs.sparkSession
@@ -85,18 +86,17 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
         for text in batch["text"]:
             a = distinct(_anchors(hashes(text), span))
             for row in range(DEPTH):
-                at = distinct(_cell(a, row, cells))
-                own[at] = np.minimum(own[at] + 1, 2)
+                _sketch.meet(own, row, distinct(_cell(a, row, cells)))
 
-    seen = _sketch.merged(sole.select("text"), DEPTH * cells, "uint8", count, _sketch.saturate)
-    repeated = spark.sparkContext.broadcast(_sketch.pack(np.packbits(seen >= 2)))
+    seen = _sketch.merged(sole.select("text"), (DEPTH, 2, cells // 8), "uint8", count, _sketch.either)
+    repeated = spark.sparkContext.broadcast(_sketch.pack(seen[:, 1]))
     del seen
     held: dict = {}
 
     def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = held.get("bits")
         if bits is None:
-            bits = held["bits"] = _sketch.unpack(repeated.value, "uint8")
+            bits = held["bits"] = _sketch.unpack(repeated.value, "uint8").reshape(DEPTH, -1)
         for batch in batches:
             out = []
             for doc_id, text, tag in zip(batch["doc_id"].to_numpy(), batch["text"], batch["tag"].to_numpy()):
@@ -106,8 +106,7 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
                     continue
                 ok = np.ones(len(a), dtype=bool)
                 for row in range(DEPTH):
-                    at = _cell(a, row, cells)
-                    ok &= (bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                    ok &= _sketch.has(bits[row], _cell(a, row, cells))
                 pos = np.flatnonzero(ok)
                 if not len(pos):
                     continue
@@ -136,27 +135,29 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
 
     runs = cut(starts.mapInPandas(to_runs, "doc_id long, tag long, runs array<int>").unionByName(whole))
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text, run in zip(batch["text"], batch["runs"]):
-                w = words(text)
-                if run is None or not len(w):
-                    rows.append((len(w), 0, b" ".join(w).decode("utf-8", "surrogatepass")))
-                    continue
-                start = np.zeros(len(w) + 1, dtype=bool)
-                for first, n in np.asarray(run).reshape(-1, 2):
-                    start[first : first + n] = True
-                hit = windows(hashes(text), span, 41)
-                start = np.isin(hit, hit[np.flatnonzero(start[: len(hit)])])  # every start of these windows here
-                edge = np.zeros(len(w) + 1, dtype=np.int32)
-                edge[: len(start)] += start
-                edge[span : span + len(start)] -= start
-                stay = np.cumsum(edge)[: len(w)] == 0
-                kept = b" ".join([x for x, s in zip(w, stay) if s])
-                rows.append((len(w), len(w) - int(stay.sum()), kept.decode("utf-8", "surrogatepass")))
-            n, gone, kept = zip(*rows) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": batch["text"], "n_words": n, "n_removed": gone, "kept": kept})
-
-    judged = src.join(small(runs), ["doc_id", "tag"], "left").select("doc_id", "text", "runs")
-    return judged.mapInPandas(keep, "doc_id long, text string, n_words long, n_removed long, kept string")
+    @F.pandas_udf("n_words long, n_removed long, kept string")
+    def keep(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, run in zip(texts, found):
+            w = words(text)
+            if run is None or not len(w):
+                rows.append((len(w), 0, b" ".join(w).decode("utf-8", "surrogatepass")))
+                continue
+            start = np.zeros(len(w) + 1, dtype=bool)
+            for first, n in np.asarray(run).reshape(-1, 2):
+                start[first : first + n] = True
+            hit = windows(hashes(text), span, 41)
+            start = np.isin(hit, hit[np.flatnonzero(start[: len(hit)])])  # every start of these windows here
+            edge = np.zeros(len(w) + 1, dtype=np.int32)
+            edge[: len(start)] += start
+            edge[span : span + len(start)] -= start
+            stay = np.cumsum(edge)[: len(w)] == 0
+            kept = b" ".join([x for x, s in zip(w, stay) if s])
+            rows.append((len(w), len(w) - int(stay.sum()), kept.decode("utf-8", "surrogatepass")))
+        return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
+
+    own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
+    tagged = docs.select(*own, F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__tag"))
+    runs = small(runs.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("runs").alias("__runs")))
+    judged = tagged.join(runs, ["__id", "__tag"], "left").select(*own, keep(F.col("text").cast("string"), "__runs").alias("__made"))
+    return judged.select(*own, "__made.n_words", "__made.n_removed", "__made.kept")
