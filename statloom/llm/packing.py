@@ -15,9 +15,12 @@ last of these are cut to powers of two, which need no padding.
 from __future__ import annotations
 
 import functools
+import gc
+import struct
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,10 +28,15 @@ from pyspark.sql import functions as F
 
 #: A last piece may leave this share of its place empty.
 SLACK = 128
-#: Words with remembered ids, in each of two generations.
-REMEMBERED = 300_000
-#: Words handed to the tokenizer at a time.
-BATCH = 4096
+#: Words with remembered ids, in each of two generations (and cores of words).
+REMEMBERED = 350_000
+#: Pieces handed on, and plain words joined for the tokenizer, at a time.
+BATCH, LOT = 4096, 256
+#: Characters of the texts tokenized together.
+CHARS = 1 << 20
+# White space between words, and signs that end a word.
+SPACES = "\t\n\r\x0b\x0c"
+TAILS = ".,;:!?*&%$#|)]}"
 
 
 @functools.lru_cache(maxsize=4)
@@ -40,40 +48,71 @@ def _tokenizer(path: str):
     return made
 
 
+@functools.lru_cache(maxsize=4)
+def _ends(path: str) -> np.ndarray:
+    """Which ids end a word; none if the vocabulary has no mark for it."""
+    made = _tokenizer(path)
+    suffix = getattr(made.model, "end_of_word_suffix", None)
+    out = np.zeros(made.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
+    if suffix:
+        out[[i for word, i in made.get_vocab(with_added_tokens=False).items() if word.endswith(suffix)]] = True
+    return out
+
+
 class WordIds:
     """Ids of whole texts by remembering those of words between ASCII white space.
 
-    For tokenizers that drop white space and never merge across it, which is
-    checked against the tokenizer itself in the tests.
+    For tokenizers that lower-case, drop white space, and never join letters or
+    digits with other signs (contractions apart), which is checked against the
+    tokenizer itself in the tests. A word that ends in signs is put together
+    from its core and its tail, an ASCII core is looked up in lower case.
     """
 
     def __init__(self, path: str) -> None:
-        self.path, self.new, self.old = path, {}, {}
-
-    def learn(self, unknown: list[str]) -> None:
-        made = _tokenizer(self.path)
-        for i in range(0, len(unknown), BATCH):
-            some = unknown[i : i + BATCH]
-            for word, got in zip(some, made.encode_batch_fast(some, add_special_tokens=False)):
-                self.new[word] = b"".join([x.to_bytes(4, "little") for x in got.ids])
-
-    def of(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        split = text.replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")
+        self.path, self.new, self.old, self.cores = path, {}, {}, {}
+
+    def learn(self, unknown: set[str]) -> None:
+        """Remembers the ids of unknown words, tokenizing each core once."""
+        if len(self.cores) > REMEMBERED:
+            self.cores = {}
+        cores, parted = self.cores, []
+        for word in unknown:
+            core = word.rstrip(TAILS)
+            tail = word[len(core) :]
+            if not (core and core[-1].isalnum()):
+                core, tail = word, ""
+            parted.append((word, core.lower() if core.isascii() else core, tail))
+        ask = sorted({x for _, core, tail in parted for x in (core, tail) if x not in cores})
+        made, ends = _tokenizer(self.path), _ends(self.path)
+        plain = [x for x in ask if x.isalpha()]  # one word each, so the ids tell where each ends
+        lots = [plain[i : i + LOT] for i in range(0, len(plain), LOT)]
+        rest = [x for x in ask if not x.isalpha()]
+        for lot, got in zip(lots, made.encode_batch_fast([" ".join(lot) for lot in lots], add_special_tokens=False)):
+            ids = np.array(got.ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            if len(stops) != len(lot):
+                rest += lot
+                continue
+            raw, at = ids.tobytes(), 0
+            for word, stop in zip(lot, stops):
+                cores[word] = raw[at:stop]
+                at = stop
+        for word, got in zip(rest, made.encode_batch_fast(rest, add_special_tokens=False)):
+            cores[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+        for word, core, tail in parted:
+            self.new[word] = cores[core] + cores[tail] if tail else cores[core]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        split = [functools.reduce(lambda x, c: x.replace(c, " "), SPACES, t).split(" ") for t in texts]
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
-        try:
-            return b"".join(map(self.new.__getitem__, split))
-        except KeyError:
-            new, old, unknown = self.new, self.old, []
-            for word in set(split):
-                if word not in new:
-                    if word in old:
-                        new[word] = old[word]
-                    else:
-                        unknown.append(word)
-            self.learn(sorted(unknown))
-            return b"".join(map(self.new.__getitem__, split))
+        new, old = self.new, self.old
+        missing = set().union(*split).difference(new)
+        for word in missing.intersection(old):
+            new[word] = old[word]
+        self.learn(missing.difference(new))
+        return [b"".join(map(new.__getitem__, words)) for words in split]
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -103,6 +142,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gc.disable()  # millions of words without a cycle among them
         ids_of = WordIds(tokenizer)
         end = end_id.to_bytes(4, "little")
         next_id = TaskContext.get().partitionId() << 40
@@ -123,18 +163,28 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
             out.clear()
             return made
 
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = (ids_of.of(text) if text else b"") + end
-                at, total = 0, len(ids) // 4
-                for length, k in cuts(total, capacity):
-                    held = open_bins.setdefault(k, [])
-                    held.append((doc_id, at, ids[4 * at : 4 * (at + length)], total))
-                    at += length
-                    if len(held) == k:
-                        emit(open_bins.pop(k))
-                if len(out) >= BATCH:
-                    yield flush()
+        def tokenized() -> Iterator[tuple]:
+            for batch in batches:
+                some, size = [], 0
+                for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                    some.append((doc_id, text or ""))
+                    size += len(some[-1][1])
+                    if size >= CHARS:
+                        yield from zip([d for d, _ in some], ids_of.of([t for _, t in some]))
+                        some, size = [], 0
+                yield from zip([d for d, _ in some], ids_of.of([t for _, t in some]))
+
+        for doc_id, ids in tokenized():
+            ids += end
+            at, total = 0, len(ids) // 4
+            for length, k in cuts(total, capacity):
+                held = open_bins.setdefault(k, [])
+                held.append((doc_id, at, ids[4 * at : 4 * (at + length)], total))
+                at += length
+                if len(held) == k:
+                    emit(open_bins.pop(k))
+            if len(out) >= BATCH:
+                yield flush()
         rest = deque(piece for k in sorted(open_bins) for piece in open_bins[k])
         left = sum(len(ids) // 4 for _, _, ids, _ in rest)
         room = [capacity] * (left // capacity) + [1 << b for b in reversed(range(capacity.bit_length())) if left % capacity >> b & 1]
