@@ -1,6 +1,8 @@
-"""The registered queries of the core library and their DuckDB equivalents."""
+"""All registered queries of the core library."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from statloom import queries_data, queries_models, queries_text, queries_vectors  # noqa: F401  they register themselves
+from statloom.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
