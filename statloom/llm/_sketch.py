@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 MERGERS = 16
 
 
-def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def add_to_top(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Adds unsigned counts; what would run over stays at the top."""
+    room = np.iinfo(a.dtype).max - b
+    np.minimum(a, room, out=a)
     return np.add(a, b, out=a)
 
 

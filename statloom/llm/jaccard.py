@@ -1,7 +1,8 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with similar shingle sets form groups (they share the rarest shingle
-of their prefix and the size class). The matrix holds, for each shingle, the
+Documents with similar shingle sets form groups: each document asks one leader
+that shares its rarest shingles, and those that link form a group (other
+documents are groups of one). The matrix holds, for each shingle, the
 groups with a member that has it in its prefix; a document's own prefix selects
 candidate groups. A group is opened only if the document's overlap with the
 union of the group's shingles can reach the threshold, and then the members'
@@ -35,12 +36,12 @@ from statloom.llm._words import distinct, mix, shingle_set
 from statloom.plans.graph import connected_components
 from statloom.plans.lineage import cut, small
 
-#: Cells of the frequency sketch (32-bit counts).
-CELLS = 1 << 21
+#: Least and most cells of the frequency sketch (16-bit counts that stop at the top).
+LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 24
+#: First prefix shingles by which a document finds one leader to link to.
+LEADING = 8
 #: Most members of a group block, and documents that one task holds against it.
 MEMBERS, QUERIES = 256, 512
-#: Sizes within a group differ by about this factor.
-SIZES = 1.06
 #: Candidate pairs that a sweeping task counts before it passes them on.
 REMEMBERED = 100_000
 
@@ -70,6 +71,62 @@ class _Forest:
         self.up[self.root(x)] = self.root(y)
 
 
+class _Opener:
+    """Opens groups for the documents that ask: exact links of (x, group) pairs."""
+
+    def __init__(self, src: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> None:
+        self.src, self.nodes, self.words, self.num, self.den = src, nodes, words, num, den
+
+    def __call__(self, pairs: DataFrame, grouped: DataFrame) -> DataFrame:
+        """``a, b``: links that connect all that link between each x and the members of its groups.
+
+        A group's members lie in blocks, the documents that ask for it are
+        spread over tasks; each task holds one block.
+        """
+        src, nodes, words, num, den = self.src, self.nodes, self.words, self.num, self.den
+        asked = pairs.groupBy("grp").agg(F.count("*").alias("asks"))
+        held = grouped.join(asked.select("grp"), "grp", "left_semi").groupBy("grp").agg(F.count("*").alias("members"))
+        blocks = cut(held.join(asked, "grp").select("grp", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks"), F.ceil(F.col("asks") / QUERIES).cast("int").alias("salts")))
+        spread = lambda key, n: F.pmod(F.xxhash64(key, F.lit(7)), F.col(n)).cast("int")
+        members = grouped.join(blocks, "grp").withColumn("block", spread("k1", "blocks"))
+        members = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("asks", F.lit(False))
+        queries = pairs.withColumnRenamed("x", "k1").join(blocks, "grp").withColumn("salt", spread("k1", "salts"))
+        queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+        key = ["grp", "block", "salt"]
+        both = cut(members.select("k1", *key, "asks").unionByName(queries.select("k1", *key, "asks")))
+        wanted = cut(both.select("k1").distinct().join(nodes.select("k1", F.col("rep").alias("doc_id")), "k1"))
+        texts = cut(src.where("text is not null").join(small(wanted), "doc_id").select("k1", "text"))
+
+        def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, inner, union, least, forest = None, [], None, 0, _Forest()
+            for batch in batches:
+                out = []
+                for k, asks, text, *here in zip(batch["k1"].tolist(), batch["asks"].tolist(), batch["text"], *(batch[c].tolist() for c in key)):
+                    if here != at:
+                        at, inner, union, forest = here, [], None, _Forest()
+                    s = shingle_set(text, words)
+                    if not asks:
+                        inner.append((k, s))
+                        continue
+                    if union is None:
+                        union = distinct(np.concatenate([t for _, t in inner]))
+                        least = min(len(t) for _, t in inner)
+                    place = np.minimum(np.searchsorted(union, s), len(union) - 1)
+                    if int((union[place] == s).sum()) < _need(max(len(s), least), num, den):
+                        continue  # the group stays closed
+                    for y, t in inner:
+                        if k == y or den * len(s) < num * len(t) or den * len(t) < num * len(s) or forest.root(k) == forest.root(y):
+                            continue
+                        if _links(s, t, num, den):
+                            forest.join(k, y)
+                            out.append((k, y))
+                if out:
+                    yield pd.DataFrame(out, columns=["a", "b"])
+
+        rows = both.join(texts, "k1").repartition(*key).sortWithinPartitions(*key, "asks", "k1")
+        return cut(rows.mapInPandas(opened, "a long, b long"))
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
@@ -83,15 +140,24 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
 
-    def count(cells: np.ndarray, batch: pd.DataFrame) -> None:
-        for i in range(0, len(batch), 1000):
-            found = np.concatenate([shingle_set(t, words) for t in batch["text"].iloc[i : i + 1000]])
-            cells += np.bincount((found % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(cells.dtype)
-
-    cells = _sketch.merged(src.select("text"), CELLS, "uint32", count, _sketch.add)
-    load = max(4.0, 4.0 * float(cells.mean()))
-    levels = np.floor(np.log2(np.maximum(cells / load, 1.0))).astype(np.uint8)
+    size = src.agg(F.sum(F.length("text"))).first()[0] or 0
+    cells = int(min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // 32).bit_length())))
+
+    def count(own: np.ndarray, batch: pd.DataFrame) -> None:
+        for i in range(0, len(batch), 200):
+            found = np.sort(np.concatenate([shingle_set(t, words) % np.uint64(cells) for t in batch["text"].iloc[i : i + 200]]))
+            at = np.flatnonzero(np.diff(found, prepend=found[:1] + np.uint64(1))) if len(found) else found
+            n = np.diff(np.append(at, len(found)))
+            own[found[at]] = np.minimum(own[found[at]] + n, 65_535)
+
+    counts = _sketch.merged(src.select("text"), cells, "uint16", count, _sketch.add_to_top)
+    load = max(4.0, 4.0 * float(counts.mean()))
+    levels = np.zeros(cells, dtype=np.uint8)
+    for at in range(0, cells, 1 << 20):
+        levels[at : at + (1 << 20)] = np.floor(np.log2(np.maximum(counts[at : at + (1 << 20)] / load, 1.0)))
+    del counts
     order = spark.sparkContext.broadcast(_sketch.pack(levels))
+    del levels
     held: dict = {}
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,26 +170,48 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
                 s = shingle_set(text, words)
                 n = len(s)
                 if not n:
-                    out.append((doc_id, 0, None, None, None, None))
+                    out.append((doc_id, 0, None, None, None))
                     continue
                 first = n - _need(n, num, den) + 1
-                rank = level[s % np.uint64(CELLS)]
+                rank = level[s % np.uint64(cells)]
                 if rank.any():
                     s = s[np.argsort(rank, kind="stable")]
                 prefix = s[:first].view(np.int64)
-                group = mix(s[:1], int(np.log(n) / np.log(SIZES))).view(np.int64)[0]
                 k1, k2 = (np.add.reduce(mix(s, seed)).astype(np.uint64).view(np.int64) for seed in (11, 12))
-                out.append((doc_id, n, k1, k2, group, prefix))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "k1", "k2", "grp", "prefix"]).astype({"doc_id": "Int64", "k1": "Int64", "k2": "Int64", "grp": "Int64"})
+                out.append((doc_id, n, k1, k2, prefix))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "k1", "k2", "prefix"]).astype({"k1": "Int64", "k2": "Int64"})
 
-    sets = cut(src.mapInPandas(prefixes, "doc_id long, n long, k1 long, k2 long, grp long, prefix array<long>"))
-    nodes = cut(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("grp").alias("grp")))
+    # ids travel as text: pandas would make longs with nulls floats
+    made = src.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(prefixes, "doc_id string, n long, k1 long, k2 long, prefix array<long>")
+    sets = cut(made.withColumn("doc_id", F.col("doc_id").cast("long")))
+    nodes = cut(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
     one = sets.where("n > 0").join(nodes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
-    rows = one.select("k1", "n", "grp", F.explode("prefix").alias("tok"))
+
+    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tok, first = None, None
+        for batch in batches:
+            out = []
+            for t, x, n in zip(*(batch[c].tolist() for c in ("tok", "k1", "n"))):
+                if t != tok:
+                    tok, first = t, (x, n)
+                elif x != first[0] and den * first[1] >= num * n and den * n >= num * first[1]:
+                    out.append((x, first[0]))
+            if out:
+                yield pd.DataFrame(out, columns=["x", "grp"])
+
+    # each document asks one leader: the first document of most of its leading shingles
+    leading = one.select("k1", "n", F.explode(F.slice("prefix", 1, LEADING)).alias("tok"))
+    stars = leading.repartition("tok").sortWithinPartitions("tok", "k1").mapInPandas(lead, "x long, grp long")
+    stars = stars.groupBy("x", "grp").agg(F.count("*").alias("c")).groupBy("x").agg(F.max_by("grp", F.struct("c", "grp")).alias("grp"))
+    link = _Opener(src, nodes, words, num, den)
+    near = link(cut(stars), nodes.select("k1", F.col("k1").alias("grp")))
+    comps = cut(connected_components(near, "a", "b"))
+    grouped = cut(nodes.join(comps.withColumnRenamed("node", "k1"), "k1", "left").select("k1", "k2", "rep", "n", F.coalesce("component", "k1").alias("grp")))
+    rows = one.join(grouped.select("k1", "k2", "grp"), ["k1", "k2"]).select("k1", "n", "grp", F.explode("prefix").alias("tok"))
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict = {}
-        tok, groups = None, {}  # groups of this shingle so far: sizes of members, the member if there is one
+        tok, groups = None, {}  # other groups of this shingle so far: sizes of members
 
         def told() -> pd.DataFrame:
             keys = np.array(list(counts), dtype=np.int64).reshape(-1, 2)
@@ -135,12 +223,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             for t, g, x, n in zip(*(batch[c].tolist() for c in ("tok", "grp", "k1", "n"))):
                 if t != tok:
                     tok, groups = t, {}
-                for other, (low, high, alone) in groups.items():
-                    if den * n >= num * low and num * n <= den * high:
-                        if other != g or alone != x:
-                            counts[x, other] = counts.get((x, other), 0) + 1
-                low, high, alone = groups.get(g, (n, n, x))
-                groups[g] = (min(low, n), max(high, n), alone if alone == x else None)
+                for other, (low, high) in groups.items():
+                    if other != g and den * n >= num * low and num * n <= den * high:
+                        counts[x, other] = counts.get((x, other), 0) + 1
+                low, high = groups.get(g, (n, n))
+                groups[g] = (min(low, n), max(high, n))
             if len(counts) > REMEMBERED:
                 yield told()
         if counts:
@@ -148,7 +235,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
     dealt = rows.repartition("tok").sortWithinPartitions("tok", "grp", "k1")
     hits = dealt.mapInPandas(sweep, "x long, grp long, c long").groupBy("x", "grp").agg(F.sum("c").alias("c"))
-    groups = cut(nodes.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")))
+    groups = cut(grouped.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")))
     # the least size that fits and the largest need the fewest shared prefix shingles
     ceil = lambda x: F.ceil(x - F.lit(1e-9))
     fewest = lambda n, m: ceil((n + m) * num / (num + den)) - ceil(F.greatest(n, m) * num / den) + 1
@@ -156,49 +243,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     high = F.least(F.col("high"), F.floor(F.col("n") * den / num + F.lit(1e-9)))
     sized = hits.join(groups, "grp").join(nodes.select(F.col("k1").alias("x"), "n"), "x")
     pairs = cut(sized.where((low <= high) & (F.col("c") >= F.least(fewest(F.col("n"), low), fewest(F.col("n"), high)))).select("x", "grp"))
-    asked = pairs.groupBy("grp").agg(F.count("*").alias("asks"))
-    blocks = groups.join(asked, "grp")
-    blocks = cut(blocks.select("grp", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks"), F.ceil(F.col("asks") / QUERIES).cast("int").alias("salts")))
-    inside = nodes.join(blocks, "grp", "left_semi").select("k1", "rep")
-    wanted = cut(inside.unionByName(pairs.select(F.col("x").alias("k1")).distinct().join(nodes.select("k1", "rep"), "k1")).distinct())
-    texts = src.where("text is not null").join(small(wanted.select("k1", F.col("rep").alias("doc_id"))), "doc_id")
-    texts = cut(texts.select("k1", "text"))
-    spread = lambda key, n: F.pmod(F.xxhash64(key, F.lit(7)), F.col(n)).cast("int")
-    held_by = nodes.select("k1", "grp").join(blocks, "grp").withColumn("block", spread("k1", "blocks"))
-    members = held_by.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("asks", F.lit(False))
-    queries = pairs.withColumnRenamed("x", "k1").join(blocks, "grp").withColumn("salt", spread("k1", "salts"))
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    key = ["grp", "block", "salt"]
-    both = members.select("k1", *key, "asks").unionByName(queries.select("k1", *key, "asks")).join(texts, "k1")
-
-    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, inner, union, least, forest = None, [], None, 0, _Forest()
-        for batch in batches:
-            out = []
-            for k, asks, text, *here in zip(batch["k1"].tolist(), batch["asks"].tolist(), batch["text"], *(batch[c].tolist() for c in key)):
-                if here != at:
-                    at, inner, union, forest = here, [], None, _Forest()
-                s = shingle_set(text, words)
-                if not asks:
-                    inner.append((k, s))
-                    continue
-                if union is None:
-                    union = distinct(np.concatenate([t for _, t in inner]))
-                    least = min(len(t) for _, t in inner)
-                place = np.minimum(np.searchsorted(union, s), len(union) - 1)
-                if int((union[place] == s).sum()) < _need(max(len(s), least), num, den):
-                    continue  # the group stays closed
-                for y, t in inner:
-                    if k == y or den * len(s) < num * len(t) or den * len(t) < num * len(s) or forest.root(k) == forest.root(y):
-                        continue
-                    if _links(s, t, num, den):
-                        forest.join(k, y)
-                        out.append((k, y))
-            if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
-
-    sorted_in = both.repartition(*key).sortWithinPartitions(*key, "asks", "k1")
-    links = cut(sorted_in.mapInPandas(opened, "a long, b long"))
+    links = near.unionByName(link(pairs, grouped.select("k1", "grp")))
     ids = nodes.select("k1", "rep")
     edges = links.join(ids.select(F.col("k1").alias("a"), F.col("rep").alias("src")), "a").join(ids.select(F.col("k1").alias("b"), F.col("rep").alias("dst")), "b")
     comps = cut(connected_components(edges))

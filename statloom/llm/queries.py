@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statloom.llm import oracles
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -124,4 +126,11 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_document_fingerprints": oracles.fingerprints(),
+    "op4_mix_sources": oracles.mixture(DOMAINS, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED),
+    "op7_licence_scan": oracles.licence_scan(),
+    "op8_url_filter": oracles.url_filter(URL_RULES),
+    "op9_ngram_jaccard_join": oracles.jaccard(3, 90, 100),
+    "op10_substring_dedup": oracles.repeats(50),
+}
