@@ -107,7 +107,7 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.range_join(x, x, 1.15).withColumn("distance", F.round("distance", 6))
 
 
-@query(f"""WITH n AS (SELECT q, "label" l, count(*) c FROM {_KNN} JOIN {_E} ON id=v WHERE r<=7 GROUP BY 1,2) SELECT q id, arg_max(l, (c, -l)) predicted FROM n GROUP BY 1""")
+@query(f"""WITH n AS (SELECT k.q, e."label" l, count(*) c FROM {_KNN} k JOIN {_E} e ON e.id=k.v WHERE k.r<=7 GROUP BY 1,2) SELECT q id, arg_max(l, (c, -l)) predicted FROM n GROUP BY 1""")
 def knn_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _vectors(spark, sf_dir)
     near = neighbors.knn_join(x.select("id", "vec"), x.select("id", "vec"), 7)

@@ -149,8 +149,14 @@ def tumbling(spark: SparkSession, path: str, width: str, late: str = "10 minutes
     The stream's state is in the shared folder; complete mode gives the open
     windows too.
     """
-    schema = spark.read.parquet(path).schema
-    events = spark.readStream.schema(schema).parquet(path)
+    table = spark.read.parquet(path)
+    files = table.inputFiles()
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    source = spark.readStream.schema(table.schema)
+    if len(files) == 1 and files[0].endswith(f"/{name}"):  # a stream reads folders
+        events = source.option("pathGlobFilter", name).parquet(folder)
+    else:
+        events = source.parquet(path)
     events = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
     sums = events.groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     name = f"tumbling_{uuid.uuid4().hex}"
