@@ -9,7 +9,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
-#: Streams that merge the partitions' sketches before the driver adds these up.
+#: Tasks that merge the partitions' sketches before the last one.
 MERGERS = 16
 
 
@@ -58,8 +58,8 @@ def merged(
     """The merged sketch of all rows: ``count`` adds a batch to a partition's cells.
 
     Every partition makes one array of ``shape``; up to MERGERS tasks merge
-    them one by one, and the driver holds two arrays at a time. ``shape`` is a
-    fixed bound, so nothing here grows with the rows.
+    them one by one, a last task merges what these made, and the driver gets
+    one array. ``shape`` is a fixed bound, so nothing here grows with the rows.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,8 +76,6 @@ def merged(
         if own is not None:
             yield pd.DataFrame({"blob": [pack(own)]})
 
-    total = np.zeros(shape, dtype=dtype)
     parts = df.mapInPandas(partial, "blob binary").repartition(MERGERS).mapInPandas(merge, "blob binary")
-    for row in parts.collect():  # at most MERGERS compressed arrays
-        total = combine(total, unpack(bytes(row.blob), dtype).reshape(shape))
-    return total
+    last = parts.repartition(1).mapInPandas(merge, "blob binary").first()
+    return unpack(bytes(last.blob), dtype).reshape(shape) if last else np.zeros(shape, dtype=dtype)

@@ -174,11 +174,17 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleModel:
     for penalty in top * np.geomspace(0.3, 0.002, 8):
         w, b = _lasso(r[~test], y[~test], penalty, w, b, step)
         q = np.clip(_sigmoid(r[test] @ w + b), 1e-9, 1 - 1e-9)
-        tried.append((-np.mean(y[test] * np.log(q) + (1 - y[test]) * np.log(1 - q)), penalty))
-    best = min(tried)[1] if tried else 0.0
-    w, b = _lasso(r, y, best, np.zeros(len(rules)), b, step, 400)
-    kept = [i for i in range(len(rules)) if abs(w[i]) > 1e-4]
-    return RuleModel(names, [rules[i] for i in kept], [round(float(w[i]), 6) for i in kept], round(float(b), 6))
+        each = -(y[test] * np.log(q) + (1 - y[test]) * np.log(1 - q))
+        tried.append((each.mean(), each.std() / np.sqrt(max(len(each), 1)), penalty))
+    # the sparsest rules within one standard error of the best
+    bar = sum(min(tried)[:2]) if tried else 0.0
+    best = max((p for loss, _, p in tried if loss <= bar), default=0.0)
+    w, b = _lasso(r, y, best, np.zeros(len(rules)), b, step)
+    kept = [i for i in range(len(rules)) if abs(w[i]) > 1e-3]
+    # the chosen rules once more with little shrinkage, so that scores reach 0 and 1
+    w, b = _lasso(r[:, kept], y, 0.002 * top, w[kept], b, step, 400)
+    chosen = [(rules[i], round(float(v), 6)) for i, v in zip(kept, w) if abs(v) > 1e-3]
+    return RuleModel(names, [path for path, _ in chosen], [v for _, v in chosen], round(float(b), 6))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -199,10 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> RuleMo
     )
     stats = statistics(F.col("text"))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
-    got = rows.select("label_id", F.xxhash64("text").alias("tag"), "quality", *[c.cast("double").alias(k) for k, c in stats.items()]).toPandas()
-    got = got.sort_values(["label_id", "tag"]).drop_duplicates("label_id")
-    got = got.iloc[np.argsort(got["tag"].to_numpy(), kind="stable")]
-    return fit_rules(got[list(stats)].to_numpy(float), got["quality"].to_numpy(float), list(stats))
+    got = rows.select("label_id", F.xxhash64("text").alias("tag"), F.col("quality").cast("double"), *[c.cast("double").alias(k) for k, c in stats.items()]).collect()
+    one = {r[0]: r for r in sorted(got, key=lambda r: r[:2], reverse=True)}  # the least tag of a repeated doc_id
+    x = np.array([r[1:] for r in sorted(one.values(), key=lambda r: (r[1], r[0]))], dtype=float).reshape(-1, len(stats) + 2)
+    return fit_rules(x[:, 2:], x[:, 1], list(stats))
 
 
 def score(docs: DataFrame, model: RuleModel, at: float = 0.7) -> DataFrame:
