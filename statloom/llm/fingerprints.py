@@ -30,15 +30,26 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, r"[\x20\x09-\x0D]+"), "")
 
 
-def fingerprint(text: Column, k: int = K, words: int = WORDS) -> Column:
-    """The fingerprint; fewer words than a shingle: the sequence is one; none: empty."""
-    w = words_of(text)
-    hashed = lambda run: F.substring(F.md5(F.array_join(run, " ").cast("binary")), 1, DIGITS)
-    many = lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - words + 1), lambda i: hashed(F.slice(a, i, words)))
-    some = lambda a: F.when(F.size(a) >= words, many(a)).when(F.size(a) > 0, F.array(hashed(a))).otherwise(F.array().cast("array<string>"))
+def _hash(run: Column) -> Column:
+    return F.substring(F.md5(F.array_join(run, " ").cast("binary")), 1, DIGITS)
+
+
+def shingle_hashes(w: Column, words: int = WORDS) -> Column:
+    """Hashes of an array's word shingles in order; fewer words than one: the sequence is one; none: empty."""
+    many = lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - words + 1), lambda i: _hash(F.slice(a, i, words)))
+    some = lambda a: F.when(F.size(a) >= words, many(a)).when(F.size(a) > 0, F.array(_hash(a))).otherwise(F.array().cast("array<string>"))
     # one lambda variable binds the word array, so that it is made once
-    made = F.element_at(F.transform(F.array(w), some), 1)
-    return F.slice(F.sort_array(F.array_distinct(made)), 1, k)
+    return F.element_at(F.transform(F.array(w), some), 1)
+
+
+def sketch_of(hashes: Column, k: int = K) -> Column:
+    """The ``k`` least distinct hashes, sorted."""
+    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, k)
+
+
+def fingerprint(text: Column, k: int = K, words: int = WORDS) -> Column:
+    """The fingerprint of a text."""
+    return sketch_of(shingle_hashes(words_of(text), words), k)
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:
@@ -117,18 +128,23 @@ def edited_pairs(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     order = W.partitionBy("block").orderBy("doc_id", "text")
     after = cut(chain)
     first_text = first["text"] if first else ""
-    sketched = dealt.repartition("block").select("*", fingerprint(F.col("text"), k, words).alias("sketch"))
+    hashed = dealt.repartition("block").select("*", shingle_hashes(words_of(F.col("text")), words).alias("hashes"))
+    sketched = hashed.select("*", sketch_of(F.col("hashes"), k).alias("sketch"))
     ahead = sketched.select("*", F.lead(F.struct("text", "sketch")).over(order).alias("next"))
     last = F.col("next").isNull()
     joined = ahead.join(after, "block").select(
-        "doc_id", "text", "sketch",
+        "doc_id", "text", "hashes", "sketch",
         F.when(last, F.coalesce("head_text", F.lit(first_text))).otherwise(F.col("next.text")).alias("next_text"),
         F.col("next.sketch").alias("next_sketch"),
     )
     n = F.length("text")
     tail = F.floor(n / 4).cast("int")
     edit = F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), tail))
-    rest = src.where("doc_id is null").select("doc_id", "text", fingerprint(F.col("text"), k, words).alias("sketch"), F.lit(None).cast("string").alias("next_text"), F.lit(None).cast("array<string>").alias("next_sketch"))
+    rest = src.where("doc_id is null").select("doc_id", "text", shingle_hashes(words_of(F.col("text")), words).alias("hashes"), fingerprint(F.col("text"), k, words).alias("sketch"), F.lit(None).cast("string").alias("next_text"), F.lit(None).cast("array<string>").alias("next_sketch"))
     whole = joined.unionByName(rest).withColumn("edited", edit)
     whole = whole.withColumn("next_sketch", F.when(F.col("next_sketch").isNull() & F.col("next_text").isNotNull(), fingerprint(F.col("next_text"), k, words)).otherwise(F.col("next_sketch")))
-    return whole.select("doc_id", "text", "edited", "sketch", fingerprint(F.col("edited"), k, words).alias("edited_sketch"), "next_sketch")
+    # shingles that end before the last word of the part kept are the text's own, in order
+    whole = whole.select("*", F.greatest(F.lit(0), F.size(words_of(F.substring(F.col("text"), F.lit(1), n - tail))) - words).alias("same"), words_of(F.col("edited")).alias("edited_words"))
+    fresh = shingle_hashes(F.slice("edited_words", F.col("same") + 1, F.greatest(F.size("edited_words"), F.lit(1))), words)
+    edited_sketch = sketch_of(F.concat(F.slice("hashes", F.lit(1), F.col("same")), fresh), k)
+    return whole.select("doc_id", "text", "edited", "sketch", edited_sketch.alias("edited_sketch"), "next_sketch")
