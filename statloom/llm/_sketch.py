@@ -9,6 +9,8 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
+from statloom.llm._memory import trimmed
+
 #: Tasks that merge the partitions' sketches before the last one.
 MERGERS = 16
 
@@ -76,6 +78,6 @@ def merged(
         if own is not None:
             yield pd.DataFrame({"blob": [pack(own)]})
 
-    parts = df.mapInPandas(partial, "blob binary").repartition(MERGERS).mapInPandas(merge, "blob binary")
-    last = parts.repartition(1).mapInPandas(merge, "blob binary").first()
+    parts = df.mapInPandas(trimmed(partial), "blob binary").repartition(MERGERS).mapInPandas(trimmed(merge), "blob binary")
+    last = parts.repartition(1).mapInPandas(trimmed(merge), "blob binary").first()
     return unpack(bytes(last.blob), dtype).reshape(shape) if last else np.zeros(shape, dtype=dtype)

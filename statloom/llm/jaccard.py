@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm import _sketch
+from statloom.llm._memory import trimmed
 from statloom.llm._words import distinct, mix, shingle_set
 from statloom.plans.graph import connected_components
 from statloom.plans.lineage import cut, small
@@ -124,7 +125,7 @@ class _Opener:
                     yield pd.DataFrame(out, columns=["a", "b"])
 
         rows = both.join(texts, "k1").repartition(*key).sortWithinPartitions(*key, "asks", "k1")
-        return cut(rows.mapInPandas(opened, "a long, b long"))
+        return cut(rows.mapInPandas(trimmed(opened), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -182,7 +183,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             yield pd.DataFrame(out, columns=["doc_id", "n", "k1", "k2", "prefix"]).astype({"k1": "Int64", "k2": "Int64"})
 
     # ids travel as text: pandas would make longs with nulls floats
-    made = src.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(prefixes, "doc_id string, n long, k1 long, k2 long, prefix array<long>")
+    made = src.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(trimmed(prefixes), "doc_id string, n long, k1 long, k2 long, prefix array<long>")
     sets = cut(made.withColumn("doc_id", F.col("doc_id").cast("long")))
     nodes = cut(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
     one = sets.where("n > 0").join(nodes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
@@ -201,7 +202,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
     # each document asks one leader: the first document of most of its leading shingles
     leading = one.select("k1", "n", F.explode(F.slice("prefix", 1, LEADING)).alias("tok"))
-    stars = leading.repartition("tok").sortWithinPartitions("tok", "k1").mapInPandas(lead, "x long, grp long")
+    stars = leading.repartition("tok").sortWithinPartitions("tok", "k1").mapInPandas(trimmed(lead), "x long, grp long")
     stars = stars.groupBy("x", "grp").agg(F.count("*").alias("c")).groupBy("x").agg(F.max_by("grp", F.struct("c", "grp")).alias("grp"))
     link = _Opener(src, nodes, words, num, den)
     near = link(cut(stars), nodes.select("k1", F.col("k1").alias("grp")))
@@ -234,7 +235,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             yield told()
 
     dealt = rows.repartition("tok").sortWithinPartitions("tok", "grp", "k1")
-    hits = dealt.mapInPandas(sweep, "x long, grp long, c long").groupBy("x", "grp").agg(F.sum("c").alias("c"))
+    hits = dealt.mapInPandas(trimmed(sweep), "x long, grp long, c long").groupBy("x", "grp").agg(F.sum("c").alias("c"))
     groups = cut(grouped.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")))
     # the least size that fits and the largest need the fewest shared prefix shingles
     ceil = lambda x: F.ceil(x - F.lit(1e-9))

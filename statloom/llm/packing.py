@@ -26,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statloom.llm._memory import trimmed
+
 #: A last piece may leave this share of its place empty.
 SLACK = 128
 #: Words with remembered ids, in each of two generations (and cores of words).
-REMEMBERED = 350_000
+REMEMBERED = 300_000
 #: Pieces handed on, and plain words joined for the tokenizer, at a time.
 BATCH, LOT = 4096, 256
 #: Characters of the texts tokenized together.
@@ -71,6 +73,9 @@ class WordIds:
     def __init__(self, path: str) -> None:
         self.path, self.new, self.old, self.cores = path, {}, {}, {}
 
+    def forget(self) -> None:
+        self.new, self.old, self.cores = {}, {}, {}
+
     def learn(self, unknown: set[str]) -> None:
         """Remembers the ids of unknown words, tokenizing each core once."""
         if len(self.cores) > REMEMBERED:
@@ -200,8 +205,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
             emit(taken)
         if out:
             yield flush()
+        ids_of.forget()
 
     # ids travel as text: pandas would make longs with nulls floats
     src = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = src.mapInPandas(task, "doc_id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    made = src.mapInPandas(trimmed(task), "doc_id string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))

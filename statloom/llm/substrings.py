@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm import _sketch
+from statloom.llm._memory import trimmed
 from statloom.llm._words import distinct, grams, hashes, mix, windows, words
 from statloom.plans.lineage import cut, small
 
@@ -73,7 +74,7 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "tag", "n_words", "s1", "s2"])
 
     known = src.where("doc_id is not null")
-    seqs = cut(known.mapInPandas(sequences, "doc_id long, tag long, n_words long, s1 long, s2 long"))
+    seqs = cut(known.mapInPandas(trimmed(sequences), "doc_id long, tag long, n_words long, s1 long, s2 long"))
     long = seqs.where(F.col("n_words") >= span)
     same = ["n_words", "s1", "s2"]
     firsts = long.groupBy(same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
@@ -118,7 +119,7 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    found = sole.mapInPandas(suspects, "w1 long, w2 long, doc_id long, tag long, pos int")
+    found = sole.mapInPandas(trimmed(suspects), "w1 long, w2 long, doc_id long, tag long, pos int")
     least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     late = found.join(least, ["w1", "w2"]).where("doc_id > first")
     starts = late.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
@@ -133,7 +134,7 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
                 runs.append(np.stack((p[new], np.diff(np.append(new, len(p)))), axis=1).ravel().astype(np.int32))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tag": batch["tag"], "runs": runs})
 
-    runs = cut(starts.mapInPandas(to_runs, "doc_id long, tag long, runs array<int>").unionByName(whole))
+    runs = cut(starts.mapInPandas(trimmed(to_runs), "doc_id long, tag long, runs array<int>").unionByName(whole))
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def keep(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
