@@ -29,7 +29,7 @@ from statloom.plans.lineage import cut, small
 #: Words of the runs that anchors are chosen from.
 GRAM = 8
 #: Rows of the sketch, and its least and most cells a row (two bits each: met once, met again).
-DEPTH, LEAST_CELLS, MOST_CELLS = 2, 1 << 18, 1 << 26
+DEPTH, LEAST_CELLS, MOST_CELLS = 2, 1 << 18, 1 << 25
 
 
 def _anchors(h: np.ndarray, span: int) -> np.ndarray:
@@ -116,6 +116,9 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
                 pos = pos[at]
                 w2 = windows(h, span, 43)[pos]
                 out.append(pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "doc_id": doc_id, "tag": tag, "pos": pos.astype(np.int32)}))
+                if len(out) >= 500:
+                    yield pd.concat(out, ignore_index=True)
+                    out = []
             if out:
                 yield pd.concat(out, ignore_index=True)
 
