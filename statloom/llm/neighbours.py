@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from statloom.plans.lineage import cut
 
 #: Vectors that the index is fitted on at most.
-SAMPLE = 8_192
+SAMPLE = 4_096
 #: Vectors of a part on average, and the most parts.
 PART, MOST_PARTS = 1_600, 128
 #: Vectors of a block on average.
@@ -51,11 +51,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` nearest others of every row, a few rows at a time."""
     out = []
-    for i in range(0, len(x), 1024):
-        s = x[i : i + 1024] @ x.T
-        s[np.arange(len(s)), np.arange(i, i + len(s))] = -np.inf
-        out.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
+    for i in range(0, len(x), 128):
+        s = -(x[i : i + 128] @ x.T)
+        s[np.arange(len(s)), np.arange(i, i + len(s))] = np.inf
+        out.append(np.argpartition(s, k - 1, axis=1)[:, :k].astype(np.int32))
     return np.concatenate(out)
 
 
