@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,27 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the session's Python workers, once a session.
+
+    Workers unpickle functions that refer to the package, and need not have it
+    on their path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_statloom_shipped", False):
+        return
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="statloom-")), "statloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(home)))
+    context.addPyFile(path)
+    context._statloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 

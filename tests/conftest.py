@@ -20,6 +20,9 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{shared}").getOrCreate()
     )
     made.sparkContext.setLogLevel("ERROR")
+    from statloom.plans.lineage import ship
+
+    ship(made)
     yield made
     made.stop()
 
