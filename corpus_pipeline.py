@@ -16,7 +16,7 @@ from statloom.llm.mixing import mix
 from statloom.llm.packing import pack
 from statloom.llm.quality import score, train
 from statloom.llm.substrings import remove_repeats
-from statloom.plans.lineage import cut
+from statloom.plans.lineage import cut, ship
 
 #: Share of the words that pass the earlier stages which the mixture keeps.
 SHARE = 0.8
@@ -24,12 +24,14 @@ SHARE = 0.8
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score under 0.7) go."""
+    ship(spark)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model, at=0.7).where("predicted = 1").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, likeness 0.8 or more."""
+    ship(spark)
     return keep_first_of_group(docs, words=5, num=80, den=100)
 
 
@@ -38,6 +40,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A document that loses nothing keeps its text as it is.
     """
+    ship(spark)
     done = remove_repeats(docs, span=50)
     changed = done.where("n_removed = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
@@ -47,11 +50,13 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents up to the budgets of domains, languages and sources, each once."""
+    ship(spark)
     return mix(docs, q.mix_levels(), q.MIX_WEIGHTS, SHARE, epochs=1, seed=q.MIX_SEED).where("copies > 0").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 2048 ids."""
+    ship(spark)
     out = pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
