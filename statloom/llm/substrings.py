@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm import _sketch
-from statloom.llm._memory import trimmed
+from statloom.llm._memory import release, trimmed
 from statloom.llm._words import distinct, grams, hashes, mix, windows, words
 from statloom.plans.lineage import cut, small
 
@@ -158,7 +158,10 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
             stay = np.cumsum(edge)[: len(w)] == 0
             kept = b" ".join([x for x, s in zip(w, stay) if s])
             rows.append((len(w), len(w) - int(stay.sum()), kept.decode("utf-8", "surrogatepass")))
-        return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
+        made = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
+        rows.clear()
+        release()
+        return made
 
     own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
     tagged = docs.select(*own, F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__tag"))
