@@ -237,13 +237,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     dealt = rows.repartition("tok").sortWithinPartitions("tok", "grp", "k1")
     hits = dealt.mapInPandas(trimmed(sweep), "x long, grp long, c long").groupBy("x", "grp").agg(F.sum("c").alias("c"))
     groups = cut(grouped.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")))
-    # the least size that fits and the largest need the fewest shared prefix shingles
+    # the least size that fits and the largest need the fewest shared prefix shingles; the ceilings
+    # let a size between them need one fewer, never two
     ceil = lambda x: F.ceil(x - F.lit(1e-9))
     fewest = lambda n, m: ceil((n + m) * num / (num + den)) - ceil(F.greatest(n, m) * num / den) + 1
     low = F.greatest(F.col("low"), ceil(F.col("n") * num / den))
     high = F.least(F.col("high"), F.floor(F.col("n") * den / num + F.lit(1e-9)))
     sized = hits.join(groups, "grp").join(nodes.select(F.col("k1").alias("x"), "n"), "x")
-    pairs = cut(sized.where((low <= high) & (F.col("c") >= F.least(fewest(F.col("n"), low), fewest(F.col("n"), high)))).select("x", "grp"))
+    between = F.when(high - low > 1, 1).otherwise(0)
+    pairs = cut(sized.where((low <= high) & (F.col("c") >= F.least(fewest(F.col("n"), low), fewest(F.col("n"), high)) - between)).select("x", "grp"))
     links = near.unionByName(link(pairs, grouped.select("k1", "grp")))
     ids = nodes.select("k1", "rep")
     edges = links.join(ids.select(F.col("k1").alias("a"), F.col("rep").alias("src")), "a").join(ids.select(F.col("k1").alias("b"), F.col("rep").alias("dst")), "b")

@@ -55,6 +55,20 @@ def test_chains_at_the_threshold(spark):
     assert got == brute(rows, 3, 90, 100)
 
 
+def test_links_to_a_middle_sized_member(spark):
+    rows = []
+    for i in range(24):  # y alone links to x, and needs fewer shared prefix words than w and z, between which its size lies
+        common, name = [f"s{i}n{j}" for j in range(20)], lambda *xs, i=i: [f"{x}i{i}" for x in xs]
+        edits = name("u1", "u2", "u3", "u4")
+        x, y, w, z = name("x1") + common, edits + common, edits + name("a1") + common[2:], edits + name("v1", "v2") + common[1:]
+        fill = [common + [f"f{i}n{k}n{j}" for j in range(100)] for k in range(12)]
+        rows += [(1000 * i + j, " ".join(t)) for j, t in enumerate([x, y, w, z, *fill])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80, 100).collect()}
+    want = brute(rows, 1, 80, 100)
+    assert all(want[1000 * i + j][1] == 1000 * i for i in range(24) for j in range(4))
+    assert got == want
+
+
 def test_first_of_group_stays_and_nothing_of_nothing(spark):
     rows = [(5, "a b c d e f g"), (2, "A b c d e f g"), (9, "other words here"), (4, "")]
     kept = keep_first_of_group(spark.createDataFrame(rows, "doc_id long, text string"))
