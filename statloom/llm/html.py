@@ -1,7 +1,8 @@
 """Main text of HTML pages by tree scoring.
 
 A page becomes a tree. Parts that a tag name or a class, id or role word marks
-as page furniture are cut out. Each block of running text gives points (one,
+as page furniture are cut out, but not what is around a main or the longest
+article, and not by words if nothing would be left. Each block of running text gives points (one,
 its commas, and its length up to a limit) to the elements around it: all to its
 parent, half to the next, then a third of the rest and so on. A container's
 points are discounted by the share of its text that is link text. The best
@@ -34,6 +35,8 @@ FURNITURE_WORDS = frozenset(
     "recommended related reply replies search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget alert complementary contentinfo".split()
 )
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+# Words that make a class or id tell of a state of the element, not of what it is.
+STATE_WORDS = frozenset("closed disabled enabled has hide is no not off on open show with without".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b|\b(style)\s*=\s*(\"[^\"]*\"|'[^']*')", re.I)
@@ -42,22 +45,29 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("content", "gone", "kids", "score", "tag", "up")
+    __slots__ = ("content", "gone", "kids", "marked", "score", "tag", "up")
 
-    def __init__(self, tag: str, up: _Node | None, gone: bool, content: bool) -> None:
-        self.tag, self.up, self.gone, self.content, self.kids, self.score = tag, up, gone, content, [], 0.0
+    def __init__(self, tag: str, up: _Node | None, gone: bool, content: bool, marked: bool = False) -> None:
+        self.tag, self.up, self.gone, self.content, self.marked, self.kids, self.score = tag, up, gone, content, marked, [], 0.0
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """Whether attributes mark an element as furniture, or as content."""
-    gone = content = False
+def _marks(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether attributes hide an element, mark it as furniture, or as content.
+
+    Each name stands alone: one that tells of a state marks no furniture, and a
+    name of content alone saves the element from its other names.
+    """
+    gone = marked = content = saved = False
     for kind, value, hidden, style, css in _NAMES.findall(attributes):
         if hidden or style and re.search(r"display\s*:\s*none", css, re.I):
             gone = True
-        found = {w.lower() for w in _WORD.findall(value)} if kind else set()
-        gone = gone or bool(found & FURNITURE_WORDS)
-        content = content or bool(found & CONTENT_WORDS)
-    return gone, content
+        for name in value.strip("\"'").split() if kind else ():
+            found = {w.lower() for w in _WORD.findall(name)}
+            furniture = bool(found & FURNITURE_WORDS)
+            marked = marked or furniture and not found & STATE_WORDS
+            content = content or bool(found & CONTENT_WORDS)
+            saved = saved or bool(found & CONTENT_WORDS) and not furniture
+    return gone, marked and not saved, content
 
 
 def parse(html: str) -> _Node:
@@ -91,14 +101,14 @@ def parse(html: str) -> _Node:
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and here.tag == tag:
             depth[tag] -= 1
             here = here.up
-        gone, content = _marks(m[3]) if m[3] else (False, False)
+        gone, marked, content = _marks(m[3]) if m[3] else (False, False, False)
         if tag == "header" and depth.get("article"):
             gone = gone or False  # an article's own header belongs to it
         else:
             gone = gone or tag in FURNITURE
         if tag in ("html", "body", "main", "article"):
             gone = False
-        node = _Node(tag, here, gone, content or tag in ("article", "main"))
+        node = _Node(tag, here, gone, content or tag in ("article", "main"), marked)
         here.kids.append(node)
         if tag in VOID:
             continue
@@ -115,13 +125,42 @@ def parse(html: str) -> _Node:
     return root
 
 
+def _unmark(root: _Node) -> None:
+    """Takes the marks off the elements around each main and around the longest article."""
+    length: dict[_Node, int] = {}
+    stack: list = [(root, None)]
+    while stack:
+        node, article = stack.pop()
+        if node.tag == "main":
+            _clear(node)
+        if node.tag == "article" and not node.marked:
+            article = node
+        for kid in node.kids:
+            if isinstance(kid, str):
+                if article is not None:
+                    length[article] = length.get(article, 0) + len(kid.strip())
+            elif not kid.gone:
+                stack.append((kid, article))
+    if length:
+        _clear(max(length, key=length.get))
+
+
+def _clear(node: _Node | None) -> None:
+    while node is not None:
+        node.marked = False
+        node = node.up
+
+
 def _clean(parts: list[str]) -> str:
     """Decoded text of a block; white space inside becomes one space."""
     return _SPACE.sub(" ", unescape("".join(parts))).strip()
 
 
-def _walk(top: _Node, blocks: list[tuple[str, _Node, int]]) -> None:
-    """The blocks of running text under ``top`` in page order: text, container, link length."""
+def _walk(top: _Node, blocks: list[tuple[str, _Node, int]], marks: bool = True) -> None:
+    """The blocks of running text under ``top`` in page order: text, container, link length.
+
+    Without ``marks`` only hidden elements and tags of furniture are cut out.
+    """
     parts: list[str] = []
     links: list[str] = []
     owner = top
@@ -145,7 +184,7 @@ def _walk(top: _Node, blocks: list[tuple[str, _Node, int]]) -> None:
                 parts.append(kid)
                 if link:
                     links.append(kid)
-            elif kid.gone:
+            elif kid.gone or marks and kid.marked and kid.tag not in ("html", "body", "main", "article"):
                 if kid.tag not in INLINE and kid.tag not in ("button", "select", "input", "label"):
                     close()
             elif kid.tag == "br":
@@ -175,7 +214,10 @@ def main_text(html: str | None) -> str:
         return ""
     root = parse(html)
     blocks: list[tuple[str, _Node, int]] = []
+    _unmark(root)
     _walk(root, blocks)
+    if not blocks:
+        _walk(root, blocks, marks=False)
     if not blocks:
         return ""
     size: dict[_Node, int] = {}
@@ -200,7 +242,7 @@ def main_text(html: str | None) -> str:
     if best.up is not None:
         least = max(10.0, 0.2 * final[best])
         for kid in best.up.kids:
-            if isinstance(kid, str) or kid.gone or kid not in size:
+            if isinstance(kid, str) or kid not in size:
                 continue
             prose = kid.tag == "p" and (size[kid] > 80 and dense(kid) < 0.25)
             if final.get(kid, 0.0) >= least and dense(kid) < 0.5 or prose:

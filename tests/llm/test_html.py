@@ -25,6 +25,17 @@ def test_the_article_alone(page):
     assert main_text(page) == TEXT
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["class='content no-sidebar'", "id='page' class='has-header'", "class='post comments-open'", "class='entry share-enabled'", "class='layout-sidebar'", "class='widget main'"],
+)
+def test_a_furniture_word_on_a_wrapper_does_not_cut_the_article(wrapper):
+    menu = "<div class='sidebar'><article class='teaser'><p>Other text.</p></article></div><div class='post-comments'><p>A comment, of words.</p></div>"
+    assert main_text(f"<body><div {wrapper}>{ART}</div>{menu}</body>") == TEXT
+    assert main_text(f"<body><div {wrapper}>{ART.replace('article>', 'div>')}</div></body>") == TEXT
+    assert main_text(f"<body><div {wrapper} style='display:none'>{ART}</div></body>") == ""
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<<<>>>")[:0] == ""
     assert main_text("<article><p>cut off &amp") == "cut off &"
