@@ -6,7 +6,9 @@ article, and not by words if nothing would be left. Each block of running text g
 its commas, and its length up to a limit) to the elements around it: all to its
 parent, half to the next, then a third of the rest and so on. A container's
 points are discounted by the share of its text that is link text. The best
-container is kept, with those siblings that score well or read like prose.
+container is kept: in an article the whole of it, in a main all that is not
+mostly links, elsewhere with those siblings that score well or read like prose,
+and with the headings, quotes and short paragraphs between or beside these.
 
 One pass over a page's tags and one over its tree; each page is worked on alone
 in the task that read it.
@@ -206,6 +208,7 @@ def _walk(top: _Node, blocks: list[tuple[str, _Node, int]], marks: bool = True)
 
 # Elements that are themselves a block and pass their points on.
 _BLOCKS = frozenset("p pre h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote figcaption caption address summary".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def main_text(html: str | None) -> str:
@@ -238,17 +241,42 @@ def main_text(html: str | None) -> str:
     dense = lambda n: linked[n] / max(size[n], 1)
     final = {n: n.score * (1 - dense(n)) * (1.5 if n.content else 1.0) for n in scored}
     best = max(scored, key=lambda n: final[n])  # the first of equals in page order
+    points = final[best]
+    path = []  # from the best container up to an article around it, or to a main
+    node = best
+    while node is not None and node.tag not in ("article", "main"):
+        path.append(node)
+        node = node.up
+    inner: set = set()
+    if node is not None and node.tag == "article":
+        best = node
+    elif node is not None:
+        inner = {id(x) for x in (*path[1:], node)} - {id(best)}
     kept = {id(best)}
-    if best.up is not None:
-        least = max(10.0, 0.2 * final[best])
-        for kid in best.up.kids:
-            if isinstance(kid, str) or kid not in size:
-                continue
+    if node is not None and node is not best:  # in a main: all that is not mostly links
+        for up in (*path[1:], node):
+            for kid in up.kids:
+                if not isinstance(kid, str) and kid in size and id(kid) not in inner and (kid.tag in _HEADINGS or dense(kid) < 0.5):
+                    kept.add(id(kid))
+    elif best.up is not None:
+        least = max(10.0, 0.2 * points)
+        kids = [k for k in best.up.kids if not isinstance(k, str) and k in size]
+        for kid in kids:
             prose = kid.tag == "p" and (size[kid] > 80 and dense(kid) < 0.25)
             if final.get(kid, 0.0) >= least and dense(kid) < 0.5 or prose:
                 kept.add(id(kid))
+        if node is None and dense(best.up) < 0.5:  # no article: headings, quotes and short prose between or beside what is kept
+            for run in (kids, kids[::-1]):
+                beside = False
+                for kid in run:
+                    beside = id(kid) in kept or beside and kid.tag in _BLOCKS and (kid.tag in _HEADINGS or dense(kid) < 0.5)
+                    if beside:
+                        kept.add(id(kid))
     out = []
-    for text, owner, _ in blocks:
+    for text, owner, link in blocks:
+        if id(owner) in inner and 2 * link < len(text):
+            out.append(text)
+            continue
         node = owner
         while node is not None and id(node) not in kept:
             node = node.up

@@ -36,6 +36,22 @@ def test_a_furniture_word_on_a_wrapper_does_not_cut_the_article(wrapper):
     assert main_text(f"<body><div {wrapper} style='display:none'>{ART}</div></body>") == ""
 
 
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_titles_leads_and_quotes_beside_the_best_container(around):
+    long = "<p>" + "Long text, with commas, goes on and on. " * 8 + "</p>"
+    page = f"<body><nav><a href='/'>Menu</a></nav><{around}><h1>Title</h1><p>Short lead.</p><div class='body'>{long * 3}</div><blockquote>A quote.</blockquote><pre>code</pre><h2>More</h2><div>{long * 3}</div><p>The end.</p></{around}></body>"
+    got = main_text(page)
+    assert got.startswith("Title Short lead. Long text,") and got.endswith("The end.") and "on. A quote. code More Long" in got
+    assert "Menu" not in got and got.count("Long text") == 48
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_title_and_lead_before_the_body(around):
+    long = "<p>" + "Long text, with commas, goes on and on. " * 8 + "</p>"
+    got = main_text(f"<body><{around}><h1>Title</h1><p>Short lead.</p><div class='body'>{long * 3}</div><blockquote>A quote.</blockquote></{around}></body>")
+    assert got.startswith("Title Short lead. Long text,") and got.endswith("on. A quote.")
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<<<>>>")[:0] == ""
     assert main_text("<article><p>cut off &amp") == "cut off &"
