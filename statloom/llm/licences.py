@@ -1,7 +1,9 @@
 """Licence scans by sentence rules.
 
 A text is split into sentences and lines; each is normalised and looked up in a
-table of known licence sentences, which gives it an identifier. The sequence of
+table of known licence sentences, which gives it an identifier. A known sentence
+is also found where line breaks wrap it, with or without comment leaders, but
+not across a blank line. The sequence of
 a document's identifiers is then matched against ordered rules: the first rules
 are the longest licences, and what a rule matches is used up. Everything is a
 projection of native expressions over the scan.
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: What ends a sentence. Dots inside numbers do not.
 BREAK = r"[.!?;]+[\x20\x09-\x0D]+|[\x20\x09-\x0D]*[\n\r]+[\x20\x09-\x0D]*"
+#: What ends a sentence that may be wrapped, and a line.
+STOP, LINE = r"[.!?;]+[\x20\x09-\x0D]+", r"\r\n|[\n\r]"
 #: A sentence without any of these is no licence sentence.
 HINTS = r"licen[cs]e|licensed|copyright|permission|warrant|redistribut|conditions|spdx|public domain|endorse|liable|conveying|software"
 #: A sentence with one of these that is not known is reported.
@@ -82,6 +86,19 @@ def normalise(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
 
 
+def _unwrapped(sentence: Column, sentences: Mapping[str, str]) -> Column:
+    """The normalised lines of a sentence between bars; ``#`` and its identifier for a known one on several lines."""
+    plain = F.regexp_replace(F.regexp_replace(sentence, LINE, "\n"), r"[^a-z0-9\n]+", " ")
+    plain = F.trim(F.regexp_replace(plain, r" ?\n ?", "|"))
+    known: dict[str, list[str]] = {}
+    for text, name in sentences.items():
+        known.setdefault(name, []).append(text.replace(" ", "[ |]"))
+    wrapped = plain
+    for name, texts in known.items():
+        wrapped = F.regexp_replace(wrapped, rf"(?<![^|])(?:{'|'.join(texts)})(?![^|])", f"#{name}")
+    return F.when(plain.contains("|"), wrapped).otherwise(plain)
+
+
 def scan(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """``doc_id, sentence_ids, licences, n_unknown`` for every row of ``docs``.
 
@@ -93,9 +110,10 @@ def scan(docs: DataFrame, sentences: Mapping[str, str] = SENTENCES, rules: Seque
     """
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    hinted = F.filter(F.split(low, BREAK), lambda s: s.rlike(HINTS))
-    plain = F.transform(hinted, normalise)
-    found = docs.select("doc_id", F.transform(plain, lambda s: F.coalesce(F.element_at(known, s), F.when(s.rlike(TELLS), F.lit("?")).otherwise(F.lit("")))).alias("ids"))
+    hinted = F.filter(F.split(low, STOP), lambda s: s.rlike(HINTS.replace("public domain", "public[^a-z0-9]+domain")))
+    lines = F.flatten(F.transform(hinted, lambda s: F.split(_unwrapped(s, sentences), r"\|")))
+    code = lambda s: F.when(s.startswith("#"), F.substring(s, 2, 1)).otherwise(F.coalesce(F.element_at(known, s), F.when(s.rlike(TELLS), F.lit("?")).otherwise(F.lit(""))))
+    found = docs.select("doc_id", F.transform(lines, code).alias("ids"))
     found = found.select("doc_id", F.array_join("ids", "").alias("ids"))
     found = found.select("doc_id", F.regexp_replace("ids", r"\?", "").alias("ids"), (F.length("ids") - F.length(F.regexp_replace("ids", r"\?", ""))).cast("long").alias("n_unknown"))
     rest, names = F.col("ids"), []

@@ -1,5 +1,7 @@
 """Queries with SQL against DuckDB; awkward documents for the operators that have it."""
 
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +60,23 @@ def test_shortage_goes_to_siblings_first(spark):
     assert abs(got["z"] - budget // 4) <= 1 and abs(got["w"] - budget // 4) <= 1
 
 
+def test_wrapped_licences(spark):
+    said = {c: s for s, c in licences.SENTENCES.items()}
+    mit, bsd, apache = (". ".join(said[c] for c in letters) + "." for letters in ("NOP", "RSTUV", "ABD"))
+    wrap = lambda text, lead="", end="\n": end.join(lead + line for line in textwrap.wrap(text, 72))
+    texts = {
+        1: ("MIT License\n\nCopyright (c) 2020 A\n\n" + wrap(mit), "NOP", "MIT"),
+        2: ("MIT License\n" + wrap(mit, " * ", "\r\n") + "\n */ code", "NOP", "MIT"),
+        3: (wrap(bsd, "# "), "RSTUV", "BSD-3-Clause"),
+        4: (wrap(apache, "// "), "ABD", "Apache-2.0"),
+        5: ("a line\nLicensed under CC BY 4.0\nanother line", "Y", "CC-BY-4.0"),
+        6: ("This work is dedicated to the public\ndomain", "0", "CC0-1.0"),
+        7: ("Released under\n\nthe MIT License", "", ""),
+    }
+    got = licences.scan(spark.createDataFrame([(i, t[0]) for i, t in texts.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.sentence_ids, r.licences) for r in got} == {i: t[1:] for i, t in texts.items()}
+
+
 def test_licences_of_awkward_documents(spark):
     got = licences.scan(nasty.docs(spark)).collect()
     assert len(got) == len(nasty.rows())
