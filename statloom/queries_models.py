@@ -86,9 +86,10 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def topic_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics over every token, hashed into 2^18 columns; colliding tokens add up."""
     from statloom.functions.text import tokens
 
     x = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("words"))
-    counted = P.CountVectorizer(inputCol="words", outputCol="features", vocabSize=2000).fit(x).transform(x)
+    counted = P.HashingTF(inputCol="words", outputCol="features", numFeatures=1 << 18).transform(x)
     m = K.LDA(k=4, maxIter=5, seed=1).fit(counted)
     return m.transform(counted).select("doc_id", vector_to_array("topicDistribution").alias("topics"))

@@ -18,6 +18,14 @@ def test_runs(spark, sf, name):
     df.collect()
 
 
+def test_topics_of_documents_with_rare_words(spark, tmp_path):
+    rows = [(i, " ".join(f"w{j}" for j in range(2000))) for i in range(2)] + [(2 + i, " ".join([f"rare{i}x{j}" for j in range(20)] * 3)) for i in range(4)]
+    rows += [(6, " ".join(f"rare7x{j}" for j in range(20)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    topics = {r.doc_id: r.topics for r in QUERIES["topic_model"](spark, str(tmp_path)).collect()}
+    assert len(topics) == 7 and all(abs(sum(t) - 1) < 1e-6 for t in topics.values())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
