@@ -8,12 +8,10 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from statloom.llm._memory import trimmed
 
-#: Tasks that merge the partitions' sketches before the last one.
-MERGERS = 16
-
 
 def add_to_top(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Adds unsigned counts; what would run over stays at the top."""
@@ -56,12 +54,16 @@ def merged(
     dtype: str,
     count: Callable[[np.ndarray, pd.DataFrame], None],
     combine: Callable[[np.ndarray, np.ndarray], np.ndarray],
-) -> np.ndarray:
-    """The merged sketch of all rows: ``count`` adds a batch to a partition's cells.
-
-    Every partition makes one array of ``shape``; up to MERGERS tasks merge
-    them one by one, a last task merges what these made, and the driver gets
-    one array. ``shape`` is a fixed bound, so nothing here grows with the rows.
+    finish: Callable[[np.ndarray], np.ndarray],
+) -> bytes:
+    """What ``finish`` makes of the merged sketch of all rows, packed: ``count`` adds a batch to a partition's cells.
+
+    Every partition makes one array of ``shape``; the arrays are spread over
+    the session's shuffle partitions (adaptive execution joins those with
+    little), each merges its arrays one by one, a last task merges what these
+    made and finishes it, and the driver gets its packed bytes, to be passed on
+    as they are. ``shape`` is a fixed bound, so nothing here grows with the
+    rows. An empty table has an empty sketch.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,14 +72,22 @@ def merged(
             count(own, batch)
         yield pd.DataFrame({"blob": [pack(own)]})
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pd.DataFrame]) -> np.ndarray | None:
         own = None
         for batch in batches:
             for blob in batch["blob"]:
                 own = unpack(blob, dtype).reshape(shape) if own is None else combine(own, unpack(blob, dtype).reshape(shape))
+        return own
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sums(batches)
         if own is not None:
             yield pd.DataFrame({"blob": [pack(own)]})
 
-    parts = df.mapInPandas(trimmed(partial), "blob binary").repartition(MERGERS).mapInPandas(trimmed(merge), "blob binary")
-    last = parts.repartition(1).mapInPandas(trimmed(merge), "blob binary").first()
-    return unpack(bytes(last.blob), dtype).reshape(shape) if last else np.zeros(shape, dtype=dtype)
+    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sums(batches)
+        yield pd.DataFrame({"blob": [pack(finish(np.zeros(shape, dtype=dtype) if own is None else own))]})
+
+    parts = df.mapInPandas(trimmed(partial), "blob binary").withColumn("part", F.spark_partition_id()).repartition("part").select("blob")
+    done = parts.mapInPandas(trimmed(merge), "blob binary").repartition(1).mapInPandas(trimmed(last), "blob binary").first()
+    return bytes(done.blob) if done else pack(finish(np.zeros(shape, dtype=dtype)))

@@ -1,30 +1,30 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with similar shingle sets form groups: each document asks one leader
-that shares its rarest shingles, and those that link form a group (other
-documents are groups of one). The matrix holds, for each shingle, the
-groups with a member that has it in its prefix; a document's own prefix selects
-candidate groups. A group is opened only if the document's overlap with the
-union of the group's shingles can reach the threshold, and then the members'
-sets are compared exactly.
+Documents with similar shingle sets form groups. The matrix holds, for each
+shingle, the groups with a member that has it in its prefix. In a few rounds
+every group asks the likeliest of the leading members of the shingles it
+shares; what links becomes one group. Then every document meets the members of
+all other groups at the shingles of their prefixes: parity bitmaps bound how
+much two sets differ, and those within the bound ask for the group. A group is
+opened for a document only if its overlap with the union of the asked members'
+shingles can reach the threshold; then the members' sets are compared exactly.
 
 Why no link is lost: the prefix of a set of n shingles are its
-``n - ceil(t * n) + 1`` first ones in a global order. Two sets with likeness t
-or more share a shingle of both prefixes, so each finds the other's group; the
-union bound and the size bound never underestimate the likeness. Let u be the
-last prefix shingle of x or y, whichever comes first in the order. The larger
-set (or the other) shows its whole prefix up to u, so besides the c shared
-prefix shingles at most ``ceil(t * max(|x|, |y|)) - 1`` can be shared; a group
-that shares fewer prefix shingles with x than this leaves over is passed by.
-
-The global order puts frequent shingles last. Frequency comes from a count-min
-sketch over all documents; its errors change the order alike for every
-document, so they cost time and never a link.
+``n - ceil(t * n) + 1`` first ones in a global order, so two sets with likeness
+t or more share a shingle of both prefixes and meet there, unless they are of
+one group already. A bit of the bitmap is the parity of the shingles that fall
+on it, so two bitmaps never differ in more bits than the sets differ in
+shingles; the union bound never underestimates the overlap.
+
+The global order comes from a sketch over all documents: first the shingles
+that certainly only one document has (they meet nothing and are not stored),
+last the most frequent. Its errors change the order alike for every document,
+so they cost time and never a link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,14 +37,18 @@ from statloom.llm._words import distinct, mix, shingle_set
 from statloom.plans.graph import connected_components
 from statloom.plans.lineage import cut, small
 
-#: Least and most cells of the frequency sketch (16-bit counts that stop at the top).
-LEAST_CELLS, MOST_CELLS = 1 << 18, 1 << 24
-#: First prefix shingles by which a document finds one leader to link to.
-LEADING = 8
+#: Least and most bits of the plane that tells which shingles two documents may have.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+#: Bits a 16-bit frequency count (counts stop at the top).
+SHARE = 32
+#: Bytes of a set's parity bitmap.
+BITMAP = 128
+#: Rounds in which groups ask leaders, leaders of a shingle, and documents that meet there in one task.
+ROUNDS, LEADERS, CROWD = 2, 8, 1 << 15
+#: Documents of a shingle in one block; blocks of a shingle meet pair by pair.
+BLOCK = 4_096
 #: Most members of a group block, and documents that one task holds against it.
 MEMBERS, QUERIES = 256, 512
-#: Candidate pairs that a sweeping task counts before it passes them on.
-REMEMBERED = 100_000
 
 
 def _need(n: int, num: int, den: int) -> int:
@@ -58,18 +62,67 @@ def _links(left: np.ndarray, right: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(left) + len(right) - both)
 
 
-class _Forest:
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        while (y := self.up.setdefault(x, x)) != x:
-            self.up[x] = self.up[y]
-            x = y
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        self.up[self.root(x)] = self.root(y)
+def _bitmap(s: np.ndarray) -> bytes:
+    """Parity of the shingles that fall on each bit."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (8 * BITMAP), minlength=8 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+class _Order:
+    """Sketch of a corpus's shingles: two bit planes (met by one, by several documents) and counts."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.counts = bits, bits // SHARE
+
+    def parts(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        plane = self.bits // 8
+        return flat[:plane], flat[plane : 2 * plane], flat[2 * plane :].view(np.uint16)
+
+    def size(self) -> int:
+        return 2 * self.bits // 8 + 2 * self.counts
+
+    def add(self, flat: np.ndarray, shingles: np.ndarray) -> None:
+        """Adds the concatenated sets of some documents."""
+        if not len(shingles):
+            return
+        once, twice, counts = self.parts(flat)
+        cells = np.sort(shingles % np.uint64(self.bits))
+        first = np.flatnonzero(np.concatenate((np.ones(1, dtype=bool), cells[1:] != cells[:-1])))
+        n, cells = np.diff(np.append(first, len(cells))), cells[first]
+        at, bit = (cells >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cells & np.uint64(7)).astype(np.uint8)
+        again = np.where((n > 1) | ((once[at] & bit) > 0), bit, np.uint8(0))
+        start = np.flatnonzero(np.diff(at, prepend=-1))
+        place = at[start]
+        once[place] |= np.bitwise_or.reduceat(bit, start)
+        twice[place] |= np.bitwise_or.reduceat(again, start)
+        group = (cells // np.uint64(SHARE)).astype(np.int64)
+        start = np.flatnonzero(np.diff(group, prepend=-1))
+        place = group[start]
+        counts[place] = np.minimum(counts[place] + np.maximum.reduceat(n, start), 65_535)
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        (a1, a2, ac), (b1, b2, bc) = self.parts(a), self.parts(b)
+        np.bitwise_or(a2, b2, out=a2)
+        np.bitwise_or(a2, a1 & b1, out=a2)
+        np.bitwise_or(a1, b1, out=a1)
+        _sketch.add_to_top(ac, bc)
+        return a
+
+    def levels(self, flat: np.ndarray) -> np.ndarray:
+        """The plane of several documents, then one level of frequency a count."""
+        _, twice, counts = self.parts(flat)
+        load = max(4.0, 4.0 * float(counts.mean()))
+        out = np.concatenate((twice, np.zeros(self.counts, dtype=np.uint8)))
+        for at in range(0, self.counts, 1 << 20):
+            part = counts[at : at + (1 << 20)]
+            out[len(twice) + at : len(twice) + at + len(part)] = np.floor(2 * np.log2(np.maximum(part / load, 1.0)))
+        return out
+
+    def ranks(self, levels: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Zero for shingles of one document only, else 1 and more by frequency."""
+        cells = s % np.uint64(self.bits)
+        plane = self.bits // 8
+        return np.where(_sketch.has(levels[:plane], cells), levels[plane:][(cells // np.uint64(SHARE)).astype(np.int64)] + 1, 0)
 
 
 class _Opener:
@@ -78,33 +131,35 @@ class _Opener:
     def __init__(self, src: DataFrame, nodes: DataFrame, words: int, num: int, den: int) -> None:
         self.src, self.nodes, self.words, self.num, self.den = src, nodes, words, num, den
 
-    def __call__(self, pairs: DataFrame, grouped: DataFrame) -> DataFrame:
-        """``a, b``: links that connect all that link between each x and the members of its groups.
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """``a, b``: a link from each x to each group of ``pairs(x, y, grp)`` with an asked member that it links to.
 
-        A group's members lie in blocks, the documents that ask for it are
-        spread over tasks; each task holds one block.
+        A group's asked members lie in blocks, the documents that ask for it
+        are spread over tasks; each task holds one block.
         """
         src, nodes, words, num, den = self.src, self.nodes, self.words, self.num, self.den
-        asked = pairs.groupBy("grp").agg(F.count("*").alias("asks"))
-        held = grouped.join(asked.select("grp"), "grp", "left_semi").groupBy("grp").agg(F.count("*").alias("members"))
-        blocks = cut(held.join(asked, "grp").select("grp", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks"), F.ceil(F.col("asks") / QUERIES).cast("int").alias("salts")))
+        askers = cut(pairs.select("grp", F.col("x").alias("k1")).distinct())
+        asked = cut(pairs.select("grp", F.col("y").alias("k1")).distinct())
+        asks = askers.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
+        held = asked.groupBy("grp").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+        blocks = cut(held.join(asks, "grp"))
         spread = lambda key, n: F.pmod(F.xxhash64(key, F.lit(7)), F.col(n)).cast("int")
-        members = grouped.join(blocks, "grp").withColumn("block", spread("k1", "blocks"))
+        members = asked.join(blocks, "grp").withColumn("block", spread("k1", "blocks"))
         members = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("asks", F.lit(False))
-        queries = pairs.withColumnRenamed("x", "k1").join(blocks, "grp").withColumn("salt", spread("k1", "salts"))
+        queries = askers.join(blocks, "grp").withColumn("salt", spread("k1", "salts"))
         queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
         key = ["grp", "block", "salt"]
         both = cut(members.select("k1", *key, "asks").unionByName(queries.select("k1", *key, "asks")))
-        wanted = cut(both.select("k1").distinct().join(nodes.select("k1", F.col("rep").alias("doc_id")), "k1"))
-        texts = cut(src.where("text is not null").join(small(wanted), "doc_id").select("k1", "text"))
+        wanted = cut(both.select("k1").distinct().join(nodes.select("k1", "tag"), "k1"))
+        texts = cut(src.where("text is not null").join(small(wanted), "tag").groupBy("k1").agg(F.min("text").alias("text")))
 
         def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            at, inner, union, least, forest = None, [], None, 0, _Forest()
+            at, inner, union, least = None, [], None, 0
             for batch in batches:
                 out = []
                 for k, asks, text, *here in zip(batch["k1"].tolist(), batch["asks"].tolist(), batch["text"], *(batch[c].tolist() for c in key)):
                     if here != at:
-                        at, inner, union, forest = here, [], None, _Forest()
+                        at, inner, union = here, [], None
                     s = shingle_set(text, words)
                     if not asks:
                         inner.append((k, s))
@@ -116,11 +171,9 @@ class _Opener:
                     if int((union[place] == s).sum()) < _need(max(len(s), least), num, den):
                         continue  # the group stays closed
                     for y, t in inner:
-                        if k == y or den * len(s) < num * len(t) or den * len(t) < num * len(s) or forest.root(k) == forest.root(y):
-                            continue
-                        if _links(s, t, num, den):
-                            forest.join(k, y)
+                        if k != y and den * len(s) >= num * len(t) and den * len(t) >= num * len(s) and _links(s, t, num, den):
                             out.append((k, y))
+                            break  # the members are of one group
                 if out:
                     yield pd.DataFrame(out, columns=["a", "b"])
 
@@ -128,129 +181,174 @@ class _Opener:
         return cut(rows.mapInPandas(trimmed(opened), "a long, b long"))
 
 
+def _runs(key: list[str], task: Callable[[np.ndarray, dict, np.ndarray], dict | None]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A task over whole runs of equal keys of sorted batches: gets the run of each row, columns and bitmaps."""
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame | None:
+        new = np.zeros(len(frame), dtype=bool)
+        for c in key:
+            v = frame[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        bits = np.frombuffer(b"".join(frame["bits"]), dtype=np.uint64).reshape(len(frame), -1)
+        made = task(np.cumsum(new), {c: frame[c].to_numpy() for c in frame.columns if c != "bits"}, bits)
+        return None if made is None else pd.DataFrame(made).drop_duplicates()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = batch.iloc[-1][key]
+            tail = np.flatnonzero(~(batch[key] == last).all(axis=1).to_numpy())
+            from_ = int(tail[-1]) + 1 if len(tail) else 0
+            if from_ == 0 and held and (held[0].iloc[0][key] == last).all():
+                held.append(batch)
+                continue
+            done = work(pd.concat([*held, batch.iloc[:from_]], ignore_index=True)) if held or from_ else None
+            held = [batch.iloc[from_:]]
+            if done is not None:
+                yield done
+        if held:
+            done = work(pd.concat(held, ignore_index=True))
+            if done is not None:
+                yield done
+
+    return trimmed(run)
+
+
+def _near(c: dict, bits: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which pairs of rows of different groups may link by their sizes and bitmaps, and the bits they differ in."""
+    n, m = c["n"][i], c["n"][j]
+    ok = (c["grp"][i] != c["grp"][j]) & (den * n >= num * m) & (den * m >= num * n)
+    i, j, n, m = i[ok], j[ok], n[ok], m[ok]
+    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+    ok = apart <= n + m - 2 * -(-num * (n + m) // (num + den))
+    return i[ok], j[ok], apart[ok]
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
     Two documents link if ``den * |A & B| >= num * |A | B|`` over their sets of
     distinct ``words``-word shingles. ``component_id`` is the smallest doc_id
     reachable by links. Null and empty texts have no shingles and link with
-    nothing; a text of fewer words is one shingle. Rows with a null doc_id keep
-    a null component unless they link; repeated rows stay repeated; other
-    columns are ignored. Shingles are 64-bit hashes.
+    nothing; a text of fewer words is one shingle. Rows with a null doc_id link
+    like others; their component is null unless a known doc_id is reachable.
+    Repeated rows stay repeated; other columns are ignored; an empty table
+    gives no rows. Shingles are 64-bit hashes, a set is known by a 64-bit key.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     spark = docs.sparkSession
 
     size = src.agg(F.sum(F.length("text"))).first()[0] or 0
-    cells = int(min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // 32).bit_length())))
+    sketch = _Order(int(min(MOST_BITS, max(LEAST_BITS, 1 << int(size // 4).bit_length()))))
 
     def count(own: np.ndarray, batch: pd.DataFrame) -> None:
         for i in range(0, len(batch), 200):
-            found = np.sort(np.concatenate([shingle_set(t, words) % np.uint64(cells) for t in batch["text"].iloc[i : i + 200]]))
-            at = np.flatnonzero(np.diff(found, prepend=found[:1] + np.uint64(1))) if len(found) else found
-            n = np.diff(np.append(at, len(found)))
-            own[found[at]] = np.minimum(own[found[at]] + n, 65_535)
-
-    counts = _sketch.merged(src.select("text"), cells, "uint16", count, _sketch.add_to_top)
-    load = max(4.0, 4.0 * float(counts.mean()))
-    levels = np.zeros(cells, dtype=np.uint8)
-    for at in range(0, cells, 1 << 20):
-        levels[at : at + (1 << 20)] = np.floor(np.log2(np.maximum(counts[at : at + (1 << 20)] / load, 1.0)))
-    del counts
-    order = spark.sparkContext.broadcast(_sketch.pack(levels))
-    del levels
+            sketch.add(own, np.concatenate([shingle_set(t, words) for t in batch["text"].iloc[i : i + 200]]))
+
+    order = spark.sparkContext.broadcast(_sketch.merged(src.select("text"), sketch.size(), "uint8", count, sketch.merge, sketch.levels))
     held: dict = {}
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        level = held.get("level")
-        if level is None:
-            level = held["level"] = _sketch.unpack(order.value, "uint8")
+        levels = held.get("levels")
+        if levels is None:
+            levels = held["levels"] = _sketch.unpack(order.value, "uint8")
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, tag, text in zip(batch["doc_id"], batch["tag"], batch["text"]):
                 s = shingle_set(text, words)
                 n = len(s)
                 if not n:
-                    out.append((doc_id, 0, None, None, None))
+                    out.append((doc_id, tag, 0, None, None, None, None))
                     continue
-                first = n - _need(n, num, den) + 1
-                rank = level[s % np.uint64(cells)]
-                if rank.any():
-                    s = s[np.argsort(rank, kind="stable")]
-                prefix = s[:first].view(np.int64)
+                rank = sketch.ranks(levels, s)
+                first = n - _need(n, num, den) + 1 - int((rank == 0).sum())
+                prefix = bits = None
+                if first > 0:
+                    others = np.flatnonzero(rank)
+                    prefix = s[others[np.argsort(rank[others], kind="stable")[:first]]].view(np.int64)
+                    bits = _bitmap(s)
                 k1, k2 = (np.add.reduce(mix(s, seed)).astype(np.uint64).view(np.int64) for seed in (11, 12))
-                out.append((doc_id, n, k1, k2, prefix))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "k1", "k2", "prefix"]).astype({"k1": "Int64", "k2": "Int64"})
+                out.append((doc_id, tag, n, k1, k2, prefix, bits))
+            yield pd.DataFrame(out, columns=["doc_id", "tag", "n", "k1", "k2", "prefix", "bits"]).astype({"k1": "Int64", "k2": "Int64"})
 
     # ids travel as text: pandas would make longs with nulls floats
-    made = src.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(trimmed(prefixes), "doc_id string, n long, k1 long, k2 long, prefix array<long>")
+    made = src.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(trimmed(prefixes), "doc_id string, tag long, n long, k1 long, k2 long, prefix array<long>, bits binary")
     sets = cut(made.withColumn("doc_id", F.col("doc_id").cast("long")))
-    nodes = cut(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
-    one = sets.where("n > 0").join(nodes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
-
-    def lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, first = None, None
-        for batch in batches:
-            out = []
-            for t, x, n in zip(*(batch[c].tolist() for c in ("tok", "k1", "n"))):
-                if t != tok:
-                    tok, first = t, (x, n)
-                elif x != first[0] and den * first[1] >= num * n and den * n >= num * first[1]:
-                    out.append((x, first[0]))
-            if out:
-                yield pd.DataFrame(out, columns=["x", "grp"])
-
-    # each document asks one leader: the first document of most of its leading shingles
-    leading = one.select("k1", "n", F.explode(F.slice("prefix", 1, LEADING)).alias("tok"))
-    stars = leading.repartition("tok").sortWithinPartitions("tok", "k1").mapInPandas(trimmed(lead), "x long, grp long")
-    stars = stars.groupBy("x", "grp").agg(F.count("*").alias("c")).groupBy("x").agg(F.max_by("grp", F.struct("c", "grp")).alias("grp"))
+    nodes = cut(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("tag").alias("tag"), F.min("n").alias("n"), F.min("bits").alias("bits")))
+    rows = sets.where("bits is not null").select("k1", "n", F.explode("prefix").alias("tok")).distinct()
+    live = rows.groupBy("tok").agg(F.count("*").alias("docs")).where("docs > 1")
+    live = cut(rows.join(live, "tok"))  # shingles that meet nothing go
+    bitmaps = nodes.where("bits is not null").groupBy("k1").agg(F.min("bits").alias("bits"))
     link = _Opener(src, nodes, words, num, den)
-    near = link(cut(stars), nodes.select("k1", F.col("k1").alias("grp")))
-    comps = cut(connected_components(near, "a", "b"))
-    grouped = cut(nodes.join(comps.withColumnRenamed("node", "k1"), "k1", "left").select("k1", "k2", "rep", "n", F.coalesce("component", "k1").alias("grp")))
-    rows = one.join(grouped.select("k1", "k2", "grp"), ["k1", "k2"]).select("k1", "n", "grp", F.explode("prefix").alias("tok"))
 
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict = {}
-        tok, groups = None, {}  # other groups of this shingle so far: sizes of members
-
-        def told() -> pd.DataFrame:
-            keys = np.array(list(counts), dtype=np.int64).reshape(-1, 2)
-            out = pd.DataFrame({"x": keys[:, 0], "grp": keys[:, 1], "c": np.fromiter(counts.values(), dtype=np.int64, count=len(counts))})
-            counts.clear()
-            return out
-
-        for batch in batches:
-            for t, g, x, n in zip(*(batch[c].tolist() for c in ("tok", "grp", "k1", "n"))):
-                if t != tok:
-                    tok, groups = t, {}
-                for other, (low, high) in groups.items():
-                    if other != g and den * n >= num * low and num * n <= den * high:
-                        counts[x, other] = counts.get((x, other), 0) + 1
-                low, high = groups.get(g, (n, n))
-                groups[g] = (min(low, n), max(high, n))
-            if len(counts) > REMEMBERED:
-                yield told()
-        if counts:
-            yield told()
-
-    dealt = rows.repartition("tok").sortWithinPartitions("tok", "grp", "k1")
-    hits = dealt.mapInPandas(trimmed(sweep), "x long, grp long, c long").groupBy("x", "grp").agg(F.sum("c").alias("c"))
-    groups = cut(grouped.groupBy("grp").agg(F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")))
-    # the least size that fits and the largest need the fewest shared prefix shingles; the ceilings
-    # let a size between them need one fewer, never two
-    ceil = lambda x: F.ceil(x - F.lit(1e-9))
-    fewest = lambda n, m: ceil((n + m) * num / (num + den)) - ceil(F.greatest(n, m) * num / den) + 1
-    low = F.greatest(F.col("low"), ceil(F.col("n") * num / den))
-    high = F.least(F.col("high"), F.floor(F.col("n") * den / num + F.lit(1e-9)))
-    sized = hits.join(groups, "grp").join(nodes.select(F.col("k1").alias("x"), "n"), "x")
-    between = F.when(high - low > 1, 1).otherwise(0)
-    pairs = cut(sized.where((low <= high) & (F.col("c") >= F.least(fewest(F.col("n"), low), fewest(F.col("n"), high)) - between)).select("x", "grp"))
-    links = near.unionByName(link(pairs, grouped.select("k1", "grp")))
-    ids = nodes.select("k1", "rep")
-    edges = links.join(ids.select(F.col("k1").alias("a"), F.col("rep").alias("src")), "a").join(ids.select(F.col("k1").alias("b"), F.col("rep").alias("dst")), "b")
-    comps = cut(connected_components(edges))
-    rep = nodes.join(comps, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    def grouped(links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The group of every node, and the rows of shingles at which two groups meet."""
+        groups = nodes.select("k1", F.col("k1").alias("grp"))
+        if links is not None:
+            comps = connected_components(links, "a", "b").withColumnRenamed("node", "k1")
+            groups = groups.join(comps, "k1", "left").select("k1", F.coalesce("component", "grp").alias("grp"))
+        groups = cut(groups.distinct())
+        at = live.join(groups, "k1")
+        if links is not None:
+            met = at.groupBy("tok").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("tok")
+            at = at.join(met, "tok")
+        return groups, at.join(bitmaps, "k1")
+
+    def lead(run: np.ndarray, c: dict, bits: np.ndarray) -> dict | None:
+        start = np.searchsorted(run, run)
+        best, to = np.full(len(run), np.iinfo(np.int64).max), np.full(len(run), -1)
+        for s in range(LEADERS):
+            i = np.flatnonzero(start + s < np.arange(len(run)))
+            i, j, apart = _near(c, bits, i, start[i] + s, num, den)
+            closer = apart < best[i]
+            best[i[closer]], to[i[closer]] = apart[closer], j[closer]
+        i = np.flatnonzero(to >= 0)
+        return {"own": c["grp"][i], "apart": best[i], "x": c["k1"][i], "y": c["k1"][to[i]], "grp": c["grp"][to[i]]} if len(i) else None
+
+    def meet(run: np.ndarray, c: dict, bits: np.ndarray) -> dict | None:
+        crossed = c["low"] != c["high"]
+        i, s, found = np.arange(len(run)), 1, []
+        while True:
+            i = i[i + s < len(run)]
+            i = i[run[i] == run[i + s]]
+            if not len(i):
+                break
+            k = i[~crossed[i] | (c["block"][i] != c["block"][i + s])]
+            a, b, _ = _near(c, bits, k, k + s, num, den)
+            if len(a):
+                found.append((a, b))
+            s += 1
+        if not found:
+            return None
+        a, b = (np.concatenate(x) for x in zip(*found))
+        turn = c["grp"][a] > c["grp"][b]
+        x, y = np.where(turn, a, b), np.where(turn, b, a)  # the smaller group is asked
+        return {"x": c["k1"][x], "y": c["k1"][y], "grp": c["grp"][y]}
+
+    links = None
+    for _ in range(ROUNDS):
+        groups, at = grouped(links)
+        sizes = groups.groupBy("grp").agg(F.count("*").alias("size"))
+        key = ["tok", "salt"]
+        dealt = at.join(sizes, "grp").withColumn("salt", F.pmod(F.xxhash64("k1", F.lit(5)), F.ceil(F.col("docs") / CROWD)).cast("int"))
+        dealt = dealt.select(*key, "size", "grp", "k1", "n", "bits").repartition(*key).sortWithinPartitions(*key, F.desc("size"), "grp", "k1")
+        asked = dealt.mapInPandas(_runs(key, lead), "own long, apart long, x long, y long, grp long")
+        asked = cut(asked.groupBy("own").agg(F.min(F.struct("apart", "x", "y", "grp")).alias("best")).select("best.*"))
+        more = link(asked)
+        links = more if links is None else links.unionByName(more)
+    groups, at = grouped(links)
+    key = ["tok", "low", "high"]
+    blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
+    dealt = at.withColumn("block", F.pmod(F.xxhash64("k1", F.lit(6)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("tok", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k1", "n", "grp", "bits")
+    met = dealt.repartition(*key).sortWithinPartitions(*key, "n", "k1").mapInPandas(_runs(key, meet), "x long, y long, grp long")
+    links = links.unionByName(link(cut(met.distinct())))
+    comps = connected_components(links, "a", "b").withColumnRenamed("node", "k1")
+    known = cut(nodes.join(comps, "k1", "left").select("k1", "k2", "rep", F.coalesce("component", "k1").alias("comp")))
+    least = known.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    rep = known.join(least, "comp").select("k1", "k2", "component_id")
     return (
         sets.join(rep, ["k1", "k2"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -89,9 +89,7 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
             for row in range(DEPTH):
                 _sketch.meet(own, row, distinct(_cell(a, row, cells)))
 
-    seen = _sketch.merged(sole.select("text"), (DEPTH, 2, cells // 8), "uint8", count, _sketch.either)
-    repeated = spark.sparkContext.broadcast(_sketch.pack(seen[:, 1]))
-    del seen
+    repeated = spark.sparkContext.broadcast(_sketch.merged(sole.select("text"), (DEPTH, 2, cells // 8), "uint8", count, _sketch.either, lambda seen: seen[:, 1]))
     held: dict = {}
 
     def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,7 +161,7 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
         release()
         return made
 
-    own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
+    own = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "kept")]
     tagged = docs.select(*own, F.col("doc_id").cast("long").alias("__id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("__tag"))
     runs = small(runs.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("runs").alias("__runs")))
     judged = tagged.join(runs, ["__id", "__tag"], "left").select(*own, keep(F.col("text").cast("string"), "__runs").alias("__made"))
