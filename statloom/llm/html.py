@@ -1,6 +1,6 @@
 """Main text of HTML pages by tree scoring.
 
-A page becomes a tree. Parts that a tag name or a class, id or role word marks
+A page becomes a tree by the rules of HTML for tags, attributes and raw text. Parts that a tag name or a class, id or role word marks
 as page furniture are cut out, but not what is around a main or the longest
 article, and not by words if nothing would be left. Each block of running text gives points (one,
 its commas, and its length up to a limit) to the elements around it: all to its
@@ -26,24 +26,36 @@ from pyspark.sql import functions as F
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math".split())
-FURNITURE = frozenset("nav header footer aside form script style noscript template button select option textarea input label fieldset iframe object embed svg math head title menu dialog canvas audio video noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript textarea title iframe noembed noframes xmp".split())
+FURNITURE = frozenset(
+    "nav header footer aside script style noscript template button select option textarea input label fieldset iframe object embed svg annotation annotation-xml "
+    "head title menu dialog canvas audio video noembed noframes xmp".split()
+)
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
-# Words of class, id and role that mark furniture.
-FURNITURE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer "
-    "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion "
-    "recommended related reply replies search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar widget alert complementary contentinfo".split()
+# Words of class, id and role that mark furniture anywhere in a name, and those that do so only as what the name is of.
+ALWAYS_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comments consent cookie cookies disqus footer gdpr modal nav navbar navigation newsletter "
+    "pagination popup promo promoted recommended related replies sidebar social sponsor sponsored subscribe complementary contentinfo".split()
 )
+HEAD_WORDS = frozenset("alert banner comment disclaimer header login masthead menu notice notices pager promotion reply search share sharing signup tags toolbar widget".split())
 CONTENT_WORDS = frozenset("article body content entry main post story text".split())
+# Words that tell of a part, place or form of what a name is of.
+PART_WORDS = frozenset(
+    "area bar block body bottom box button buttons column container content count field form group icon icons inner item items left link links list meta "
+    "outer panel primary right row secondary section slot text title top unit wrap wrapper".split()
+)
 # Words that make a class or id tell of a state of the element, not of what it is.
 STATE_WORDS = frozenset("closed disabled enabled has hide is no not off on open show with without".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b|\b(style)\s*=\s*(\"[^\"]*\"|'[^']*')", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"(=?[^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?")
+_HIDING = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
 class _Node:
@@ -53,45 +65,120 @@ class _Node:
         self.tag, self.up, self.gone, self.content, self.marked, self.kids, self.score = tag, up, gone, content, marked, [], 0.0
 
 
-def _marks(attributes: str) -> tuple[bool, bool, bool]:
+def _marks(attributes: dict[str, str]) -> tuple[bool, bool, bool]:
     """Whether attributes hide an element, mark it as furniture, or as content.
 
     Each name stands alone: one that tells of a state marks no furniture, and a
     name of content alone saves the element from its other names.
     """
-    gone = marked = content = saved = False
-    for kind, value, hidden, style, css in _NAMES.findall(attributes):
-        if hidden or style and re.search(r"display\s*:\s*none", css, re.I):
-            gone = True
-        for name in value.strip("\"'").split() if kind else ():
-            found = {w.lower() for w in _WORD.findall(name)}
-            furniture = bool(found & FURNITURE_WORDS)
-            marked = marked or furniture and not found & STATE_WORDS
-            content = content or bool(found & CONTENT_WORDS)
-            saved = saved or bool(found & CONTENT_WORDS) and not furniture
+    marked = content = saved = False
+    gone = "hidden" in attributes or bool(_HIDING.search(attributes.get("style", "")))
+    for kind in ("class", "id", "role"):
+        for name in attributes.get(kind, "").split():
+            found = [w.lower() for w in _WORD.findall(name)]
+            furniture = _is_furniture(found)
+            marked = marked or furniture and not STATE_WORDS.intersection(found)
+            content = content or not CONTENT_WORDS.isdisjoint(found)
+            saved = saved or not furniture and not CONTENT_WORDS.isdisjoint(found)
     return gone, marked and not saved, content
 
 
+def _is_furniture(name: list[str]) -> bool:
+    """Whether a name's words call the element furniture: share-buttons does, share-price and entry-header do not."""
+    if not ALWAYS_WORDS.isdisjoint(name):
+        return True
+    rest = list(name)
+    while len(rest) > 1 and rest[-1] in PART_WORDS:
+        rest.pop()
+    if not rest or rest[-1] not in HEAD_WORDS:
+        return False
+    return not (rest[-1] == "header" and CONTENT_WORDS.intersection(rest))
+
+
+def _tag_end(html: str, at: int) -> tuple[int, dict[str, str], bool]:
+    """Where the tag with attributes from ``at`` on ends (-1: the page ends first), these, and whether ``/`` ends it."""
+    attributes: dict[str, str] = {}
+    n = len(html)
+    while True:
+        gap = _GAP.match(html, at)
+        at = gap.end()
+        if at >= n:
+            return -1, attributes, False
+        if html[at] == ">":
+            return at + 1, attributes, gap[0].endswith("/")
+        m = _ATTRIBUTE.match(html, at)
+        name = m[1].lower()
+        if name in ("class", "id", "role", "style", "hidden") and name not in attributes:
+            attributes[name] = unescape(m[2] or m[3] or m[4] or "")
+        at = m.end()
+
+
+def _tokens(html: str) -> Iterator[tuple[str, str, dict[str, str] | bool]]:
+    """Tokens of a page by the rules of HTML: ("", text, {}), ("/", tag, {}) and (tag, "/" if self-closing, attributes).
+
+    Comments, declarations and the content of raw elements make no token; what
+    a page that ends within a tag holds of it is dropped.
+    """
+    at, n = 0, len(html)
+    while at < n:
+        open_ = html.find("<", at)
+        if open_ < 0:
+            yield "", html[at:], {}
+            return
+        after = html[open_ + 1 : open_ + 2]
+        closing = after == "/"
+        name = _NAME.match(html, open_ + 1 + closing)
+        if not name:
+            if closing or after in ("!", "?"):
+                if open_ > at:
+                    yield "", html[at:open_], {}
+                if html.startswith("<!--", open_):
+                    if html.startswith((">", "->"), open_ + 4):
+                        at = html.index(">", open_) + 1
+                        continue
+                    end = html.find("-->", open_ + 4)
+                    at = n if end < 0 else end + 3
+                else:
+                    end = html.find(">", open_ + 2)
+                    at = n if end < 0 else end + 1
+            else:
+                yield "", html[at : open_ + 1], {}
+                at = open_ + 1
+            continue
+        if open_ > at:
+            yield "", html[at:open_], {}
+        tag = name[0].lower()
+        end, attributes, slash = (name.end() + 1, {}, False) if html.startswith(">", name.end()) else _tag_end(html, name.end())
+        if end < 0:
+            return
+        at = end
+        if closing:
+            yield ("br", "", {}) if tag == "br" else ("/", tag, {})
+            continue
+        yield tag, "/" if slash else "", attributes
+        if tag in RAW:
+            close = _END[tag].search(html, at)
+            if not close:
+                return
+            at = _tag_end(html, close.end())[0]
+            if at < 0:
+                return
+
+
 def parse(html: str) -> _Node:
     """The element tree; text stands between elements as strings, furniture is marked."""
     root = here = _Node("#root", None, False, False)
     depth: dict[str, int] = {}
-    at, raw = 0, None
-    for m in _TAG.finditer(html):
-        if m.start() < at:
-            continue
-        closing, tag = m[1], (m[2] or "").lower()
-        if m.start() > at:
-            here.kids.append(html[at : m.start()])
-        at = m.end()
+    for tag, value, attributes in _tokens(html):
         if not tag:
+            here.kids.append(value)
             continue
-        if closing:
-            if depth.get(tag):
-                while here.tag != tag:
+        if tag == "/":
+            if depth.get(value):
+                while here.tag != value:
                     depth[here.tag] -= 1
                     here = here.up
-                depth[tag] -= 1
+                depth[value] -= 1
                 here = here.up
             continue
         if tag in CLOSES_P and depth.get("p"):
@@ -103,27 +190,23 @@ def parse(html: str) -> _Node:
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and here.tag == tag:
             depth[tag] -= 1
             here = here.up
-        gone, marked, content = _marks(m[3]) if m[3] else (False, False, False)
-        if tag == "header" and depth.get("article"):
-            gone = gone or False  # an article's own header belongs to it
+        gone, marked, content = _marks(attributes) if attributes else (False, False, False)
+        if tag == "form":
+            marked = True
+        elif tag == "header" and (depth.get("article") or depth.get("main")):
+            pass  # the header of an article belongs to it
+        elif tag in ("html", "body", "main", "article"):
+            gone = False
         else:
             gone = gone or tag in FURNITURE
-        if tag in ("html", "body", "main", "article"):
-            gone = False
+        if tag == "p" or tag in _HEADINGS:
+            marked = marked and not content and bool(attributes.get("class") or attributes.get("role"))
         node = _Node(tag, here, gone, content or tag in ("article", "main"), marked)
         here.kids.append(node)
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(html, at)
-            at = end.end() if end else len(html)
-            continue
-        if m[0].endswith("/>") and tag not in CLOSES_P and tag not in INLINE:
+        if tag in VOID or tag in RAW or value == "/" and tag not in CLOSES_P and tag not in INLINE:
             continue
         depth[tag] = depth.get(tag, 0) + 1
         here = node
-    if at < len(html):
-        here.kids.append(html[at:])
     return root
 
 
@@ -135,8 +218,8 @@ def _unmark(root: _Node) -> None:
         node, article = stack.pop()
         if node.tag == "main":
             _clear(node)
-        if node.tag == "article" and not node.marked:
-            article = node
+        if node.tag == "article":
+            article = article if node.marked else node
         for kid in node.kids:
             if isinstance(kid, str):
                 if article is not None:
@@ -186,7 +269,7 @@ def _walk(top: _Node, blocks: list[tuple[str, _Node, int]], marks: bool = True)
                 parts.append(kid)
                 if link:
                     links.append(kid)
-            elif kid.gone or marks and kid.marked and kid.tag not in ("html", "body", "main", "article"):
+            elif kid.gone or marks and kid.marked and kid.tag not in ("html", "body", "main"):
                 if kid.tag not in INLINE and kid.tag not in ("button", "select", "input", "label"):
                     close()
             elif kid.tag == "br":
@@ -209,6 +292,18 @@ def _walk(top: _Node, blocks: list[tuple[str, _Node, int]], marks: bool = True)
 # Elements that are themselves a block and pass their points on.
 _BLOCKS = frozenset("p pre h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote figcaption caption address summary".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_LISTS = frozenset("ul ol dl table figure math".split())
+
+
+def _heading_only(node: _Node) -> bool:
+    """Whether the only text of an element's direct content is that of headings (and their own wrappers)."""
+    while True:
+        kids = [k for k in node.kids if (k.strip() if isinstance(k, str) else not k.gone and not k.marked and (k.kids or k.tag not in VOID))]
+        if len(kids) != 1 or isinstance(kids[0], str):
+            return bool(kids) and all(not isinstance(k, str) and k.tag in _HEADINGS for k in kids)
+        if kids[0].tag in _HEADINGS:
+            return True
+        node = kids[0]
 
 
 def main_text(html: str | None) -> str:
@@ -269,7 +364,7 @@ def main_text(html: str | None) -> str:
             for run in (kids, kids[::-1]):
                 beside = False
                 for kid in run:
-                    beside = id(kid) in kept or beside and kid.tag in _BLOCKS and (kid.tag in _HEADINGS or dense(kid) < 0.5)
+                    beside = id(kid) in kept or beside and (kid.tag in _HEADINGS or _heading_only(kid) or (kid.tag in _BLOCKS or kid.tag in _LISTS) and dense(kid) < 0.5)
                     if beside:
                         kept.add(id(kid))
     out = []

@@ -52,6 +52,33 @@ def test_title_and_lead_before_the_body(around):
     assert got.startswith("Title Short lead. Long text,") and got.endswith("on. A quote.")
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p data-x=o'clock>One two.</p><p class=it's>Three.</p></article>", "One two. Three."),
+        ("<article><p>A, a.</p><script>for(i=0;i<n;i++){} // don't</script><p>B, b.</p><style>p:before{content:\"<p>\"}</style><p>C.</p></article>", "A, a. B, b. C."),
+        ("<article><p>A.</p><script>if (a<b) x = '</p>' </script ><p>B.</p><textarea><p>no</textarea></article>", "A. B."),
+        (f"{ART}<article class='comment'><p>Reader's words, quite long, with commas, and more of them.</p></article>", TEXT),
+        (f"<div class='comments'><article><p>Reader's words, quite long.</p></article></div>{ART}", TEXT),
+        ("<article><p class='share-price'>Price 3.</p><div class='search-results'><p>Found, it was.</p></div><div class='entry-header'><h1>T</h1></div></article>", "Price 3. Found, it was. T"),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><div class='share-buttons'>Share this</div></article>", "So x=2 holds."),
+        ("<article><p>a < b && c <3 d</p><!-- > --><p>x</p><!--><p>y</p><? php ?></ p><p>z</p></article>", "a < b && c <3 d x y z"),
+        ("<form id=aspnet><nav>Menu</nav><article><header><h1>T</h1></header><p>Text.</p></article><p>Send</p></form>", "T Text."),
+        ("<article><p>kept<p class='x", "kept"),
+        ("<ARTICLE><P TITLE='a>b'>One</P><BR><IMG alt=\"<p>\"><p/>Two</ARTICLE>", "One Two"),
+    ],
+)
+def test_tags_by_the_rules(page, want):
+    assert main_text(f"<body>{page}") == want
+
+
+def test_title_and_list_around_a_body_without_article():
+    long = "<p>" + "Long text, with commas, goes on and on. " * 8 + "</p>"
+    page = f"<div class='header'>Site</div><div class='entry'><div class='entry-header'><h1>Title</h1></div><div class='body'>{long * 3}</div><ul><li>one</li><li>two</li></ul></div><div class='footer'>Foot</div>"
+    got = main_text(page)
+    assert got.startswith("Title Long") and got.endswith("on. one two")
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<<<>>>")[:0] == ""
     assert main_text("<article><p>cut off &amp") == "cut off &"
