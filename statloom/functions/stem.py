@@ -1,8 +1,9 @@
-"""The Porter stemmer, from its published definition, as a vectorised function of tokens."""
+"""The Porter and Paice/Husk stemmers, from their published definitions, as vectorised functions of tokens."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -88,3 +89,77 @@ def porter_stem(token: Column) -> Column:
         return tokens.map(porter, na_action="ignore")
 
     return stem(token)
+
+
+# The published Paice/Husk rules. A reversed ending, "*" if the word must be whole, how many letters go,
+# what comes instead, and ">" to go on or "." to stop.
+PAICE_HUSK = (
+    "ai*2. a*1. bb1. city3s. ci2> cn1t> dd1. dei3y> deec2ss. dee1. de2> dooh4> e1> feil1v. fi2> gni3> gai3y. ga2> gg1. ht*2. hsiug5ct. hsi3> i*1. i1y> "
+    "ji1d. juf1s. ju1d. jo1d. jeh1r. jrev1t. jsim2t. jn1d. j1s. lbaifi6. lbai4y. lba3> lbi3. lib2l> lc1. lufi4y. luf3> lu2. lai3> lau3> la2> ll1. "
+    "mui3. mu*2. msi3> mm1. nois4j> noix4ct. noi3> nai3> na2> nee0. ne2> nn1. pihs4> pp1. re2> rae0. ra2. ro2> ru2> rr1. rt1> rei3y> sei3y> sis2. si2> "
+    "ssen4> ss0. suo3> su*2. s*1> s0. tacilp4y. ta2> tnem4> tne3> tna3> tpir2b. tpro2b. tcud1. tpmus2. tpec2iv. tulo2v. tsis0. tsi3> tt1. uqi3. ugo1. "
+    "vis3j> vie0. vi2> ylb1> yli3y> ylp0. yl2> ygo1. yhp1. ymo1. ypo1. yti3> yte3> ytl2. yrtsi5. yra3> yro3> yfi3. ycn2t> yca3> zi2> zy1s."
+)
+
+
+def _paice_rules(text: str) -> list[tuple[str, bool, int, str, bool]]:
+    out = []
+    for rule in text.split():
+        m = re.fullmatch(r"([a-z]+)(\*?)(\d)([a-z]*)([.>])", rule)
+        out.append((m[1][::-1], bool(m[2]), int(m[3]), m[4], m[5] == ">"))
+    return out
+
+
+def paice_husk(word: str, rules: str = PAICE_HUSK) -> str:
+    """The stem of a lower-case word by rules that are applied until one says stop or none fits.
+
+    A stem keeps a vowel or y: two letters if it starts with a vowel, else three.
+    """
+    by_end: dict[str, list] = {}
+    for rule in _paice_rules(rules):
+        by_end.setdefault(rule[0][-1], []).append(rule)
+    whole, now = True, word
+    while now:
+        for ending, only_whole, n, more, on in by_end.get(now[-1], ()):
+            if not now.endswith(ending) or only_whole and not whole:
+                continue
+            new = now[: len(now) - n] + more
+            if n and not (len(new) >= 2 if new[:1] in "aeiou" and new else len(new) >= 3 and any(c in "aeiouy" for c in new)):
+                continue
+            whole = whole and new == now
+            now = new
+            break
+        else:
+            return now
+        if not on:
+            return now
+    return now
+
+
+def longest_ending(word: str, endings: dict[str, Callable[[str], bool] | None], recode: Sequence[tuple[str, str]] = ()) -> str:
+    """The stem after the longest ending that leaves two letters and whose condition holds, then one recoding of the stem's end.
+
+    The method of Lovins, whose table of endings is a parameter: each ending
+    with a condition on the stem, or none.
+    """
+    for n in range(min(11, len(word) - 2), 0, -1):
+        ending = word[-n:]
+        if ending in endings and (endings[ending] is None or endings[ending](word[:-n])):
+            word = word[:-n]
+            break
+    if len(word) > 2 and word[-1] == word[-2] and word[-1] in "bdglmnprst":
+        word = word[:-1]
+    for old, new in recode:
+        if word.endswith(old):
+            return word[: len(word) - len(old)] + new
+    return word
+
+
+def paice_husk_stem(token: Column) -> Column:
+    """Paice/Husk stems of a token column; give it distinct tokens."""
+
+    @F.pandas_udf("string")
+    def stem(tokens: pd.Series) -> pd.Series:
+        return tokens.map(paice_husk, na_action="ignore")
+
+    return stem(token)

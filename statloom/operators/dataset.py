@@ -6,6 +6,7 @@ partitions are, and may be made again by any engine.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,9 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows of a bucket of a seeded order, about.
+BUCKET = 50_000
+
+
 def shuffle_key(key: str, seed: int) -> Column:
-    """A seeded pseudo-random order of integer keys by arithmetic alone."""
-    return F.pmod(F.col(key) * F.lit(7919) + F.lit(seed) * F.lit(104729), F.lit(1_000_003))
+    """A seeded pseudo-random order: md5 of seed/key, in hexadecimal."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -41,16 +46,20 @@ def priors(df: DataFrame, label: str, weight: str | None = None, digits: int = 9
     """``label, n, prior``: weighted class frequencies."""
     w = F.col(weight) if weight else F.lit(1)
     sums = df.groupBy(label).agg(F.count("*").alias("n"), F.sum(w).alias("w"))
-    return sums.select(label, "n", F.round(F.col("w") / F.sum("w").over(W.partitionBy(F.lit(1))), digits).alias("prior"))
+    total = df.agg(F.sum(w).alias("__total"))  # one row
+    return sums.join(F.broadcast(total)).select(label, "n", F.round(F.col("w") / F.col("__total"), digits).alias("prior"))
 
 
-def ordered_position(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), buckets: int = 512) -> DataFrame:
+def ordered_position(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """``df`` with ``__at``: 0-based place in the seeded order, within ``by``.
 
-    The order's hash is cut into buckets; one row a bucket carries how many
-    rows stand before it, so no window holds more than a bucket of a group.
+    The order's hash is cut into buckets by its first digits, more for more
+    ``rows`` (counted if not given); one row a bucket carries how many rows
+    stand before it, so no window holds more than a bucket of a group.
     """
-    keyed = df.withColumn("__key", shuffle_key(key, seed)).withColumn("__bucket", F.expr(f"__key div {1_000_003 // buckets + 1}"))
+    n = df.count() if rows is None else rows
+    digits = max(1, math.ceil(math.log(max(n / BUCKET, 1), 16)))
+    keyed = df.withColumn("__key", shuffle_key(key, seed)).withColumn("__bucket", F.substring("__key", 1, digits))
     sums = keyed.groupBy(*by, "__bucket").agg(F.count("*").alias("__n"))
     over = W.partitionBy(*by, F.lit(1)).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     before = sums.select(*by, "__bucket", F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__before"))
@@ -69,7 +78,7 @@ def exact_split(df: DataFrame, key: str, shares: Sequence[float], seed: int = 1)
     part = F.lit(-1)
     for i in reversed(range(len(bounds))):
         part = F.when(F.col("__at") < bounds[i], F.lit(i)).otherwise(part)
-    return ordered_position(df, key, seed).select(*df.columns, part.alias("split"))
+    return ordered_position(df, key, seed, rows=n).select(*df.columns, part.alias("split"))
 
 
 def folds(df: DataFrame, key: str, k: int, seed: int = 1, by: Sequence[str] = ()) -> DataFrame:
@@ -80,3 +89,28 @@ def folds(df: DataFrame, key: str, k: int, seed: int = 1, by: Sequence[str] = ()
 def all_but(folded: DataFrame, fold: int) -> DataFrame:
     """The union of all folds but one."""
     return folded.where(F.col("fold") != fold)
+
+
+def sample(df: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
+    """Exactly ``n`` rows (all, if fewer) in seeded order, without replacement."""
+    return ordered_position(df, key, seed).where(F.col("__at") < n).select(df.columns)
+
+
+def bootstrap(df: DataFrame, key: str, rounds: int, seed: int = 1) -> DataFrame:
+    """``df`` with ``round`` and ``times``: how often each of some bootstrap samples holds a row, a Poisson number of its key; rows held never go."""
+    u = F.pmod(F.xxhash64(key, F.lit(seed), F.col("round")), F.lit(1 << 40)) / float(1 << 40)
+    times, p, total = F.lit(0), math.exp(-1), 0.0
+    for k in range(12):
+        total += p
+        times = F.when(u >= total, k + 1).otherwise(times)
+        p /= k + 1
+    return df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("times", times).where("times > 0")
+
+
+def sparsity(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``n, nonzero, share``: rows, and values that are known and not zero, in one pass."""
+    used = F.lit(0)
+    for c in columns:
+        used = used + F.when(F.col(c).isNotNull() & (F.col(c) != 0), 1).otherwise(0)
+    agg = df.agg(F.count("*").alias("n"), F.sum(used).cast("long").alias("nonzero"))
+    return agg.select("n", "nonzero", (F.col("nonzero") / (F.col("n") * len(columns))).alias("share"))

@@ -1,41 +1,64 @@
-"""Exact similarity joins over vectors, and what rests on them.
+"""Exact and hashed similarity joins over vectors, and what rests on them.
 
-Both sides are dealt into blocks; a task compares a block of queries with a
-block of vectors by one matrix product, so each row moves once per block of the
-other side and a task holds two blocks. This is the exact join: its work is the
-product of both sizes.
+Exact joins use a ball cover: a bounded sample of pivots deals the vectors to
+cells with known radii, and the triangle inequality tells which cells a query
+must visit. Data with clusters skip most cells; where nothing can be skipped
+the work is the product of both sizes, in blocks. Cells of any size are stored
+in blocks, each compared with the queries that came by matrix products.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a block on average.
-BLOCK = 2048
+from statloom.plans.lineage import cut
 
+#: Rows of a block on average, and the most pivots.
+BLOCK, PIVOTS = 2048, 256
 
-def _blocks(df: DataFrame) -> int:
-    return max(1, -(-df.count() // BLOCK))
 
+#: Metrics that the triangle inequality holds for.
+METRICS = ("euclidean", "manhattan", "chebyshev")
 
-def _pairs(queries: DataFrame, vectors: DataFrame, keep) -> DataFrame:
-    """``q, v, distance`` that ``keep(distances) -> mask`` selects, per pair of blocks; Euclidean."""
-    nq, nv = _blocks(queries), _blocks(vectors)
-    at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = vectors.select("id", "vec", at(nv).alias("b"), F.lit(0).alias("side")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    right = queries.select("id", "vec", at(nq).alias("a"), F.lit(1).alias("side")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
-    rows = left.select("a", "b", "side", "id", "vec").unionByName(right).repartition("a", "b").sortWithinPartitions("a", "b", "side", "id")
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    if metric == "euclidean":
+        return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
+    out = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        d = np.abs(a[:, j : j + 1] - b[None, :, j])
+        out = out + d if metric == "manhattan" else np.maximum(out, d)
+    return out
+
+
+def _paired(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows to the rows beside them."""
+    d = np.abs(a - b)
+    return np.sqrt((d * d).sum(1)) if metric == "euclidean" else d.sum(1) if metric == "manhattan" else d.max(axis=1, initial=0)
+
+
+def _compared(members: DataFrame, asks: DataFrame, keep: Callable[[np.ndarray], np.ndarray], metric: str = "euclidean") -> DataFrame:
+    """``q, v, distance`` of the pairs that ``keep(distances)`` selects, between rows of the same ``cell``.
+
+    ``members(cell, id, vec)`` lie in blocks; ``asks(cell, id, vec)`` go to each
+    block of their cell. Distances are exact.
+    """
+    blocks = cut(members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    stored = members.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "id", "vec")
+    asked = asks.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "id", "vec")
+    rows = stored.unionByName(asked).repartition("cell", "block").sortWithinPartitions("cell", "block", "side", "id")
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         here, ids, held = None, [], []
         for batch in batches:
-            for (a, b, side), some in batch.groupby(["a", "b", "side"], sort=True):
+            for (a, b, side), some in batch.groupby(["cell", "block", "side"], sort=True):
                 if (a, b) != here:
                     here, ids, held = (a, b), [], []
                 x = np.stack(some["vec"]).astype(float)
@@ -45,37 +68,194 @@ def _pairs(queries: DataFrame, vectors: DataFrame, keep) -> DataFrame:
                     continue
                 if not ids:
                     continue
-                v, vid = np.concatenate(held), np.concatenate(ids)
+                if len(ids) > 1:
+                    ids, held = [np.concatenate(ids)], [np.concatenate(held)]
+                v, vid = held[0], ids[0]
                 for i in range(0, len(x), 256):
                     q = x[i : i + 256]
-                    d2 = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T
-                    r, c = np.nonzero(keep(np.sqrt(np.maximum(d2, 0))))
-                    exact = np.sqrt(((q[r] - v[c]) ** 2).sum(1))
+                    r, c = np.nonzero(keep(_distances(q, v, metric)))
+                    exact = _paired(q[r], v[c], metric)
                     yield pd.DataFrame({"q": some["id"].to_numpy()[i : i + 256][r], "v": vid[c], "distance": exact})
 
     return rows.mapInPandas(task, "q long, v long, distance double")
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """``q, rank, v, distance``: each query's ``k`` nearest others; ties go to the smaller id."""
+class Cover:
+    """A ball cover of ``vectors(id, vec)``: pivots, and the size and radius of each cell, under a metric."""
+
+    def __init__(self, vectors: DataFrame, seed: int = 0, metric: str = "euclidean") -> None:
+        if metric not in METRICS:
+            raise ValueError(f"metric is one of {METRICS}; for cosines give normalised vectors")
+        self.metric = metric
+        n = vectors.count()
+        m = max(1, min(PIVOTS, math.isqrt(n) // 4))
+        self.pivots = np.array([r.vec for r in vectors.select("vec", F.xxhash64("id", F.lit(seed)).alias("h")).orderBy("h").limit(m).collect()], dtype=float)
+        self.n = n
+        if not n:
+            self.placed, self.size, self.radius = vectors.select("id", "vec", F.lit(0).alias("cell")), np.zeros(1), np.zeros(1)
+            return
+        pivots = self.pivots
+
+        @F.pandas_udf("cell int, away double")
+        def place(vec: pd.Series) -> pd.DataFrame:
+            d = _distances(np.stack(vec.to_numpy()).astype(float), pivots, metric) if len(vec) else np.zeros((0, 1))
+            return pd.DataFrame({"cell": d.argmin(axis=1).astype("int32") if len(d) else [], "away": d.min(axis=1) if len(d) else []})
+
+        self.placed = cut(vectors.select("id", "vec", place("vec").alias("p")).select("id", "vec", "p.cell", "p.away"))
+        rows = self.placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect()  # a row a pivot
+        self.size, self.radius = np.zeros(len(pivots)), np.full(len(pivots), -np.inf)
+        for r in rows:
+            self.size[r.cell], self.radius[r.cell] = r.n, r.r
+
+    def visited(self, reach: float | None = None) -> Callable[[np.ndarray, np.ndarray], list]:
+        """A function of query vectors and their reaches: the cells that may hold something within reach."""
+        pivots, radius, metric = self.pivots, self.radius, self.metric
+
+        def cells(x: np.ndarray, r: np.ndarray) -> list:
+            d = _distances(x, pivots, metric)
+            r = np.full(len(x), reach) if reach is not None else r
+            near = (d - radius[None, :] <= r[:, None] + 1e-7) & (d - d.min(axis=1, keepdims=True) <= 2 * r[:, None] + 1e-7) & np.isfinite(radius)[None, :]
+            return [np.flatnonzero(row).astype("int32") for row in near]
 
+        return cells
+
+    def asks(self, queries: DataFrame, cells: Callable[[np.ndarray, np.ndarray], list], reach: Column | float = 0.0) -> DataFrame:
+        """``cell, id, vec``: the queries at every cell they visit."""
+
+        @F.pandas_udf("array<int>")
+        def at(vec: pd.Series, r: pd.Series) -> pd.Series:
+            return pd.Series(cells(np.stack(vec.to_numpy()).astype(float), r.to_numpy(float)), dtype=object) if len(vec) else pd.Series([], dtype=object)
+
+        reach = reach if isinstance(reach, Column) else F.lit(float(reach))
+        return queries.select("id", "vec", F.explode(at("vec", reach)).alias("cell"))
+
+
+def _few(k: int) -> Callable[[np.ndarray], np.ndarray]:
     def near(d: np.ndarray) -> np.ndarray:
-        m = min(k + 1, d.shape[1])  # one more, since the query may be its own neighbour
+        m = min(k, d.shape[1])
         return d <= np.partition(d, m - 1, axis=1)[:, m - 1 : m] + 1e-9
 
-    best = W.partitionBy("q").orderBy("distance", "v")
-    found = _pairs(queries, vectors, near).where("q <> v")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("q", "rank", "v", "distance")
+    return near
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("q").orderBy("distance", "v")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "rank", "v", "distance")
+
+
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, others: bool = True, cover: Cover | None = None, metric: str = "euclidean") -> DataFrame:
+    """``q, rank, v, distance``: each query's ``k`` nearest of ``vectors(id, vec)``; ties go to the smaller id.
+
+    With ``others`` a vector of the query's own id is left out. A query first
+    asks the nearest cells that hold enough vectors, which bounds its reach,
+    and then the other cells within that reach.
+    """
+    cover = cover or Cover(vectors, metric=metric)
+    metric = cover.metric
+    if not cover.n:
+        return _best(_compared(cover.placed, queries.withColumn("cell", F.lit(0)), _few(k)), k)
+    least, pivots, size = k + 1, cover.pivots, cover.size
+
+    def home(x: np.ndarray, _: np.ndarray) -> list:
+        order = np.argsort(_distances(x, pivots, metric), axis=1)
+        upto = np.cumsum(size[order], axis=1)
+        return [o[: int(np.searchsorted(u, min(least, u[-1]))) + 1].astype("int32") for o, u in zip(order, upto)]
 
+    members = cover.placed.select("cell", "id", "vec")
+    mine = (lambda df: df.where("q <> v")) if others else (lambda df: df)
+    first = cut(_best(mine(_compared(members, cover.asks(queries, home), _few(k + 1), metric)), k))
+    reach = first.groupBy("q").agg(F.max("distance").alias("r"), F.count("*").alias("n"))
+    asked = queries.join(reach, queries["id"] == reach["q"], "left").select("id", "vec", F.when(F.col("n") >= k, F.col("r")).otherwise(float("inf")).alias("r"))
+    seen, within = home, cover.visited()
 
-def range_join(queries: DataFrame, vectors: DataFrame, radius: float) -> DataFrame:
+    def rest(x: np.ndarray, r: np.ndarray) -> list:
+        return [np.setdiff1d(a, b).astype("int32") for a, b in zip(within(x, np.where(np.isfinite(r), r, 1e300)), seen(x, r))]
+
+    more = mine(_compared(members, cover.asks(asked, rest, F.col("r")), _few(k + 1), metric))
+    return _best(first.select("q", "v", "distance").unionByName(more), k)
+
+
+def nearest(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
+    """``q, rank, v, distance`` between two tables with ``id`` and ``features``."""
+    side = lambda df: df.select("id", F.col("features").alias("vec"))
+    return knn_join(side(queries), side(train), k, others=False)
+
+
+def kth_neighbour_stats(vectors: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
+    """``mean, deviation, least, largest`` of the distance to the ``k``-th nearest other row."""
+    far = knn_join(vectors, vectors, k, metric=metric).where(F.col("rank") == k)
+    return far.agg(F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("deviation"), F.min("distance").alias("least"), F.max("distance").alias("largest"))
+
+
+def range_join(queries: DataFrame, vectors: DataFrame, radius: float, cover: Cover | None = None, metric: str = "euclidean") -> DataFrame:
     """``q, v, distance`` of all pairs within ``radius``, each row with itself too."""
-    return _pairs(queries, vectors, lambda d: d <= radius + 1e-9).where(F.col("distance") <= radius)
+    cover = cover or Cover(vectors, metric=metric)
+    if not cover.n:
+        return _compared(cover.placed, queries.withColumn("cell", F.lit(0)), lambda d: d <= radius)
+    asks = cover.asks(queries, cover.visited(radius))
+    return _compared(cover.placed.select("cell", "id", "vec"), asks, lambda d: d <= radius + 1e-9, cover.metric).where(F.col("distance") <= radius)
+
+
+def _buckets(vectors: DataFrame, tables: int, bucket: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """``cell, id, vec``: every vector in its bucket of every table."""
+
+    @F.pandas_udf("array<long>")
+    def at(vec: pd.Series) -> pd.Series:
+        if not len(vec):
+            return pd.Series([], dtype=object)
+        x = np.stack(vec.to_numpy()).astype(float)
+        return pd.Series(list(np.stack([bucket(x, t) for t in range(tables)], axis=1)), dtype=object)
+
+    return vectors.select("id", "vec", F.explode(at("vec")).alias("cell"))
+
+
+def _folded(codes: np.ndarray, table: int) -> np.ndarray:
+    """One number of a row of integer codes."""
+    out = np.full(len(codes), 1469598103934665603 + table, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(codes.shape[1]):
+            out = (out ^ codes[:, j].astype(np.int64).view(np.uint64)) * np.uint64(1099511628211)
+    return out.view(np.int64)
+
+
+def _dims(vectors: DataFrame) -> int:
+    row = vectors.select(F.size("vec")).first()
+    return int(row[0]) if row else 1
+
+
+def hashed_range_join(queries: DataFrame, vectors: DataFrame, radius: float, tables: int = 8, hashes: int = 4, width: float = 4.0, seed: int = 0) -> DataFrame:
+    """``q, v, distance`` of most pairs within ``radius``: those that share a bucket of Euclidean hashes (E2LSH).
+
+    A hash is a random projection cut into steps of ``width`` times the radius.
+    Every pair returned is within the radius; the share found grows with ``tables``.
+    """
+    d, rnd = _dims(vectors), np.random.default_rng(seed)
+    w, b = rnd.normal(size=(tables, d, hashes)), rnd.uniform(0, width * radius, (tables, hashes))
+    bucket = lambda x, t: _folded(np.floor((x @ w[t] + b[t]) / (width * radius)), t)
+    found = _compared(_buckets(vectors, tables, bucket), _buckets(queries, tables, bucket), lambda m: m <= radius + 1e-9)
+    return found.where(F.col("distance") <= radius).distinct()
+
+
+def hashed_knn_join(queries: DataFrame, vectors: DataFrame, k: int, tables: int = 8, bits: int = 8, seed: int = 0) -> DataFrame:
+    """``q, rank, v, distance``: the nearest among vectors with equal signs of random projections in some table."""
+    d, rnd = _dims(vectors), np.random.default_rng(seed)
+    w = rnd.normal(size=(tables, d, bits))
+    bucket = lambda x, t: _folded(x @ w[t] > 0, t)
+    found = _compared(_buckets(vectors, tables, bucket), _buckets(queries, tables, bucket), _few(k + 1))
+    return _best(found.where("q <> v").distinct(), k)
+
+
+def ball_cover_one_shot(queries: DataFrame, vectors: DataFrame, k: int, cells: int = 3) -> DataFrame:
+    """``q, rank, v, distance`` from each query's ``cells`` nearest cells of the cover only: fast and approximate."""
+    cover = Cover(vectors)
+    pivots = cover.pivots
+    near = lambda x, _: list(np.argsort(_distances(x, pivots), axis=1)[:, :cells].astype("int32"))
+    return _best(_compared(cover.placed.select("cell", "id", "vec"), cover.asks(queries, near), _few(k + 1)).where("q <> v"), k)
 
 
 def local_outlier_factor(vectors: DataFrame, k: int) -> DataFrame:
     """``id, lof`` over the exact ``k`` nearest neighbours."""
-    near = knn_join(vectors, vectors, k)
+    near = cut(knn_join(vectors, vectors, k))
     radius = near.groupBy("q").agg(F.max("distance").alias("radius"))
     reach = near.join(radius.select(F.col("q").alias("v"), "radius"), "v").withColumn("reach", F.greatest("radius", "distance"))
     density = reach.groupBy("q").agg((F.lit(1.0) / F.avg("reach")).alias("lrd"))
@@ -89,7 +269,6 @@ def dbscan(vectors: DataFrame, radius: float, least: int) -> DataFrame:
     A border point goes to the cluster of its smallest core neighbour.
     """
     from statloom.plans.graph import connected_components
-    from statloom.plans.lineage import cut
 
     near = cut(range_join(vectors, vectors, radius).select("q", "v"))
     core = cut(near.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("q"))

@@ -7,15 +7,34 @@ splits since both sides shuffle for the join alone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.text import tokens
 
 
-def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, token, tf``."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+def counted(words: Column) -> Column:
+    """``token, tf`` structs of an array's distinct elements: one sort, then the lengths of runs."""
+    s = F.sort_array(words)
+    n = F.size(s)
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+    ends = F.concat(F.slice(starts, F.lit(2), n), F.array(n + 1))
+    made = F.zip_with(starts, ends, lambda i, j: F.struct(F.element_at(s, i).alias("token"), (j - i).cast("long").alias("tf")))
+    return F.when(n > 0, made)
+
+
+def term_counts(docs: DataFrame, key: str, text: str, unique: bool = False, length: bool = False) -> DataFrame:
+    """``key, token, tf`` (and ``len``, the document's tokens).
+
+    Tokens are counted inside each row. Where ``unique`` says that a key is one
+    row that is all, and nothing shuffles; else rows of a key are added up.
+    """
+    words = docs.select(key, tokens(F.col(text)).alias("w")).where(F.size("w") > 0)
+    if unique:
+        rows = words.select(key, *([F.size("w").cast("long").alias("len")] if length else []), F.explode(counted(F.col("w"))).alias("c"))
+        return rows.select(key, "c.token", "c.tf", *(["len"] if length else []))
+    rows = words.select(key, F.explode(counted(F.col("w"))).alias("c")).groupBy(key, "c.token").agg(F.sum("c.tf").alias("tf"))
+    return rows.join(rows.groupBy(key).agg(F.sum("tf").alias("len")), key) if length else rows
 
 
 def vocabulary(counts: DataFrame, least: int = 1) -> DataFrame:
@@ -27,16 +46,20 @@ def tf_idf(counts: DataFrame, n_docs: int, kind: str = "document", digits: int =
     """``key, token, weight``: idf = ln(N / df); tf is 0/1, 1 + ln(tf), or the plain count."""
     tf = {"boolean": F.lit(1.0), "log": 1 + F.log("tf"), "document": F.col("tf").cast("double")}[kind]
     df = vocabulary(counts).select("token", "df")
-    key = [c for c in counts.columns if c not in ("token", "tf")]
+    key = [c for c in counts.columns if c not in ("token", "tf", "len")]
     return counts.join(df, "token").select(*key, "token", F.round(tf * F.log(F.lit(float(n_docs)) / F.col("df")), digits).alias("weight"))
 
 
 def bm25(counts: DataFrame, key: str, n_docs: int, k1: float = 1.5, b: float = 0.75, digits: int = 9) -> DataFrame:
-    """``key, token, weight`` with idf = ln((N - df + 0.5) / (df + 0.5)), which may be negative."""
-    size = counts.groupBy(key).agg(F.sum("tf").alias("len"))
-    mean = size.agg(F.avg("len").alias("mean"))
+    """``key, token, weight`` with idf = ln((N - df + 0.5) / (df + 0.5)), which may be negative.
+
+    Documents' lengths come from ``counts`` if it has ``len``.
+    """
+    if "len" not in counts.columns:
+        counts = counts.join(counts.groupBy(key).agg(F.sum("tf").alias("len")), key)
+    mean = counts.agg((F.sum("tf") / F.sum(F.col("tf") / F.col("len"))).alias("mean"))  # a document's shares add up to one
     df = vocabulary(counts).select("token", "df")
-    x = counts.join(size, key).join(df, "token").join(F.broadcast(mean))
+    x = counts.join(df, "token").join(F.broadcast(mean))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return x.select(key, "token", F.round(idf * tf, digits).alias("weight"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,17 +11,26 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a key table that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Most rows, and most stored bytes, of a table that may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 32 << 20
+
+
+#: Rows and bytes of an Arrow batch, where the session keeps Spark's own (10,000 rows of any length).
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the session's Python workers, once a session.
+    """Gives this package to the session's Python workers, once a session, and bounds their batches.
 
     Workers unpickle functions that refer to the package, and need not have it
-    on their path.
+    on their path. Batches of long texts are held several times over (as Arrow
+    and as Python objects, in both processes), so they are kept small.
     """
     context = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if getattr(context, "_statloom_shipped", False):
         return
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -38,8 +48,8 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and set.
+    Only on one machine, and where the session names none (tests), a temporary
+    folder is made and set; a cluster without a shared folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -47,6 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return str(jsc.getCheckpointDir().get()).rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="statloom-")
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
@@ -64,10 +76,19 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, made: DataFrame) -> None:
+    """Deletes the files of a cut table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in made.inputFiles() if "/statloom-" in f}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows stay within ``rows``.
+    """``df`` with a broadcast hint if its counted rows and stored bytes stay within the bounds.
 
-    Give it a cut (stored) table, since it is counted. Beyond the bound the
+    Give it a cut (stored) table, since it is counted. Beyond the bounds the
     join that uses it shuffles, and adaptive execution splits skewed keys.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES and df.count() <= rows else df

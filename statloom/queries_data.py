@@ -95,7 +95,7 @@ def class_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.priors(table(spark, sf_dir, "customer"), "c_mktsegment")
 
 
-_KEY = "(o_orderkey*7919+1*104729) % 1000003"
+_KEY = "md5('1/' || o_orderkey)"
 _AT = f"row_number() OVER (ORDER BY {_KEY}, o_orderkey)-1"
 
 

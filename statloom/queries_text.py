@@ -20,8 +20,8 @@ _DF = f"(SELECT token, count(*) df, sum(tf) total FROM {_TF} GROUP BY 1)"
 _N = "(SELECT count(*) n FROM documents)"
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+def _counts(spark: SparkSession, sf_dir: str, length: bool = False) -> DataFrame:
+    return terms.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text", unique=True, length=length)
 
 
 @query(f"SELECT doc_id, len({_TOK}) n_tokens, list_distinct({_TOK}).len() n_distinct FROM documents")
@@ -78,7 +78,7 @@ def tfidf_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH l AS (SELECT doc_id, sum(tf) len FROM {_TF} GROUP BY 1), m AS (SELECT avg(len) mean FROM l)
  SELECT doc_id, token, round(ln((n-df+0.5)/(df+0.5))*tf*2.5/(tf+1.5*(0.25+0.75*len/mean)),9) weight FROM {_TF} JOIN {_DF} USING (token) JOIN l USING (doc_id), m, {_N}""")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.bm25(_counts(spark, sf_dir), "doc_id", table(spark, sf_dir, "documents").count())
+    return terms.bm25(_counts(spark, sf_dir, True), "doc_id", table(spark, sf_dir, "documents").count())
 
 
 @query(f"""WITH c AS (SELECT quality, token, sum(tf)::DOUBLE n FROM {_TF} JOIN labels USING (doc_id) GROUP BY 1,2), v AS (SELECT count(DISTINCT token)::DOUBLE v FROM c),
@@ -137,14 +137,33 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.tumbling(spark, f"{sf_dir}/events.parquet", "1 hour").withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 6)})
 
 
-@query()
+_DDM = """WITH RECURSIVE e AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) i, coalesce(value > 20, false) ok FROM events),
+ r AS (SELECT event_type, 0::BIGINT i, 0::BIGINT n, 0::BIGINT bad, 1e300::DOUBLE lp, 1e300::DOUBLE ls, 'ok' state FROM (SELECT DISTINCT event_type FROM events)
+ UNION ALL SELECT event_type, i, n, bad, lp, ls, CASE WHEN n < 30 THEN 'ok' WHEN p + s > lp + 3 * ls THEN 'drift' WHEN p + s > lp + 2 * ls THEN 'warning' ELSE 'ok' END FROM (
+ SELECT *, CASE WHEN n >= 30 AND p + s < l0 + s0 THEN p ELSE l0 END lp, CASE WHEN n >= 30 AND p + s < l0 + s0 THEN s ELSE s0 END ls FROM (
+ SELECT *, bad / n::DOUBLE p, sqrt(bad / n::DOUBLE * (1 - bad / n::DOUBLE) / n) s FROM (
+ SELECT e.event_type, e.i, CASE WHEN state = 'drift' THEN 0 ELSE n END + 1 n, CASE WHEN state = 'drift' THEN 0 ELSE bad END + (NOT ok)::INT bad, CASE WHEN state = 'drift' THEN 1e300 ELSE lp END l0, CASE WHEN state = 'drift' THEN 1e300 ELSE ls END s0
+ FROM r JOIN e ON e.event_type = r.event_type AND e.i = r.i + 1))))
+ SELECT event_type, i AS "at", state FROM r WHERE state <> 'ok'"""
+
+
+@query(_DDM)
 def ddm_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drift points of each user's ordered events; the detector starts anew after a drift."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("value") > 20).alias("ok"))
-    return drift.ddm(e, "user_id", ["ts", "event_id"], "ok")
+    """Warnings and drifts of each kind's ordered events; the detector starts anew after a drift."""
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", "ts", (F.col("value") > 20).alias("ok"))
+    return drift.ddm(e, "event_type", ["ts", "event_id"], "ok")
+
+
+@query(_DDM)
+def stream_ddm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream whose state is kept a kind."""
+    e = drift.read_stream(spark, f"{sf_dir}/events.parquet").select("event_type", "event_id", "ts", (F.col("value") > 20).alias("ok"))
+    return drift.finished(drift.ddm_stream(e, "event_type", ["ts", "event_id"], "ok"))
 
 
 @query()
 def adwin_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
-    return drift.adwin(e, "user_id", ["ts", "event_id"], "value")
+    """Where the mean of values drifts that rise by 60 for every other 700 events."""
+    raised = F.col("value") + F.when(F.floor(F.col("event_id") / 700) % 2 == 1, 60.0).otherwise(0.0)
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", raised.alias("value"))
+    return drift.adwin(e, "event_type", ["event_id"], "value")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from statloom.plans.lineage import shared_dir
 
@@ -85,81 +86,137 @@ class ADWIN:
         return False
 
 
-def _per_key(df: DataFrame, key: str, order: Sequence[str], schema: str, run) -> DataFrame:
-    """Folds ``run`` over each key's rows in order; keys are worked on apart."""
-    own = df.schema[key].dataType.simpleString()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf.sort_values(list(order), kind="stable"))
+def _folded(df: DataFrame, key: str, order: Sequence[str], value: str, schema: str, start: Callable[[], Callable[[int, object], list[tuple]]]) -> DataFrame:
+    """Folds each key's values in order: ``start()`` makes a function of (place, value) that returns rows.
 
-    return df.groupBy(key).applyInPandas(fold, f"{key} {own}, {schema}")
+    Rows are sorted by Spark and stream through; a task holds a key's state and
+    one batch, whatever the key's length.
+    """
+    own = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.col(value).alias("value"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    rows = rows.repartition("key").sortWithinPartitions("key", *[f"o{i}" for i in range(len(order))]).select("key", "value")
+    names = ["key", *[part.split()[0] for part in schema.split(", ")]]
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, step, i = object(), None, 0
+        for batch in batches:
+            out = []
+            keys, values = (batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in ("key", "value"))
+            for k, x in zip(keys, values):
+                if k != at:
+                    at, step, i = k, start(), 0
+                i += 1
+                out += [(k, i, *row) for row in step(i, x)]
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    return rows.mapInPandas(task, f"key {own}, {schema}").withColumnRenamed("key", key)
 
 
 def ddm(df: DataFrame, key: str, order: Sequence[str], ok: str) -> DataFrame:
-    """``key, at, state`` for every warning and drift; ``at`` counts the key's rows from 1."""
+    """``key, at, state`` for every warning and drift; ``at`` counts the key's rows from 1. A null outcome is a miss."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        detector, out = DDM(), []
-        for i, x in enumerate(pdf[ok], 1):
+    def start() -> Callable:
+        detector = DDM()
+
+        def step(_: int, x: object) -> list[tuple]:
             state = detector.add(bool(x))
-            if state != "ok":
-                out.append((pdf[key].iloc[0], i, state))
             if state == "drift":
                 detector.reset()
-        return pd.DataFrame(out, columns=[key, "at", "state"])
+            return [] if state == "ok" else [(state,)]
+
+        return step
 
-    return _per_key(df, key, order, "at long, state string", run)
+    return _folded(df, key, order, ok, "at long, state string", start)
 
 
-def adwin(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
-    """``key, at, width``: where the window was cut and how wide it is then."""
+def ddm_stream(stream: DataFrame, key: str, order: Sequence[str], ok: str) -> DataFrame:
+    """``key, at, state`` like ``ddm`` over a stream, whose state a key is five numbers; late rows count where they arrive."""
+    own = stream.schema[key].dataType.simpleString()
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        d, i = DDM(), 0
+        if state.exists:
+            i, d.n, d.bad, d.low_p, d.low_s = state.get
+        out = []
+        for x in pd.concat(list(frames)).sort_values(list(order), kind="stable")[ok]:
+            i += 1
+            told = d.add(bool(x) if x is not None and x == x else False)
+            if told == "drift":
+                d.reset()
+            if told != "ok":
+                out.append((k[0], i, told))
+        state.update((i, d.n, d.bad, d.low_p, d.low_s))
+        yield pd.DataFrame(out, columns=[key, "at", "state"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        detector, out = ADWIN(), []
-        for i, x in enumerate(pdf[value].dropna(), 1):
-            if detector.add(float(x)):
-                out.append((pdf[key].iloc[0], i, detector.n))
-        return pd.DataFrame(out, columns=[key, "at", "width"])
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {own}, at long, state string", "at long, n long, bad long, low_p double, low_s double", "append", GroupStateTimeout.NoTimeout)
 
-    return _per_key(df, key, order, "at long, width long", run)
+
+def adwin(df: DataFrame, key: str, order: Sequence[str], value: str, delta: float = 0.002) -> DataFrame:
+    """``key, at, width``: where the window was cut and how wide it is then; nulls are no values but count in ``at``."""
+
+    def start() -> Callable:
+        detector = ADWIN(delta)
+        return lambda _, x: [(detector.n,)] if x is not None and detector.add(float(x)) else []
+
+    return _folded(df, key, order, value, "at long, width long", start)
 
 
 def ema(df: DataFrame, key: str, order: Sequence[str], value: str, smoothing: float = 0.1) -> DataFrame:
-    """``key, at, mean, variance``: exponential moving statistics of each key's rows."""
+    """``key, at, mean, variance``: exponential moving statistics of each key's rows that have a value."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean = var = 0.0
-        out = []
-        for i, x in enumerate(pdf[value], 1):
-            if i == 1:
-                mean = float(x)
+    def start() -> Callable:
+        state = [None, 0.0]
+
+        def step(_: int, x: object) -> list[tuple]:
+            if x is None:
+                return []
+            if state[0] is None:
+                state[0] = float(x)
             else:
-                d = float(x) - mean
-                mean += smoothing * d
-                var = (1 - smoothing) * (var + smoothing * d * d)
-            out.append((pdf[key].iloc[0], i, mean, var))
-        return pd.DataFrame(out, columns=[key, "at", "mean", "variance"])
+                d = float(x) - state[0]
+                state[0] += smoothing * d
+                state[1] = (1 - smoothing) * (state[1] + smoothing * d * d)
+            return [tuple(state)]
 
-    return _per_key(df, key, order, "at long, mean double, variance double", run)
+        return step
 
+    return _folded(df, key, order, value, "at long, mean double, variance double", start)
 
-def tumbling(spark: SparkSession, path: str, width: str, late: str = "10 minutes") -> DataFrame:
-    """Counts and sums of an events stream by type and event-time window, with what is there now.
 
-    The stream's state is in the shared folder; complete mode gives the open
-    windows too.
-    """
+def read_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A table's files as a stream."""
     table = spark.read.parquet(path)
     files = table.inputFiles()
     folder, name = path.rstrip("/").rsplit("/", 1)
     source = spark.readStream.schema(table.schema)
     if len(files) == 1 and files[0].endswith(f"/{name}"):  # a stream reads folders
-        events = source.option("pathGlobFilter", name).parquet(folder)
+        return source.option("pathGlobFilter", name).parquet(folder)
+    return source.parquet(path)
+
+
+def finished(out: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now into a table of the shared folder, and reads it.
+
+    In complete mode each batch's whole result replaces the one before.
+    """
+    spark = out.sparkSession
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    writer = out.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    if mode == "complete":
+        q = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
     else:
-        events = source.parquet(path)
-    events = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    sums = events.groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    name = f"tumbling_{uuid.uuid4().hex}"
-    q = sums.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
+        q = writer.format("parquet").option("path", path).start()
     q.awaitTermination()
-    return spark.table(name).select("event_type", F.col("window.start").alias("start"), "n", "total")
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def tumbling(spark: SparkSession, path: str, width: str, late: str = "10 minutes") -> DataFrame:
+    """Counts and sums of an events stream by type and event-time window, with what is there now.
+
+    State and result are in the shared folder; complete mode gives the open
+    windows too.
+    """
+    events = read_stream(spark, path).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    sums = events.groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return finished(sums, "complete").select("event_type", F.col("window.start").alias("start"), "n", "total")

@@ -33,7 +33,7 @@ def test_moments_skip_missing(spark):
 
 def test_prefix_sums_over_many_values(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"), F.lit(1).alias("one"))
-    got = {r.v: r.upto_one for r in stats.prefix_sums(df, "v", ["one"], blocks=16).collect()}
+    got = {r.v: r.upto_one for r in stats.prefix_sums(df, "v", ["one"], rows=50).collect()}
     assert got == {v: v + 1 for v in range(1000)}
 
 
