@@ -14,6 +14,7 @@ def release() -> None:
     """Frees what the task left, in Python, Arrow and the C library."""
     import pyarrow as pa
 
+    pa.set_memory_pool(pa.system_memory_pool())  # what Arrow's own pool keeps can't be given back
     gc.enable()
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -28,6 +29,9 @@ def trimmed(task: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) ->
 
     @functools.wraps(task)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from task(batches)
         finally:

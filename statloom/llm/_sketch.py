@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,13 @@ def unpack(blob: bytes, dtype) -> np.ndarray:
     return np.frombuffer(bytearray(zstandard.ZstdDecompressor().decompress(blob)), dtype=dtype)
 
 
+def held(packed: Broadcast, dtype) -> np.ndarray:
+    """The array of a packed broadcast, whose bytes the worker then lets go. Keep it in the task only."""
+    out = unpack(packed.value, dtype)
+    packed.__dict__.pop("_value", None)
+    return out
+
+
 def merged(
     df: DataFrame,
     shape: int | tuple[int, ...],

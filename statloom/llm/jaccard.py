@@ -248,12 +248,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             sketch.add(own, np.concatenate([shingle_set(t, words) for t in batch["text"].iloc[i : i + 200]]))
 
     order = spark.sparkContext.broadcast(_sketch.merged(src.select("text"), sketch.size(), "uint8", count, sketch.merge, sketch.levels))
-    held: dict = {}
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels = held.get("levels")
-        if levels is None:
-            levels = held["levels"] = _sketch.unpack(order.value, "uint8")
+        levels = _sketch.held(order, "uint8")
         for batch in batches:
             out = []
             for doc_id, tag, text in zip(batch["doc_id"], batch["tag"], batch["text"]):

@@ -90,12 +90,9 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
                 _sketch.meet(own, row, distinct(_cell(a, row, cells)))
 
     repeated = spark.sparkContext.broadcast(_sketch.merged(sole.select("text"), (DEPTH, 2, cells // 8), "uint8", count, _sketch.either, lambda seen: seen[:, 1]))
-    held: dict = {}
 
     def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = held.get("bits")
-        if bits is None:
-            bits = held["bits"] = _sketch.unpack(repeated.value, "uint8").reshape(DEPTH, -1)
+        bits = _sketch.held(repeated, "uint8").reshape(DEPTH, -1)
         for batch in batches:
             out = []
             for doc_id, text, tag in zip(batch["doc_id"].to_numpy(), batch["text"], batch["tag"].to_numpy()):
