@@ -33,7 +33,7 @@ SLACK = 128
 #: Words with remembered ids, in each of two generations (and cores of words).
 REMEMBERED = 300_000
 #: Pieces handed on, and plain words joined for the tokenizer, at a time.
-BATCH, LOT = 4096, 256
+BATCH, LOT = 1024, 256
 #: Characters of the texts tokenized together.
 CHARS = 1 << 20
 # White space between words, and signs that end a word.
@@ -45,9 +45,14 @@ TAILS = ".,;:!?*&%$#|)]}"
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=4)
+def _markers(path: str) -> tuple[str, ...]:
+    """Signs of which a text that holds an added token of the vocabulary has at least one."""
+    added = [t.content for t in _tokenizer(path).get_added_tokens_decoder().values() if t.content]
+    return tuple(sorted({x[:2] if not any(c.isalnum() for c in x[:2]) else x[0] if not x[0].isalnum() else "" for x in added}))
 
 
 @functools.lru_cache(maxsize=4)
@@ -67,7 +72,8 @@ class WordIds:
     For tokenizers that lower-case, drop white space, and never join letters or
     digits with other signs (contractions apart), which is checked against the
     tokenizer itself in the tests. A word that ends in signs is put together
-    from its core and its tail, an ASCII core is looked up in lower case.
+    from its core and its tail, an ASCII core is looked up in lower case. Texts
+    that may hold an added token of the vocabulary are tokenized as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -109,6 +115,10 @@ class WordIds:
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
+        marks = _markers(self.path)
+        whole = {i: _tokenizer(self.path).encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(m in t for m in marks)}
+        if whole:
+            texts = ["" if i in whole else t for i, t in enumerate(texts)]
         split = [functools.reduce(lambda x, c: x.replace(c, " "), SPACES, t).split(" ") for t in texts]
         if len(self.new) > REMEMBERED:
             self.old, self.new = self.new, {}
@@ -117,7 +127,7 @@ class WordIds:
         for word in missing.intersection(old):
             new[word] = old[word]
         self.learn(missing.difference(new))
-        return [b"".join(map(new.__getitem__, words)) for words in split]
+        return [b"".join(map(new.__getitem__, words)) if i not in whole else struct.pack(f"<{len(whole[i])}I", *whole[i]) for i, words in enumerate(split)]
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -139,7 +149,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
     """``doc_id, start, length, ids, doc_tokens, sequence_id, offset`` for every piece.
 
     ``ids`` are little-endian unsigned 32-bit numbers: those of the text by the
-    tokenizer file, without special tokens, then ``end_id``. A null or empty
+    tokenizer file, with no special tokens added (the name of one in a text is
+    its id), then ``end_id``. A null or empty
     text has ``end_id`` only. Repeated rows and null doc_ids are packed like any
     other row; other columns are ignored. ``sequence_id`` is unique over tasks.
     Which rows share a sequence follows the input's partitions, so give it a

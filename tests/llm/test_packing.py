@@ -12,6 +12,16 @@ from tests.llm import nasty
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+def test_special_tokens_by_name():
+    texts = ["a <|endoftext|> b", "x<|endoftext|>.", "<|EndOfText|> c", "plain <| text", "<|startoftext|><|endoftext|>"]
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    for text, ids in zip(texts, WordIds(PATH).of(texts)):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert 49407 in np.frombuffer(WordIds(PATH).of(texts[:1])[0], dtype="<u4")
+
+
 def exact(text):
     return _tokenizer(PATH).encode(text or "", add_special_tokens=False).ids + [1]
 
