@@ -123,18 +123,17 @@ def edited_pairs(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     dealt = known.withColumn("block", block)
     least = cut(dealt.groupBy("block").agg(F.min("doc_id").alias("doc_id")))  # at most MOST_BLOCKS rows
     heads = cut(known.join(F.broadcast(least), "doc_id").groupBy("block").agg(F.min("text").alias("text")))
-    chain = heads.select("block", F.lead("text").over(W.orderBy("block")).alias("head_text"))
-    first = heads.orderBy("block").select("text").first()
+    along = W.orderBy("block")  # the successor of the last block's last document is the first block's first
+    chain = heads.select("block", F.coalesce(F.lead("text").over(along), F.first("text").over(along)).alias("head_text"))
     order = W.partitionBy("block").orderBy("doc_id", "text")
     after = cut(chain)
-    first_text = first["text"] if first else ""
     hashed = dealt.repartition("block").select("*", shingle_hashes(words_of(F.col("text")), words).alias("hashes"))
     sketched = hashed.select("*", sketch_of(F.col("hashes"), k).alias("sketch"))
     ahead = sketched.select("*", F.lead(F.struct("text", "sketch")).over(order).alias("next"))
     last = F.col("next").isNull()
     joined = ahead.join(after, "block").select(
         "doc_id", "text", "hashes", "sketch",
-        F.when(last, F.coalesce("head_text", F.lit(first_text))).otherwise(F.col("next.text")).alias("next_text"),
+        F.when(last, F.col("head_text")).otherwise(F.col("next.text")).alias("next_text"),
         F.col("next.sketch").alias("next_sketch"),
     )
     n = F.length("text")
