@@ -13,6 +13,7 @@ has more blocks), and each block ranks its vectors for the queries that came.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +27,8 @@ from statloom.plans.lineage import cut
 
 #: Vectors that the index is fitted on at most.
 SAMPLE = 4_096
-#: Vectors of a part on average, and the most parts.
-PART, MOST_PARTS = 1_600, 128
+#: The least and the most parts; between them a quarter of the root of the number of vectors.
+LEAST_PARTS, MOST_PARTS = 2, 128
 #: Vectors of a block on average.
 BLOCK = 4_096
 #: Neighbours in the sample's graph.
@@ -99,6 +100,7 @@ def fit(sample: np.ndarray, parts: int, top: int, recall: float) -> Router:
     """Fit the router; ``recall`` of the ``top`` neighbours within the sample is its aim."""
     x = _unit(sample)
     k = min(EDGES, len(x) - 1)
+    parts = min(parts, len(x) // 2)
     if parts < 2 or k < 1:
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), 1)
     graph = _nearest(x, k)
@@ -148,34 +150,40 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, recall: float = 0
     """``query_id, rank, vec_id, score``: each query's ``top`` nearest by cosine.
 
     Vectors that are null, empty, zero or hold a null or non-finite component,
-    rows without an id, and vectors of another length than the table's first by
-    hash take no part. Ties go to the smaller vec_id. Rows that repeat an id
+    rows without an id, and vectors of another length than the most frequent (of
+    equals the smallest) take no part. Ties go to the smaller vec_id. Rows that repeat an id
     are candidates each; such a query is asked once. An empty table, and a
     table of one vector, give no rows. Other columns are ignored.
     """
     x = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("asks"))
     x = x.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    n = x.count()
-    parts = max(1, min(MOST_PARTS, n // PART))
-    sample = x.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE if parts > 1 else 1).toPandas()["v"]
-    if not len(sample):
+    lengths = x.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
+    if lengths is None:
         return x.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    dims = len(sample.iloc[0])
-    router = fit(np.stack([v for v in sample if len(v) == dims]), parts, top, recall)
+    dims, n = lengths
     x = x.where(F.size("v") == dims)
+    parts = max(LEAST_PARTS, min(MOST_PARTS, math.isqrt(n) // 4))
+    sample = x.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"]
+    router = fit(np.stack(sample), parts, top, recall)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 order = router.order(_unit(np.stack(batch["v"])))
-                probes = [list(o[: router.probes]) if asks else [] for o, asks in zip(order, batch["asks"])]
-                yield batch.assign(part=order[:, 0].astype(np.int32), probes=probes)
-
-    indexed = cut(x.mapInPandas(index, "vec_id long, v array<double>, asks boolean, part int, probes array<int>"))
-    blocks = cut(indexed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # one row a part
+                likely = [list(o) if asks else [] for o, asks in zip(order, batch["asks"])]
+                yield batch.assign(part=order[:, 0].astype(np.int32), likely=likely)
+
+    indexed = cut(x.mapInPandas(index, "vec_id long, v array<double>, asks boolean, part int, likely array<int>"))
+    blocks = cut(indexed.groupBy("part").agg(F.count("*").alias("size"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # one row a part
+    sizes = {r["part"]: r["size"] for r in blocks.collect()}
+    size = F.array(*[F.lit(sizes.get(i, 0)).cast("long") for i in range(len(router.bias))])
+    upto = lambda i: F.aggregate(F.slice("likely", F.lit(1), i), F.lit(0).cast("long"), lambda a, p: a + F.element_at(size, p + 1))
+    enough = F.get(F.filter(F.sequence(F.lit(1), F.size("likely")), lambda i: upto(i) > top), F.lit(0))  # parts that hold others than the query
+    probes = F.slice("likely", F.lit(1), F.greatest(F.coalesce(enough, F.size("likely")), F.lit(router.probes)))
     spread = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    blocks = blocks.select("part", "blocks")
     stored = indexed.join(F.broadcast(blocks), "part").select("part", spread.alias("block"), F.lit(0).alias("kind"), "vec_id", "v")
-    asked = indexed.where("asks").dropDuplicates(["vec_id"]).select("vec_id", "v", F.explode("probes").alias("part"))
+    asked = indexed.where("asks").dropDuplicates(["vec_id"]).select("vec_id", "v", F.explode(probes).alias("part"))
     asked = asked.join(F.broadcast(blocks), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = stored.unionByName(asked.select("part", "block", F.lit(1).alias("kind"), "vec_id", "v"))
     rows = rows.repartition("part", "block").sortWithinPartitions("part", "block", "kind", "vec_id")

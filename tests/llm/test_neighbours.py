@@ -15,8 +15,25 @@ def brute(ids, x, queries, k):
     return out
 
 
+def test_the_most_frequent_length_is_searched(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(60)] + [(i, [1.0] * 3) for i in range(60, 70)]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted({r.query_id for r in got}) == [0, 50] and len(got) == 10 and all(r.vec_id < 60 for r in got)
+
+
+def test_clusters_cost_a_minority_of_the_parts(spark):
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(40, 16))
+    x = np.concatenate([c + 0.05 * rnd.normal(size=(60, 16)) for c in centres])
+    router = neighbours.fit(x, 12, 5, 0.97)
+    assert router.probes <= 6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.search(df, F.col("vec_id") % 50 == 0).toPandas()
+    want = brute(list(range(len(x))), x, range(0, len(x), 50), 5)
+    assert sum(len(set(g["vec_id"]) & set(want[q])) for q, g in rows.groupby("query_id")) >= 0.9 * 5 * len(want)
+
+
 def test_recall_with_several_parts(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "PART", 250)
     monkeypatch.setattr(neighbours, "BLOCK", 100)
     got = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     pdf = got.toPandas()
