@@ -56,7 +56,7 @@ SELECT doc_id, domain, lang, source, tokens::BIGINT tokens, (whole + (rest > 0 A
 
 def licence_scan() -> str:
     known, rules = licences.SENTENCES, licences.RULES
-    sentence = f"list_transform(list_filter(string_split_regex(lower(coalesce(text, '')), {_text(licences.BREAK)}), lambda s: regexp_matches(s, {_text(licences.HINTS)})), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))"
+    sentence = f"list_transform(list_filter(string_split_regex(lower(coalesce(text, '')), {_text(licences.BREAK)}), lambda s: regexp_matches(s, {_text(licences.hints(known))})), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))"
     code = f"coalesce({_list(list(known.values()))}[list_position({_list(list(known))}, s)], CASE WHEN regexp_matches(s, {_text(licences.TELLS)}) THEN '?' ELSE '' END)"
     out = f"WITH a AS (SELECT doc_id, array_to_string(list_transform({sentence}, lambda s: {code}), '') c FROM documents), r0 AS (SELECT doc_id, c, replace(c, '?', '') ids, replace(c, '?', '') rest, []::VARCHAR[] names FROM a)"
     for i, (name, pattern) in enumerate(rules):
