@@ -92,7 +92,9 @@ def mix(
     the order of md5(seed/epoch/doc_id); rows that repeat a doc_id are taken
     together. The prefix never exceeds the
     leaf's quota, and an empty prefix takes no document, not even empty ones. An empty table gives
-    no rows; rows with ``copies`` 0 are returned too.
+    no rows; rows with ``copies`` 0 are returned too. Other columns stay; those
+    named tokens or copies are replaced, names with two leading underscores are
+    the operator's own.
     """
     names = list(levels)
     inner = {c: f"__level_{c}" for c in names}
@@ -114,10 +116,11 @@ def mix(
     last = keyed.join(small(ends), [*path, "bucket"])
     last = last.withColumn("upto", F.col("base") + F.sum("tokens").over(W.partitionBy(*path).orderBy("key")))
     stops = last.where("upto <= rest").groupBy(*path).agg(F.max("key").alias("stop"))
-    rule = cut(plan.join(ends.drop("base"), path, "left").join(stops, path, "left").select(*path, "whole", "rest", "bucket", "stop"))
+    rule = plan.join(ends.drop("base"), path, "left").join(stops, path, "left")
+    rule = cut(rule.select(*path, *[F.col(c).alias(f"__{c}") for c in ("whole", "rest", "bucket", "stop")]))
     taken = docs.select("*", *[e.alias(c) for c, e in expr.items()], size.alias("__tokens")).join(small(rule), path, "left")
-    key = _key(F.col("whole"), F.col("doc_id"), seed)
-    reached = F.when(F.col("bucket").isNull() | (F.substring(key, 1, DIGITS) < F.col("bucket")) | (key <= F.col("stop")), 1).otherwise(0)
-    part = F.when(F.col("rest") > 0, reached).otherwise(0)
-    own = [F.col(c) for c in docs.columns if c not in ("tokens", "copies")]
-    return taken.select(*own, F.col("__tokens").alias("tokens"), (F.coalesce("whole", F.lit(0)) + part).cast("long").alias("copies"))
+    key = _key(F.col("__whole"), F.col("doc_id"), seed)
+    reached = F.when(F.col("__bucket").isNull() | (F.substring(key, 1, DIGITS) < F.col("__bucket")) | (key <= F.col("__stop")), 1).otherwise(0)
+    part = F.when(F.col("__rest") > 0, reached).otherwise(0)
+    own = [F.col(c) for c in docs.columns if c.lower() not in ("tokens", "copies")]
+    return taken.select(*own, F.col("__tokens").alias("tokens"), (F.coalesce("__whole", F.lit(0)) + part).cast("long").alias("copies"))

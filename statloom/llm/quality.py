@@ -218,9 +218,12 @@ def score(docs: DataFrame, model: RuleModel, at: float = 0.7) -> DataFrame:
     text. Columns of these two names are replaced.
     """
     stats = statistics(F.col("text"))
-    own = [c for c in docs.columns if c not in ("score", "predicted")]
+    own = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
     # the row number keeps the optimizer from copying the statistics into every rule of a later filter
-    inner = docs.select(*own, F.monotonically_increasing_id().alias("__row"), *[c.cast("double").alias(f"__stat_{k}") for k, c in stats.items()])
+    inner = docs.select(*own, F.monotonically_increasing_id().alias(row), *[c.cast("double").alias(f"__stat_{k}") for k, c in stats.items()])
     value = model.score({k: F.col(f"__stat_{k}") for k in stats})
-    scored = inner.select(*own, F.when(F.col("__row") >= 0, value).alias("score"))
+    scored = inner.select(*own, F.when(F.col(row) >= 0, value).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= at).cast("int"))

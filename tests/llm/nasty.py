@@ -5,7 +5,9 @@ import random
 WORDS = ["alpha", "beta", "gamma", "delta", "eins", "zwei", "drei", "été", "Ñu", "x1", "and", "the", "of"]
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, tokens long, copies long, "
-    "n_words long, n_removed long, kept string, block int, sketch string, key string, n long, part int, k1 long, tag long"
+    "n_words long, n_removed long, kept string, block int, sketch string, key string, n long, part int, k1 long, tag long, "
+    "whole long, rest long, bucket string, stop string, have long, quota long, grp long, rep long, bits string, runs string, next string, "
+    "edited string, hashes string, label_id long, quality int, domain string, url string, ids string, asks boolean, salt int, `__row` long"
 )
 
 
@@ -28,7 +30,7 @@ def texts():
 def rows():
     out = []
     for i, t in enumerate(texts()):
-        out.append((i * 3, t, [None, "en", "de", ""][i % 4], [None, "src0", "src0", "src12", "odd"][i % 5], len(t or ""), 0.5, 1, 1, 1, 1, 1, "k", 1, "s", "k", 1, 1, 1, 1))
+        out.append((i * 3, t, [None, "en", "de", ""][i % 4], [None, "src0", "src0", "src12", "odd"][i % 5], len(t or ""), 0.5, 1, 1, 1, 1, 1, "k", 1, "s", "k", 1, 1, 1, 1, 1, 1, "b", "s", 1, 1, 1, 1, "b", "r", "n", "e", "h", 1, 1, "d", "u", "i", True, 1, 1))
     out.append(out[0])  # a repeated row
     out.append((None, texts()[0], "en", "src0", 0, *out[0][5:]))  # no doc_id
     return out

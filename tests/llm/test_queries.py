@@ -77,6 +77,48 @@ def test_wrapped_licences(spark):
     assert {r.doc_id: (r.sentence_ids, r.licences) for r in got} == {i: t[1:] for i, t in texts.items()}
 
 
+def test_whole_licence_texts(spark):
+    wrap = lambda text, lead="": "\n".join(lead + line for block in text.split("\n\n") for line in [*textwrap.wrap(block, 64), ""])
+    mit = (
+        "The MIT License\n\nCopyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, '
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or "
+        'substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    )
+    bsd = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the "
+        "above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        'promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED '
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+        "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS)."
+    )
+    apache = (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n'
+        "http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
+        "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+    )
+    gpl = (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    )
+    texts = [mit, bsd, apache, gpl]
+    rows = [(i * 3 + j, wrap(t, lead) if j else t) for i, t in enumerate(texts) for j, lead in enumerate(("", "", " * "))]
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, want in enumerate([("NOPQ", "MIT"), ("RSTUVW", "BSD-3-Clause"), ("ABDE", "Apache-2.0"), ("Ighi", "GPL-3.0-or-later")]):
+        for j in range(3):
+            ids, names = got[i * 3 + j]
+            assert (ids.replace("C", ""), names) == want, (i, j)
+
+
+def test_sentences_without_a_usual_word(spark):
+    docs = spark.createDataFrame([(1, "Take it. Zebras may graze here, always.")], "doc_id long, text string")
+    assert licences.scan(docs, {"zebras may graze here always": "z"}, [("Zebra", "z")]).first().licences == "Zebra"
+
+
 def test_licences_of_awkward_documents(spark):
     got = licences.scan(nasty.docs(spark)).collect()
     assert len(got) == len(nasty.rows())
