@@ -164,6 +164,8 @@ class _Opener:
                     if not asks:
                         inner.append((k, s))
                         continue
+                    if not inner:
+                        continue  # no member fell into this block
                     if union is None:
                         union = distinct(np.concatenate([t for _, t in inner]))
                         least = min(len(t) for _, t in inner)

@@ -74,3 +74,84 @@ def test_first_of_group_stays_and_nothing_of_nothing(spark):
     kept = keep_first_of_group(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 9]
     assert jaccard_components(nasty.none(spark)).count() == 0
+
+
+def families(seed, n, sizes, vocabulary):
+    """Families of copies with words changed, cut and added, so that sizes in a family differ; many links lie near the threshold."""
+    rnd = random.Random(seed)
+    rows = []
+    for f in range(n):
+        base = [f"f{f}w{rnd.randrange(vocabulary)}x{i}" for i in range(rnd.randrange(*sizes))]
+        for _ in range(rnd.randrange(2, 9)):
+            t = list(base)
+            for _ in range(rnd.randrange(4)):
+                t[rnd.randrange(len(t))] = f"e{rnd.randrange(10**6)}"
+            t = t[: len(t) - rnd.randrange(3)] + [f"a{rnd.randrange(10**6)}" for _ in range(rnd.randrange(3))]
+            rows.append((len(rows), " ".join(t)))
+    rnd.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("k", "num", "den", "sizes"), [(1, 90, 100, (15, 50)), (3, 90, 100, (20, 140)), (5, 80, 100, (12, 90)), (1, 80, 100, (5, 30))])
+def test_families_of_mixed_sizes(spark, k, num, den, sizes):
+    rows = families(k + num, 40, sizes, 30)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k, num, den).collect()}
+    assert got == brute(rows, k, num, den)
+
+
+def test_blocks_of_crowded_shingles(spark, monkeypatch):
+    from statloom.llm import jaccard
+
+    for name, value in (("BLOCK", 3), ("CROWD", 5), ("LEADERS", 1), ("MEMBERS", 2), ("QUERIES", 2), ("ROUNDS", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = families(5, 6, (20, 40), 5)
+    common = " ".join(f"c{i}" for i in range(30))
+    rows += [(1000 + i, f"{common} u{i} v{i}") for i in range(25)]  # all share all but two words
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85, 100).collect()}
+    assert got == brute(rows, 1, 85, 100)
+
+
+def test_a_group_that_asks_for_the_least_shared_shingle(spark):
+    words = [f"w{i}" for i in range(29)]
+    rows = []
+    for i in range(12):
+        w = [f"{x}f{i}" for x in words]
+        f, a = [f"{x}{i}" for x in ("p", "q", "r")], [f"z{i}"]
+        for j, t in enumerate((w + a, f[:2] + w, f[:2] + w[:27], f + w)):
+            rows.append((100 * i + j, " ".join(t)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == brute(rows, 3, 90, 100)
+
+
+def test_rows_without_an_id_link(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text), (None, text + " more"), (None, "alone here"), (9, text + " more and")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == {(7, 58): 7, (None, 59): 7, (None, 1): None, (9, 60): 7}
+
+
+def test_bitmaps_never_overstate(spark):
+    import numpy as np
+
+    from statloom.llm.jaccard import _bitmap, _Order
+
+    rnd = np.random.default_rng(0)
+    a = rnd.integers(0, 2**63, 900).astype(np.uint64)
+    for n in (0, 1, 5, 40, 300, 900):
+        b = np.concatenate((a[n:], rnd.integers(0, 2**63, n // 2).astype(np.uint64)))
+        bits = [np.frombuffer(_bitmap(np.sort(x)), dtype=np.uint8) for x in (a, b)]
+        assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
+    o = _Order(1 << 12)
+    one, two, both = (np.zeros(o.size(), dtype=np.uint8) for _ in range(3))
+    sets = [np.unique(rnd.integers(0, 2**63, 200).astype(np.uint64)) for _ in range(6)]
+    for s in sets[:3]:
+        o.add(one, s)
+    o.add(two, np.concatenate(sets[2:]))
+    o.add(both, np.concatenate(sets[:3]))
+    o.add(both, np.concatenate(sets[2:]))
+    merged = o.merge(one.copy(), two)
+    assert all((x == y).all() for x, y in zip(o.parts(merged)[:2], o.parts(both)[:2]))  # the counts are estimates
+    levels = o.levels(merged)
+    seen = collections.Counter(x % 4096 for s in [*sets[:3], *sets[2:]] for x in s.tolist())
+    for s in sets:
+        assert ((o.ranks(levels, s) == 0) == np.array([seen[x % 4096] == 1 for x in s.tolist()])).all()
