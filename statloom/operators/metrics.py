@@ -73,8 +73,8 @@ def cluster_agreement(df: DataFrame, label: str, cluster: str, digits: int = 9)
     """``metric, value``: adjusted Rand, NMI, homogeneity, completeness, V, from one contingency table."""
     cell = df.groupBy(F.col(label).alias("l"), F.col(cluster).alias("c")).agg(F.count("*").cast("double").alias("n"))
     pairs = lambda x: x * (x - 1) / 2
-    total = F.sum("n").over(W.partitionBy(F.lit(1)))
-    marked = cell.select("l", "c", "n", total.alias("t"), F.sum("n").over(W.partitionBy("l")).alias("a"), F.sum("n").over(W.partitionBy("c")).alias("b"))
+    total = cell.agg(F.sum("n").alias("t"))  # one row
+    marked = cell.join(F.broadcast(total)).select("l", "c", "n", "t", F.sum("n").over(W.partitionBy("l")).alias("a"), F.sum("n").over(W.partitionBy("c")).alias("b"))
     n, a, b, t = (F.col(x) for x in "nabt")
     sums = marked.agg(
         F.sum(pairs(n)).alias("i"),

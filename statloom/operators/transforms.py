@@ -66,7 +66,8 @@ def mutual_information(df: DataFrame, label: str, features: Sequence[str], digit
     out = None
     for f in features:
         cell = df.groupBy(F.col(label).alias("a"), F.col(f).alias("b")).agg(F.count("*").cast("double").alias("n"))
-        n, t = F.col("n"), F.sum("n").over(W.partitionBy(F.lit(1)))
+        n, t = F.col("n"), F.col("t")
+        cell = cell.join(F.broadcast(cell.agg(F.sum("n").alias("t"))))  # one row
         x, y = F.sum("n").over(W.partitionBy("a")), F.sum("n").over(W.partitionBy("b"))
         one = cell.select((n / t * F.log(n * t / (x * y))).alias("i")).agg(F.lit(f).alias("feature"), F.round(F.sum("i"), digits).alias("mutual_information"))
         out = one if out is None else out.unionByName(one)

@@ -352,6 +352,6 @@ def ddm_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT round(sum((b.x-a.x)*(a.y+b.y)/2),9) integral FROM (SELECT i, i*0.01 x, sin(i*0.01) y FROM range(0,314) r(i)) a JOIN (SELECT i, i*0.01 x, sin(i*0.01) y FROM range(0,315) r(i)) b ON b.i=a.i+1""")
 def trapezoid(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = spark.range(0, 315).select("id", (F.col("id") * 0.01).alias("x"), F.sin(F.col("id") * 0.01).alias("y"))
-    w = W.partitionBy(F.lit(1)).orderBy("id")
-    step = x.select(F.col("x") - F.lag("x").over(w), F.col("y") + F.lag("y").over(w)).toDF("dx", "yy")
+    before = x.select((F.col("id") + 1).alias("id"), F.col("x").alias("x0"), F.col("y").alias("y0"))
+    step = x.join(before, "id").select((F.col("x") - F.col("x0")).alias("dx"), (F.col("y") + F.col("y0")).alias("yy"))
     return step.agg(F.round(F.sum(F.col("dx") * F.col("yy") / 2), 9).alias("integral"))

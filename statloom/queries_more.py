@@ -10,6 +10,7 @@ from statloom.functions.stem import porter_stem
 from statloom.functions.text import tokens
 from statloom.operators import neighbors, terms
 from statloom.queries_vectors import _CV, _E, _KNN, _centroids, _vectors
+from statloom.plans.lineage import cut, small
 from statloom.registry import query, table
 from statloom.streaming import drift
 
@@ -34,7 +35,7 @@ def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 def intra_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _vectors(spark, sf_dir)
     d = V.euclidean(F.col("vec"), F.col("m"))
-    j = x.join(F.broadcast(_centroids(x)), F.col("label") == F.col("c")).select("c", d.alias("d"))
+    j = x.join(small(cut(_centroids(x))), F.col("label") == F.col("c")).select("c", d.alias("d"))
     return j.groupBy("c").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean_distance"), F.round(F.max("d"), 6).alias("max_distance"), F.round(F.sum(F.col("d") * F.col("d")), 6).alias("sum_squares"))
 
 
@@ -43,7 +44,7 @@ def dunn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least distance of centroids over largest distance to a centroid, and its bounded form."""
     x = _vectors(spark, sf_dir)
     m = _centroids(x)
-    inner = x.join(F.broadcast(m), F.col("label") == F.col("c")).agg(F.max(V.euclidean(F.col("vec"), F.col("m"))).alias("i"))
+    inner = x.join(m, F.col("label") == F.col("c")).agg(F.max(V.euclidean(F.col("vec"), F.col("m"))).alias("i"))
     other = m.select(F.col("c").alias("c2"), F.col("m").alias("m2"))
     outer = m.join(other, F.col("c") < F.col("c2")).agg(F.min(V.euclidean(F.col("m"), F.col("m2"))).alias("o"))
     return inner.join(outer).select(F.round(F.col("o") / F.col("i"), 6).alias("dunn"), F.round(F.col("i") / (F.col("o") + F.col("i")), 6).alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.functions import vec as V
 from statloom.operators import neighbors
+from statloom.plans.lineage import cut, small
 from statloom.registry import query, table
 
 _E = "(SELECT vec_id id, list_transform(embedding, lambda x: x::DOUBLE) v, \"label\" FROM embeddings)"
@@ -44,7 +45,7 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _to_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _vectors(spark, sf_dir)
-    return x.join(F.broadcast(_centroids(x)))  # a row a label
+    return x.crossJoin(small(cut(_centroids(x))))  # a row a label
 
 
 _PAIR = f"{_E}, {_CV}"
@@ -85,8 +86,8 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
  p AS (SELECT a.c, max((x.s+y.s)/list_distance(a.m,b.m)) r FROM {_CV} a JOIN {_CV} b ON a.c<>b.c JOIN s x ON x.c=a.c JOIN s y ON y.c=b.c GROUP BY 1) SELECT round(avg(r),6) davies_bouldin FROM p""")
 def davies_bouldin(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _vectors(spark, sf_dir)
-    m = _centroids(x)
-    s = x.join(F.broadcast(m), F.col("label") == F.col("c")).groupBy("c", "m").agg(F.avg(V.euclidean(F.col("vec"), F.col("m"))).alias("s"))
+    m = small(cut(_centroids(x)))
+    s = x.join(m, F.col("label") == F.col("c")).groupBy("c", "m").agg(F.avg(V.euclidean(F.col("vec"), F.col("m"))).alias("s"))
     b = s.select(F.col("c").alias("c2"), F.col("m").alias("m2"), F.col("s").alias("s2"))
     worst = s.join(b, F.col("c") != F.col("c2")).groupBy("c").agg(F.max((F.col("s") + F.col("s2")) / V.euclidean(F.col("m"), F.col("m2"))).alias("r"))
     return worst.agg(F.round(F.avg("r"), 6).alias("davies_bouldin"))
