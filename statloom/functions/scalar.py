@@ -105,6 +105,13 @@ def logistic_loss(p: Column, y: Column) -> Column:
     return F.log1p(F.exp(-y * p))
 
 
+def softmax_loss(scores: Column, label: Column) -> Column:
+    """Logarithmic loss of an array of class scores against a class number."""
+    top = F.array_max(scores)
+    total = F.log(F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    return total + top - F.element_at(scores, label.cast("int") + 1)
+
+
 # Activations.
 def relu(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0))

@@ -359,3 +359,24 @@ class SelfOrganisingMap(Learner):
         return ArrayModel(scores, classes=k)
 
 
+
+
+class LocalQuantisation(Learner):
+    """Prototypes of learning vector quantisation, each with a local learner for the rows nearest to it (LVQLLC)."""
+
+    def __init__(self, local: Learner, prototypes: int = 2, key: str = "id", **more) -> None:
+        self.local, self.vq = local, VectorQuantisation(prototypes, key=key, **more)
+
+    def fit(self, df: DataFrame) -> Model:
+        from statloom.models.ensemble import PriorClassifier
+
+        self.vq.fit(df)
+        book = self.vq.codebook
+        place = ArrayModel(lambda x: ((x * x).sum(1)[:, None] + (book * book).sum(1)[None, :] - 2 * x @ book.T).argmin(axis=1))
+        dealt = place.transform(df).withColumnRenamed("prediction", "__part")
+        kinds = {r["__part"]: r.k for r in dealt.groupBy("__part").agg(F.count_distinct("label").alias("k")).collect()}  # a row a prototype
+        models = []
+        for i in range(len(book)):
+            mine = dealt.where(F.col("__part") == i).drop("__part") if i in kinds else df
+            models.append((self.local if kinds.get(i, 1) > 1 else PriorClassifier()).fit(mine))
+        return _Dealt(place, models)

@@ -104,7 +104,7 @@ class Network(Learner):
         net = start([d, *self.hidden, k], self.how, seed=self.seed)
         rows = df.select(F.xxhash64(self.key).alias("h"), "features", F.col("label").cast("double").alias("label"))
         dealt = cut(rows.withColumn("part", F.pmod("h", F.lit(self.workers))).repartition(self.workers, "part").sortWithinPartitions("part", "h"))
-        rounds = max(1, self.epochs // 4)
+        rounds = max(1, self.epochs // 4) if self.workers > 1 else 1  # one worker has nothing to average
         for r in range(rounds):
             net = self._round(dealt, net, self.epochs // rounds, r)
         self.net, f = net, ACTIVATIONS[self.activation][0]

@@ -271,6 +271,55 @@ class OnlineLinear(Learner):
         return np.array([r.w for r in mixed]), np.array([r.s for r in mixed]), mixed[0].t
 
 
+class OnlineMulticlass(Learner):
+    """Passive-aggressive steps on one weight vector a class: ``support`` moves all classes that score too high (SPA), else only the highest rival."""
+
+    def __init__(self, c: float = 1.0, support: bool = True, epochs: int = 3, workers: int = 8, key: str = "id") -> None:
+        self.c, self.support, self.epochs, self.workers, self.key = c, support, epochs, workers, key
+
+    def fit(self, df: DataFrame) -> Model:
+        from statloom.models.base import class_count
+
+        k, d, c, support = class_count(df), dimensions(df), self.c, self.support
+
+        def rule(m: State, x: np.ndarray, y: float) -> None:
+            w = m.w.reshape(k, d + 1)
+            s, right = w @ x, int(y)
+            loss = np.maximum(1 - (s[right] - s), 0)
+            loss[right] = 0
+            bad = np.flatnonzero(loss > 0)
+            if not len(bad):
+                return
+            n = x @ x
+            if not support:
+                bad = bad[[int(loss[bad].argmax())]]
+            order = bad[np.argsort(-loss[bad], kind="stable")]
+            total, used = 0.0, 0
+            for j in order:  # the classes whose loss lies above the common level
+                if loss[j] <= (total + loss[j]) / (used + 2) if used else False:
+                    break
+                total, used = total + loss[j], used + 1
+            level = total / (used + 1)
+            taus = np.minimum(np.maximum(loss[order[:used]] - level, 0) / n, c) if support and used > 1 else np.minimum(loss[order[:1]] / (2 * n), c)
+            for j, tau in zip(order, taus):
+                w[j] -= tau * x
+            w[right] += taus.sum() * x
+
+        rows = df.select(F.xxhash64(self.key).alias("h"), "features", F.col("label").cast("double").alias("y"))
+        dealt = cut(rows.withColumn("part", F.pmod("h", F.lit(self.workers))).repartition(self.workers, "part").sortWithinPartitions("part", "h"))
+        w, s, t = np.zeros(k * (d + 1)), np.zeros(k * (d + 1)), 0
+        inner = OnlineLinear(rule)
+        for _ in range(self.epochs):
+            w, s, t = inner._epoch(dealt, w, s, t)
+        weights = w.reshape(k, d + 1)
+
+        def scores(x: np.ndarray) -> np.ndarray:
+            z = x @ weights[:, :-1].T + weights[:, -1]
+            return np.exp(z - z.max(axis=1, keepdims=True))
+
+        return ArrayModel(scores, classes=k)
+
+
 # Kernel learners with a budget.
 def rbf(sigma: float = 1.0) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     def k(a: np.ndarray, b: np.ndarray) -> np.ndarray:

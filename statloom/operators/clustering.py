@@ -11,7 +11,7 @@ cluster of its representative. Density methods work on exact neighbour joins.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -799,3 +799,49 @@ def mean_pair_distance(df: DataFrame, cluster: str = "cluster", most: int = MOST
     for i in range(d):
         total = total + F.col(f"s{i}") * F.col(f"s{i}")
     return agg.select(cluster, "n", (F.col("n") * F.col("q") - total).alias("sum_squares"))
+
+
+def pairwise_spread(df: DataFrame, cluster: str = "cluster", block: int = 2048) -> DataFrame:
+    """``cluster, n, mean, largest`` of the distances of all pairs of a cluster's rows.
+
+    Blocks of a cluster's rows meet pair by pair, and each meeting yields one
+    partial sum; no pair is a row. A cluster of one row has null.
+    """
+    sizes = cut(df.groupBy(cluster).agg(F.count("*").alias("n")))
+    n = F.ceil(F.col("n") / block).cast("int")
+    at = df.join(sizes, cluster).select(F.col(cluster).alias("c"), "id", "vec", F.pmod(F.xxhash64("id"), n).cast("int").alias("b"), n.alias("blocks"))
+    dealt = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("c", F.least("b", "o").alias("low"), F.greatest("b", "o").alias("high"), "b", "id", "vec")
+    key = ["c", "low", "high"]
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, sides = None, {}
+
+        def told() -> pd.DataFrame | None:
+            if here is None:
+                return None
+            a = np.concatenate(sides[here[1]]) if here[1] in sides else None
+            b = np.concatenate(sides[here[2]]) if here[2] in sides else None
+            if a is None or b is None:
+                return None
+            d = _distances(a, b)
+            if here[1] == here[2]:
+                d = d[np.triu_indices(len(a), 1)]
+            return pd.DataFrame({"c": [here[0]], "total": [float(d.sum())], "pairs": [d.size], "top": [float(d.max()) if d.size else 0.0]})
+
+        for batch in batches:
+            for k, some in batch.groupby([*key, "b"], sort=False):
+                if k[:3] != here:
+                    made = told()
+                    if made is not None:
+                        yield made
+                    here, sides = k[:3], {}
+                sides.setdefault(k[3], []).append(np.stack(some["vec"]).astype(float))
+        made = told()
+        if made is not None:
+            yield made
+
+    kind = df.schema[cluster].dataType.simpleString()
+    parts = dealt.repartition(*key).sortWithinPartitions(*key, "b", "id").mapInPandas(task, f"c {kind}, total double, pairs long, top double")
+    sums = parts.groupBy("c").agg(F.sum("total").alias("t"), F.sum("pairs").alias("p"), F.max("top").alias("top"))
+    out = sizes.join(sums, sizes[cluster].eqNullSafe(sums["c"]), "left")
+    return out.select(sizes[cluster], "n", F.when(F.col("p") > 0, F.col("t") / F.col("p")).alias("mean"), F.when(F.col("p") > 0, F.col("top")).alias("largest"))

@@ -114,3 +114,9 @@ def sparsity(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         used = used + F.when(F.col(c).isNotNull() & (F.col(c) != 0), 1).otherwise(0)
     agg = df.agg(F.count("*").alias("n"), F.sum(used).cast("long").alias("nonzero"))
     return agg.select("n", "nonzero", (F.col("nonzero") / (F.col("n") * len(columns))).alias("share"))
+
+
+def top_k(df: DataFrame, by: Sequence[str], order: str, key: str, k: int) -> DataFrame:
+    """The ``k`` rows of least ``order`` (ties: of least ``key``) of every group, with ``rank``; each task keeps its own best first."""
+    over = W.partitionBy(*by).orderBy(order, key)
+    return df.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)

@@ -183,6 +183,32 @@ class TruncatedSvd(Transform):
         return x @ self.vectors.T
 
 
+def lanczos(df: DataFrame, k: int, rounds: int = 40, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` largest eigenvalues and vectors of ``X'X`` by Lanczos steps; each multiplies by the rows in one pass, so no square matrix is summed up."""
+    d = dimensions(df)
+    rows = cut(df.select("features", F.lit(0.0).alias("label")))
+    q = np.random.default_rng(seed).normal(size=d)
+    basis, a, b = [q / np.linalg.norm(q)], [], []
+    for _ in range(min(rounds, d)):
+        now = basis[-1]
+        w = array_sum(rows, lambda x, y, _, now=now: x.T @ (x @ now), d)
+        a.append(float(w @ now))
+        for v in basis:  # full reorthogonalisation keeps the basis true
+            w = w - (w @ v) * v
+        for v in basis:
+            w = w - (w @ v) * v
+        n = float(np.linalg.norm(w))
+        if n < 1e-10 * max(abs(x) for x in a) or len(basis) == d:
+            break
+        b.append(n)
+        basis.append(w / n)
+    m = len(a)
+    t = np.diag(a) + np.diag(b[: m - 1], 1) + np.diag(b[: m - 1], -1)
+    values, vectors = np.linalg.eigh(t)
+    order = np.argsort(values)[::-1][:k]
+    return values[order], np.array(basis[:m]).T @ vectors[:, order]
+
+
 class RandomProjection(Transform):
     """Johnson-Lindenstrauss projections: gauss, binary, sparse, sparse_sqrt or sparse_log entries."""
 

@@ -433,3 +433,31 @@ def manhattan_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest of every vector by city-block distance."""
     x = _vectors(spark, sf_dir).select("id", "vec")
     return neighbors.knn_join(x, x, 3, metric="manhattan").withColumn("distance", F.round("distance", 6))
+
+
+@query("""SELECT p_partkey, round(ln(exp(a-t)+exp(b-t)+exp(c-t)) + t - (CASE p_partkey % 3 WHEN 0 THEN a WHEN 1 THEN b ELSE c END),6) loss FROM (SELECT *, greatest(a,b,c) t FROM (SELECT p_partkey, p_size/10.0::DOUBLE a, p_retailprice/1000 b, (p_partkey % 7)::DOUBLE c FROM part))""")
+def softmax_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.functions.scalar import softmax_loss
+
+    scores = F.array(F.col("p_size") / 10.0, F.col("p_retailprice") / 1000, (F.col("p_partkey") % 7).cast("double"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(softmax_loss(scores, F.col("p_partkey") % 3), 6).alias("loss"))
+
+
+@query("""SELECT "label" cluster, any_value(n) n, round(avg(d),6) mean, round(max(d),6) largest FROM (SELECT a.label, list_distance(a.v,b.v) d, count(DISTINCT a.id) OVER (PARTITION BY a.label) n FROM (SELECT vec_id id, embedding::DOUBLE[] v, "label" FROM embeddings WHERE embedding IS NOT NULL) a JOIN (SELECT vec_id id, embedding::DOUBLE[] v, "label" FROM embeddings WHERE embedding IS NOT NULL) b ON a.label=b.label AND a.id<>b.id) GROUP BY 1""")
+def pairwise_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and largest distance of all pairs of each label's vectors."""
+    got = clustering.pairwise_spread(_vectors(spark, sf_dir).select("id", "vec", F.col("label").alias("cluster")))
+    return got.withColumns({"mean": F.round("mean", 6), "largest": F.round("largest", 6)})
+
+
+@query("SELECT c_mktsegment, c_custkey, r::INT \"rank\" FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) r FROM customer) WHERE r <= 5")
+def five_lowest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five customers of lowest balance of every segment."""
+    return dataset.top_k(table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal", "c_custkey", 5).select("c_mktsegment", "c_custkey", "rank")
+
+
+@query("""SELECT round(sum(x*x),2) total FROM (SELECT unnest(embedding::DOUBLE[]) x FROM embeddings WHERE embedding IS NOT NULL)""")
+def spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eigenvalues of the vectors' cross product, by Lanczos steps, add up to the squares of all elements."""
+    values, _ = features.lanczos(_vectors(spark, sf_dir).select(F.col("vec").alias("features")), 64, 64)
+    return spark.createDataFrame([(round(float(values.sum()), 2),)], "total double")

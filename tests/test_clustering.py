@@ -305,3 +305,17 @@ def test_drift_stream(spark, tmp_path):
     assert sorted((r.at, r.state) for r in got.collect()) == sorted(want)
     cuts = drift.adwin(df.select("i", "k", F.col("ok").cast("double").alias("x")), "k", ["i"], "x").collect()
     assert cuts and min(r.at for r in cuts) > 400
+
+
+def test_lanczos_and_spread(spark):
+    rnd = np.random.default_rng(4)
+    p = rnd.normal(size=(50, 6)) * np.arange(1, 7)
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(p)], "id long, vec array<double>, cluster int")
+    values, vectors = X.lanczos(df.select(F.col("vec").alias("features")), 3, 6)
+    want = np.linalg.eigvalsh(p.T @ p)[::-1][:3]
+    assert np.allclose(values, want) and np.allclose(p.T @ (p @ vectors), vectors * values, atol=1e-6)
+    for block in (5, 2048):
+        for r in K.pairwise_spread(df, block=block).collect():
+            q = p[np.arange(50) % 3 == r.cluster]
+            d = np.linalg.norm(q[:, None] - q[None], axis=2)[np.triu_indices(len(q), 1)]
+            assert abs(r["mean"] - d.mean()) < 1e-9 and abs(r.largest - d.max()) < 1e-9 and r.n == len(q)

