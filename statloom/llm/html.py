@@ -59,10 +59,10 @@ _END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
 class _Node:
-    __slots__ = ("content", "gone", "kids", "marked", "score", "tag", "up")
+    __slots__ = ("blocks", "content", "gone", "kids", "marked", "score", "tag", "up")
 
     def __init__(self, tag: str, up: _Node | None, gone: bool, content: bool, marked: bool = False) -> None:
-        self.tag, self.up, self.gone, self.content, self.marked, self.kids, self.score = tag, up, gone, content, marked, [], 0.0
+        self.tag, self.up, self.gone, self.content, self.marked, self.kids, self.score, self.blocks = tag, up, gone, content, marked, [], 0.0, False
 
 
 def _marks(attributes: dict[str, str]) -> tuple[bool, bool, bool]:
@@ -203,6 +203,7 @@ def parse(html: str) -> _Node:
             marked = marked and not content and bool(attributes.get("class") or attributes.get("role"))
         node = _Node(tag, here, gone, content or tag in ("article", "main"), marked)
         here.kids.append(node)
+        here.blocks = here.blocks or tag not in INLINE and tag not in VOID
         if tag in VOID or tag in RAW or value == "/" and tag not in CLOSES_P and tag not in INLINE:
             continue
         depth[tag] = depth.get(tag, 0) + 1
@@ -327,7 +328,7 @@ def main_text(html: str | None) -> str:
         while node is not None:
             size[node] = size.get(node, 0) + len(text)
             linked[node] = linked.get(node, 0) + link
-            if node.tag not in _BLOCKS and level < 6:
+            if (node.tag not in _BLOCKS or node.tag == "td" and node.blocks) and level < 6:  # a cell with blocks is a container
                 if not node.score:
                     scored.append(node)
                 node.score += points * (1.0, 0.5, 0.3, 0.2, 0.1, 0.05)[level]

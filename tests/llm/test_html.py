@@ -79,6 +79,13 @@ def test_title_and_list_around_a_body_without_article():
     assert got.startswith("Title Long") and got.endswith("on. one two")
 
 
+def test_a_page_laid_out_by_a_table():
+    long = "Long text, with commas, goes on and on. " * 4
+    page = f"<table><tr><td colspan=2><a href=/>Home</a> | <a href=/b>About</a></td></tr><tr><td width=9><a href=1>L1</a><br><a href=2>L2</a></td><td><h2>Old page</h2><p>{long}<p>{long}</td></tr><tr><td>Copyright</td></tr></table>"
+    assert main_text(page) == f"Old page {long.strip()} {long.strip()}"
+    assert main_text(f"<article><p>{long}</p><table><tr><td>a</td><td><p>b</p></td></tr></table></article>") == f"{long.strip()} a b"
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<<<>>>")[:0] == ""
     assert main_text("<article><p>cut off &amp") == "cut off &"
