@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,10 +15,6 @@ from pyspark.sql import functions as F
 from statloom.llm._memory import trimmed
 
 
-#: Tasks of the two levels of merging before the last one.
-WIDE, NARROW = 1024, 16
-
-
 def add_to_top(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Adds unsigned counts; what would run over stays at the top."""
     room = np.iinfo(a.dtype).max - b
@@ -67,13 +64,15 @@ def merged(
     count: Callable[[np.ndarray, pd.DataFrame], None],
     combine: Callable[[np.ndarray, np.ndarray], np.ndarray],
     finish: Callable[[np.ndarray], np.ndarray],
+    parts: int | None = None,
 ) -> bytes:
     """What ``finish`` makes of the merged sketch of all rows, packed: ``count`` adds a batch to a partition's cells.
 
-    Every partition makes one array of ``shape``; the arrays are merged along a
-    tree: in up to ``WIDE`` tasks, then in up to ``NARROW``, one by one, and a
-    last task merges what these made and finishes it. The driver gets its
-    packed bytes, to be passed on as they are. ``shape`` is a fixed bound, so nothing here grows with the
+    Every partition makes one array of ``shape``; as many tasks as the root of
+    their number (``parts``, or the session's shuffle partitions) merge them
+    one by one, a last task merges what these made and finishes it, so each
+    reads about the root of all arrays. The driver gets the packed bytes, to be
+    passed on as they are. ``shape`` is a fixed bound, so nothing here grows with the
     rows. An empty table has an empty sketch.
     """
 
@@ -99,8 +98,7 @@ def merged(
         own = sums(batches)
         yield pd.DataFrame({"blob": [pack(finish(np.zeros(shape, dtype=dtype) if own is None else own))]})
 
-    parts = df.mapInPandas(trimmed(partial), "blob binary")
-    for most in (WIDE, NARROW):
-        parts = parts.withColumn("part", F.spark_partition_id() % most).repartition("part").select("blob").mapInPandas(trimmed(merge), "blob binary")
-    done = parts.repartition(1).mapInPandas(trimmed(last), "blob binary").first()
+    groups = max(8, math.isqrt(parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    made = df.mapInPandas(trimmed(partial), "blob binary").withColumn("part", F.spark_partition_id() % groups).repartition(groups, "part").select("blob")
+    done = made.mapInPandas(trimmed(merge), "blob binary").repartition(1).mapInPandas(trimmed(last), "blob binary").first()
     return bytes(done.blob) if done else pack(finish(np.zeros(shape, dtype=dtype)))

@@ -242,14 +242,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     spark = docs.sparkSession
 
-    size = src.agg(F.sum(F.length("text"))).first()[0] or 0
-    sketch = _Order(int(min(MOST_BITS, max(LEAST_BITS, 1 << int(size // 4).bit_length()))))
+    size, parts = src.select(F.length("text").alias("n"), F.spark_partition_id().alias("p")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("p"), F.lit(0)) + 1).first()
+    sketch = _Order(int(min(MOST_BITS, max(LEAST_BITS, 1 << int(size // 8).bit_length()))))
 
     def count(own: np.ndarray, batch: pd.DataFrame) -> None:
         for i in range(0, len(batch), 200):
             sketch.add(own, np.concatenate([shingle_set(t, words) for t in batch["text"].iloc[i : i + 200]]))
 
-    order = spark.sparkContext.broadcast(_sketch.merged(src.select("text"), sketch.size(), "uint8", count, sketch.merge, sketch.levels))
+    order = spark.sparkContext.broadcast(_sketch.merged(src.select("text"), sketch.size(), "uint8", count, sketch.merge, sketch.levels, parts))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         levels = _sketch.held(order, "uint8")
