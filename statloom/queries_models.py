@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
 from pyspark.ml import feature as P
 from pyspark.ml import regression as R
@@ -11,15 +9,16 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statloom.models import base as B
+from statloom.models.bayes import GaussianNaiveBayes
 from statloom.registry import query, table
 
 
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line prices with three numbers to predict them from."""
     x = table(spark, sf_dir, "lineitem")
-    cols = ["l_quantity", "l_discount", "l_tax"]
-    made = P.VectorAssembler(inputCols=cols, outputCol="features").transform(x)
-    return made.select("features", (F.col("l_extendedprice") / 1000).alias("label"), (F.col("l_extendedprice") > 30000).cast("double").alias("dear"), "l_orderkey", "l_linenumber")
+    numbers = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")])
+    return x.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), numbers.alias("features"), (F.col("l_extendedprice") / 1000).alias("label"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,41 +26,61 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
 
 
-def _accuracy(model, x: DataFrame, name: str) -> DataFrame:
-    return model.transform(x).agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+def _held_out(x: DataFrame, learner: B.Learner) -> DataFrame:
+    """Predictions for a fifth of the rows by a model of the others."""
+    fold = B.fold_of(F.col("id"), 5)
+    return learner.fit(x.where(fold > 0)).transform(x.where(fold == 0))
 
 
-def _classifier(name: str, make, binary: bool = True):
+def _classifier(name: str, learner: B.Learner, binary: bool = True) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        x = _numbers(spark, sf_dir).select("features", F.col("dear").alias("label")) if binary else _vectors(spark, sf_dir)
-        return _accuracy(make().fit(x), x, name)
+        if binary:
+            x = _numbers(spark, sf_dir).withColumn("label", (F.col("label") > 30).cast("double"))
+        else:
+            x = _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), vector_to_array("features").alias("features"), "label")
+        seen = _held_out(x, learner)
+        return seen.agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
 
     run.__name__ = name
     query()(run)
 
 
-def _regressor(name: str, make):
+def _regressor(name: str, learner: B.Learner) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        x = _numbers(spark, sf_dir).select("features", "label")
         e = F.col("prediction") - F.col("label")
-        return make().fit(x).transform(x).agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"))
+        return _held_out(_numbers(spark, sf_dir), learner).agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
     run.__name__ = name
     query()(run)
 
 
-_classifier("logistic_regression", lambda: C.LogisticRegression(maxIter=20))
-_classifier("linear_svc", lambda: C.LinearSVC(maxIter=10))
-_classifier("decision_tree", lambda: C.DecisionTreeClassifier(maxDepth=4, seed=1))
-_classifier("random_forest", lambda: C.RandomForestClassifier(numTrees=10, maxDepth=4, seed=1))
-_classifier("boosted_trees", lambda: C.GBTClassifier(maxIter=5, maxDepth=3, seed=1))
-_classifier("gaussian_naive_bayes", lambda: C.NaiveBayes(modelType="gaussian"), binary=False)
-_classifier("neural_network", lambda: C.MultilayerPerceptronClassifier(layers=[64, 16, 10], maxIter=10, seed=1), binary=False)
-_regressor("linear_regression", lambda: R.LinearRegression())
-_regressor("ridge_regression", lambda: R.LinearRegression(regParam=0.1))
-_regressor("lasso_regression", lambda: R.LinearRegression(regParam=0.1, elasticNetParam=1.0))
-_regressor("tree_regression", lambda: R.DecisionTreeRegressor(maxDepth=4, seed=1))
-_regressor("isotonic_regression", lambda: R.IsotonicRegression())
+_classifier("logistic_regression", B.logistic(rounds=20))
+_classifier("linear_svc", B.linear_svm(0.0, rounds=10))
+_classifier("decision_tree", B.decision_tree(4))
+_classifier("random_forest", B.random_forest(10, 4))
+_classifier("boosted_trees", B.boosted_trees(5, 3))
+_classifier("gaussian_naive_bayes", GaussianNaiveBayes(), binary=False)
+_classifier("neural_network", B.perceptron_net([64, 16, 10], 10), binary=False)
+_regressor("ridge_regression", B.elastic_net(l2=0.1))
+_regressor("lasso_regression", B.elastic_net(l1=0.1))
+_regressor("tree_regression", B.regression_tree(4))
+
+
+@query("""WITH s AS (SELECT count(*) n, var_pop(y) yy, covar_pop(y,a) ya, covar_pop(y,b) yb, var_pop(a) aa, var_pop(b) bb, covar_pop(a,b) ab FROM (SELECT l_extendedprice/1000 y, l_quantity a, l_discount b FROM lineitem))
+ SELECT n, round(sqrt(yy - (ya*(ya*bb-yb*ab) + yb*(yb*aa-ya*ab))/(aa*bb-ab*ab)),5) rmse FROM s""")
+def linear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of least squares with two features on the rows of the fit."""
+    x = _numbers(spark, sf_dir).withColumn("features", F.slice("features", 1, 2))
+    e = F.col("prediction") - F.col("label")
+    return B.elastic_net().fit(x).transform(x).agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(e * e)), 5).alias("rmse"))
+
+
+@query()
+def isotonic_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of the best rising steps of price over quantity."""
+    x = _numbers(spark, sf_dir).select(F.element_at("features", 1).alias("features"), "label")
+    e = F.col("prediction") - F.col("label")
+    return R.IsotonicRegression().fit(x).transform(x).agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
 @query()
@@ -72,9 +91,12 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gaussian_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = Pipeline(stages=[P.PCA(k=4, inputCol="features", outputCol="low")]).fit(_vectors(spark, sf_dir)).transform(_vectors(spark, sf_dir))
-    m = K.GaussianMixture(k=3, seed=1, maxIter=10, featuresCol="low").fit(x)
-    return m.transform(x).select("vec_id", F.col("prediction").alias("cluster"))
+    """Clusters of the vectors, all dimensions, by three components with a variance for each dimension."""
+    from statloom.operators.clustering import gaussian_mixture as fit
+    from statloom.operators.clustering import mixture_assign
+
+    x = _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), vector_to_array("features").alias("vec"))
+    return mixture_assign(x, fit(x, 3, rounds=10)).select(F.col("id").alias("vec_id"), "cluster")
 
 
 @query()
