@@ -86,14 +86,25 @@ class WordIds:
         """Remembers the ids of unknown words, tokenizing each core once."""
         if len(self.cores) > REMEMBERED:
             self.cores = {}
-        cores, parted = self.cores, []
+        cores, new, parted, asked = self.cores, self.new, [], set()
         for word in unknown:
-            core = word.rstrip(TAILS)
-            tail = word[len(core) :]
-            if not (core and core[-1].isalnum()):
-                core, tail = word, ""
-            parted.append((word, core.lower() if core.isascii() else core, tail))
-        ask = sorted({x for _, core, tail in parted for x in (core, tail) if x not in cores})
+            core, tail = word, ""
+            if not word.isalpha():
+                core = word.rstrip(TAILS)
+                tail = word[len(core) :]
+                if not (core and core[-1].isalnum()):
+                    core, tail = word, ""
+            if core.isascii():
+                core = core.lower()
+            ids = cores.get(core)
+            if ids is None or tail and tail not in cores:
+                parted.append((word, core, tail))
+                asked.add(core)
+                if tail:
+                    asked.add(tail)
+            else:
+                new[word] = ids + cores[tail] if tail else ids
+        ask = sorted(asked.difference(cores))
         made, ends = _tokenizer(self.path), _ends(self.path)
         plain = [x for x in ask if x.isalpha()]  # one word each, so the ids tell where each ends
         lots = [plain[i : i + LOT] for i in range(0, len(plain), LOT)]
@@ -111,7 +122,7 @@ class WordIds:
         for word, got in zip(rest, made.encode_batch_fast(rest, add_special_tokens=False)):
             cores[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
         for word, core, tail in parted:
-            self.new[word] = cores[core] + cores[tail] if tail else cores[core]
+            new[word] = cores[core] + cores[tail] if tail else cores[core]
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
@@ -124,9 +135,11 @@ class WordIds:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
         missing = set().union(*split).difference(new)
-        for word in missing.intersection(old):
+        known = missing.intersection(old)
+        for word in known:
             new[word] = old[word]
-        self.learn(missing.difference(new))
+        missing -= known
+        self.learn(missing)
         return [b"".join(map(new.__getitem__, words)) if i not in whole else struct.pack(f"<{len(whole[i])}I", *whole[i]) for i, words in enumerate(split)]
 
 
