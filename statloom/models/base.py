@@ -91,13 +91,16 @@ class _Fitted(Model):
 
 
 class Ml(Learner):
-    """An estimator of ``pyspark.ml`` as a learner; uses ``weight`` if the table has it and the estimator can."""
+    """An estimator of ``pyspark.ml`` as a learner; uses ``weight`` if the table has it and the estimator can.
 
-    def __init__(self, estimator) -> None:
-        self.estimator = estimator
+    The estimator is made when it is fitted, since it needs a session and learners are named before there is one.
+    """
+
+    def __init__(self, kind: Callable, **params) -> None:
+        self.kind, self.params = kind, params
 
     def fit(self, df: DataFrame) -> Model:
-        e = self.estimator.copy()
+        e = self.kind(**self.params)
         e.setFeaturesCol("__vector")
         if e.hasParam("labelCol"):
             e.setLabelCol("label")
@@ -112,16 +115,16 @@ class Ml(Learner):
 def logistic(l2: float = 0.0, l1: float = 0.0, rounds: int = 100) -> Learner:
     """Logistic regression of two or more classes with an elastic-net penalty."""
     total = l1 + l2
-    return Ml(C.LogisticRegression(maxIter=rounds, regParam=total, elasticNetParam=l1 / total if total else 0.0))
+    return Ml(C.LogisticRegression, maxIter=rounds, regParam=total, elasticNetParam=l1 / total if total else 0.0)
 
 
 def linear_svm(penalty: float = 0.01, rounds: int = 100) -> Learner:
     """Linear support vector machine of two classes."""
-    return Ml(C.LinearSVC(maxIter=rounds, regParam=penalty))
+    return Ml(C.LinearSVC, maxIter=rounds, regParam=penalty)
 
 
 def decision_tree(depth: int = 5, bins: int = 32, impurity: str = "gini", least: int = 1, seed: int = 1) -> Learner:
-    return Ml(C.DecisionTreeClassifier(maxDepth=depth, maxBins=bins, impurity=impurity, minInstancesPerNode=least, seed=seed))
+    return Ml(C.DecisionTreeClassifier, maxDepth=depth, maxBins=bins, impurity=impurity, minInstancesPerNode=least, seed=seed)
 
 
 def decision_stump(impurity: str = "gini", bins: int = 32) -> Learner:
@@ -129,35 +132,35 @@ def decision_stump(impurity: str = "gini", bins: int = 32) -> Learner:
 
 
 def random_forest(trees: int = 50, depth: int = 8, share: float = 1.0, features: str = "auto", seed: int = 1) -> Learner:
-    return Ml(C.RandomForestClassifier(numTrees=trees, maxDepth=depth, subsamplingRate=share, featureSubsetStrategy=features, seed=seed))
+    return Ml(C.RandomForestClassifier, numTrees=trees, maxDepth=depth, subsamplingRate=share, featureSubsetStrategy=features, seed=seed)
 
 
 def boosted_trees(rounds: int = 20, depth: int = 3, rate: float = 0.1, share: float = 1.0, seed: int = 1) -> Learner:
     """Gradient boosted trees for two classes."""
-    return Ml(C.GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, seed=seed))
+    return Ml(C.GBTClassifier, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, seed=seed)
 
 
 def perceptron_net(layers: Sequence[int], rounds: int = 100, seed: int = 1) -> Learner:
     """Feed-forward network with sigmoid hidden layers and a softmax output."""
-    return Ml(C.MultilayerPerceptronClassifier(layers=list(layers), maxIter=rounds, seed=seed))
+    return Ml(C.MultilayerPerceptronClassifier, layers=list(layers), maxIter=rounds, seed=seed)
 
 
 def regression_tree(depth: int = 5, bins: int = 32, least: int = 1, seed: int = 1) -> Learner:
-    return Ml(R.DecisionTreeRegressor(maxDepth=depth, maxBins=bins, minInstancesPerNode=least, seed=seed))
+    return Ml(R.DecisionTreeRegressor, maxDepth=depth, maxBins=bins, minInstancesPerNode=least, seed=seed)
 
 
 def regression_forest(trees: int = 50, depth: int = 8, share: float = 1.0, seed: int = 1) -> Learner:
-    return Ml(R.RandomForestRegressor(numTrees=trees, maxDepth=depth, subsamplingRate=share, seed=seed))
+    return Ml(R.RandomForestRegressor, numTrees=trees, maxDepth=depth, subsamplingRate=share, seed=seed)
 
 
 def stochastic_gradient_boosting(rounds: int = 20, depth: int = 3, rate: float = 0.1, share: float = 0.5, seed: int = 1) -> Learner:
     """Boosted regression trees, each fitted to a share of the rows."""
-    return Ml(R.GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, seed=seed))
+    return Ml(R.GBTRegressor, maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, seed=seed)
 
 
 def elastic_net(l1: float = 0.0, l2: float = 0.0, rounds: int = 100) -> Learner:
     total = l1 + l2
-    return Ml(R.LinearRegression(maxIter=rounds, regParam=total, elasticNetParam=l1 / total if total else 0.0))
+    return Ml(R.LinearRegression, maxIter=rounds, regParam=total, elasticNetParam=l1 / total if total else 0.0)
 
 
 def fold_of(key: Column, folds: int, seed: int = 0) -> Column:

@@ -116,7 +116,7 @@ def least_squares_svm(kernel: Kernel, c: float = 1.0, points: int = LANDMARKS, *
 
 def kernel_svm(kernel: Kernel, c: float = 1.0, points: int = LANDMARKS, bias: bool = True, rounds: int = 100, **more) -> Learner:
     """Soft-margin kernel machine of two classes, solved on landmark features."""
-    return OnFeatures(Ml(C.LinearSVC(regParam=1e-3 / c, maxIter=rounds, fitIntercept=bias, standardization=False)), kernel, points, **more)
+    return OnFeatures(Ml(C.LinearSVC, regParam=1e-3 / c, maxIter=rounds, fitIntercept=bias, standardization=False), kernel, points, **more)
 
 
 class DivideAndConquerSvm(Learner):

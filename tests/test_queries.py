@@ -1,5 +1,9 @@
 """Every core query with SQL gives DuckDB's rows; the others give rows."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from statloom.queries import ORACLE_SQL, QUERIES
@@ -26,6 +30,13 @@ def test_topics_of_documents_with_rare_words(spark, tmp_path):
     assert len(topics) == 7 and all(abs(sum(t) - 1) < 1e-6 for t in topics.values())
 
 
+def test_queries_are_listed_without_a_session():
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries(), *e.oracle_sql())"], cwd=home, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert {"logistic_regression", "col_stats"} <= set(done.stdout.split())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
