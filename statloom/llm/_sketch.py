@@ -22,19 +22,9 @@ def add_to_top(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.add(a, b, out=a)
 
 
-def either(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Merges bit planes (rows, once or twice, bytes): a cell is met twice if either side did or both met it."""
-    met = np.bitwise_and(a[:, 0], b[:, 0])
-    np.bitwise_or(a, b, out=a)
-    np.bitwise_or(a[:, 1], met, out=a[:, 1])
-    return a
-
-
-def meet(planes: np.ndarray, row: int, cells: np.ndarray) -> None:
-    """Counts each of the cells of one row once."""
-    at, bit = (cells >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cells & np.uint64(7)).astype(np.uint8)
-    np.bitwise_or.at(planes[row, 1], at, planes[row, 0, at] & bit)
-    np.bitwise_or.at(planes[row, 0], at, bit)
+def put(plane: np.ndarray, cells: np.ndarray) -> None:
+    """Sets the bits of the cells in a bit plane."""
+    np.bitwise_or.at(plane, (cells >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cells & np.uint64(7)).astype(np.uint8))
 
 
 def has(plane: np.ndarray, cells: np.ndarray) -> np.ndarray:

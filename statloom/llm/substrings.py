@@ -1,14 +1,15 @@
-"""Substring deduplication behind a count-min prefilter.
-
-A window is ``span`` consecutive words of one document. Each partition counts
-its windows in a sketch, the sketches are merged, and a second pass groups
-exactly only the windows whose estimate says that two documents may hold them.
-
-A window is counted under its anchor: the least hash among the short word runs
-inside it. Equal windows have equal anchors, so a cell never counts fewer
-documents than hold a window of that anchor: estimates are never too low and no
-repeated window is lost. There are about ``2 / (span - GRAM + 2)`` anchors a
-word, which keeps the sketch that much smaller than one of all windows.
+"""Substring deduplication behind the anchors that two documents share.
+
+A window is ``span`` consecutive words of one document. Its anchor is the least
+hash among the short word runs inside it. Equal windows have equal anchors, so
+only windows under an anchor of two documents can be repeated: anchors are
+grouped exactly, those of two documents are marked in bit planes, and a second
+pass groups exactly the windows whose anchor is marked. Planes also mark some
+other anchors, which costs rows and never a window.
+
+There are about ``2 / (span - GRAM + 2)`` anchors a word, so what is grouped
+first is a small share of the words at every size; the planes grow only with
+the anchors that documents do share.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 from statloom.llm import _sketch
 from statloom.llm._memory import release, trimmed
 from statloom.llm._words import distinct, grams, hashes, mix, windows, words
-from statloom.plans.lineage import cut, small
+from statloom.plans.lineage import cut, small, sweep
 
 #: Words of the runs that anchors are chosen from.
 GRAM = 8
-#: Rows of the sketch, and its least and most cells a row (two bits each: met once, met again).
-DEPTH, LEAST_CELLS, MOST_CELLS = 2, 1 << 18, 1 << 25
+#: Bit planes of shared anchors, and the least and most cells of each.
+DEPTH, LEAST_CELLS, MOST_CELLS = 2, 1 << 18, 1 << 27
 
 
 def _anchors(h: np.ndarray, span: int) -> np.ndarray:
@@ -43,10 +44,9 @@ def _cell(anchors: np.ndarray, row: int, cells: int) -> np.ndarray:
     return mix(anchors, 21 + row) % np.uint64(cells)
 
 
-def _cells_for(n_words: int, span: int) -> int:
-    """Eight cells an expected anchor, within the fixed bounds."""
-    want = 8 * 2 * n_words // (span - min(GRAM, span) + 2)
-    return int(min(MOST_CELLS, max(LEAST_CELLS, 1 << max(1, want - 1).bit_length())))
+def _cells_for(n_anchors: int) -> int:
+    """Sixteen cells an anchor, within the fixed bounds."""
+    return int(min(MOST_CELLS, max(LEAST_CELLS, 1 << max(1, 16 * n_anchors - 1).bit_length())))
 
 
 def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
@@ -81,15 +81,24 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
     # a later copy of a whole text goes as a whole, and takes no part below
     copies = cut(long.join(firsts, same).where("doc_id > first").select("doc_id", "tag", "n_words").distinct())
     sole = known.join(small(copies.select("doc_id", "tag")), ["doc_id", "tag"], "left_anti")
-    cells = _cells_for(seqs.agg(F.sum("n_words")).first()[0] or 0, span)
 
-    def count(own: np.ndarray, batch: pd.DataFrame) -> None:
-        for text in batch["text"]:
-            a = distinct(_anchors(hashes(text), span))
-            for row in range(DEPTH):
-                _sketch.meet(own, row, distinct(_cell(a, row, cells)))
+    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [distinct(_anchors(hashes(text), span)) for text in batch["text"]]
+            ids = np.repeat(batch["doc_id"].to_numpy(dtype=np.int64), [len(a) for a in found])
+            yield pd.DataFrame({"a": np.concatenate([*found, np.zeros(0, dtype=np.uint64)]).view(np.int64), "doc_id": ids})
+
+    met = sole.select("doc_id", "text").mapInPandas(trimmed(anchors), "a long, doc_id long")
+    shared = cut(met.groupBy("a").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a"))
+    sweep(spark)
+    cells = _cells_for(shared.count())
+
+    def mark(own: np.ndarray, batch: pd.DataFrame) -> None:
+        a = batch["a"].to_numpy(dtype=np.int64).view(np.uint64)
+        for row in range(DEPTH):
+            _sketch.put(own[row], _cell(a, row, cells))
 
-    repeated = spark.sparkContext.broadcast(_sketch.merged(sole.select("text"), (DEPTH, 2, cells // 8), "uint8", count, _sketch.either, lambda seen: seen[:, 1]))
+    repeated = spark.sparkContext.broadcast(_sketch.merged(shared, (DEPTH, cells // 8), "uint8", mark, lambda a, b: np.bitwise_or(a, b, out=a), lambda marked: marked))
 
     def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = _sketch.held(repeated, "uint8").reshape(DEPTH, -1)
@@ -117,7 +126,7 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    found = sole.mapInPandas(trimmed(suspects), "w1 long, w2 long, doc_id long, tag long, pos int")
+    found = cut(sole.mapInPandas(trimmed(suspects), "w1 long, w2 long, doc_id long, tag long, pos int"))
     least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     late = found.join(least, ["w1", "w2"]).where("doc_id > first")
     starts = late.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
@@ -133,6 +142,7 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "tag": batch["tag"], "runs": runs})
 
     runs = cut(starts.mapInPandas(trimmed(to_runs), "doc_id long, tag long, runs array<int>").unionByName(whole))
+    sweep(spark)
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def keep(texts: pd.Series, found: pd.Series) -> pd.DataFrame:

@@ -44,3 +44,25 @@ def test_tables_without_rows_or_text(spark):
     assert remove_repeats(nasty.none(spark)).count() == 0
     empty = remove_repeats(spark.range(3).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))).collect()
     assert [(r.n_words, r.n_removed, r.kept) for r in empty] == [(0, 0, "")] * 3
+
+
+def test_full_planes_pass_only_windows_of_shared_anchors(spark, monkeypatch):
+    from statloom.llm import substrings
+
+    counts = []
+
+    def seen(df):
+        made = cut(df)
+        if "w1" in df.columns:
+            counts.append(made.count())
+        return made
+
+    cut = substrings.cut
+    monkeypatch.setattr(substrings, "cut", seen)
+    monkeypatch.setattr(substrings, "LEAST_CELLS", 1 << 9)
+    monkeypatch.setattr(substrings, "MOST_CELLS", 1 << 9)
+    passage = nasty.sentence(50, 60)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(500)) + (f" {passage}" if i < 2 else "")) for i in range(40)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 50)
+    assert len(counts) == 1 and 22 <= counts[0] <= 40 * 451 // 10  # two texts of far more anchors than cells
