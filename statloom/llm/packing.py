@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import os
 import struct
 from collections import deque
 from collections.abc import Iterator
@@ -43,6 +44,7 @@ TAILS = ".,;:!?*&%$#|)]}"
 
 @functools.lru_cache(maxsize=4)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; each thread more would keep memory of its own
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)

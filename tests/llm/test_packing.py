@@ -1,6 +1,9 @@
 """Packing keeps every id once, in order, and pads little."""
 
 import collections
+import os
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -74,3 +77,15 @@ def test_whole_pieces(spark):
 
 def test_nothing(spark):
     assert pack(nasty.none(spark), PATH).count() == 0
+
+
+def test_a_worker_tokenizes_in_its_own_thread():
+    code = (
+        "import os; from statloom.llm.packing import WordIds; ids = WordIds(%r); n = len(os.listdir('/proc/self/task')); "
+        "ids.of([' '.join(f'a{i}b{j}' for j in range(50)) + ' ' + ' '.join(chr(97 + i %% 26) * (j + 1) for j in range(30)) for i in range(200)]); "
+        "print(len(os.listdir('/proc/self/task')) - n)" % PATH
+    )
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=home, env=env, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "0", done.stdout + done.stderr
