@@ -35,7 +35,7 @@ from statloom.llm import _sketch
 from statloom.llm._memory import trimmed
 from statloom.llm._words import distinct, mix, shingle_set
 from statloom.plans.graph import connected_components
-from statloom.plans.lineage import cut, small
+from statloom.plans.lineage import cut, small, sweep
 
 #: Least and most bits of the plane that tells which shingles two documents may have.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
@@ -279,6 +279,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     rows = sets.where("bits is not null").select("k1", "n", F.explode("prefix").alias("tok")).distinct()
     live = rows.groupBy("tok").agg(F.count("*").alias("docs")).where("docs > 1")
     live = cut(rows.join(live, "tok"))  # shingles that meet nothing go
+    sweep(spark)  # here and below: each phase runs many small plans, whose memory the driver would keep
     bitmaps = nodes.where("bits is not null").groupBy("k1").agg(F.min("bits").alias("bits"))
     link = _Opener(src, nodes, words, num, den)
 
@@ -289,6 +290,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             comps = connected_components(links, "a", "b").withColumnRenamed("node", "k1")
             groups = groups.join(comps, "k1", "left").select("k1", F.coalesce("component", "grp").alias("grp"))
         groups = cut(groups.distinct())
+        sweep(spark)
         at = live.join(groups, "k1")
         if links is not None:
             met = at.groupBy("tok").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low < high").select("tok")
@@ -337,6 +339,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         asked = cut(asked.groupBy("own").agg(F.min(F.struct("apart", "x", "y", "grp")).alias("best")).select("best.*"))
         more = link(asked)
         links = more if links is None else links.unionByName(more)
+        sweep(spark)
     groups, at = grouped(links)
     key = ["tok", "low", "high"]
     blocks = F.ceil(F.col("docs") / BLOCK).cast("int")
@@ -344,8 +347,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     dealt = dealt.select("tok", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "k1", "n", "grp", "bits")
     met = dealt.repartition(*key).sortWithinPartitions(*key, "n", "k1").mapInPandas(_runs(key, meet), "x long, y long, grp long")
     links = links.unionByName(link(cut(met.distinct())))
+    sweep(spark)
     comps = connected_components(links, "a", "b").withColumnRenamed("node", "k1")
     known = cut(nodes.join(comps, "k1", "left").select("k1", "k2", "rep", F.coalesce("component", "k1").alias("comp")))
+    sweep(spark)
     least = known.groupBy("comp").agg(F.min("rep").alias("component_id"))
     rep = known.join(least, "comp").select("k1", "k2", "component_id")
     return (

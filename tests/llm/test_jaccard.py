@@ -155,3 +155,28 @@ def test_bitmaps_never_overstate(spark):
     seen = collections.Counter(x % 4096 for s in [*sets[:3], *sets[2:]] for x in s.tolist())
     for s in sets:
         assert ((o.ranks(levels, s) == 0) == np.array([seen[x % 4096] == 1 for x in s.tolist()])).all()
+
+
+def test_the_driver_lets_go_of_finished_phases(spark, monkeypatch):
+    from statloom.llm import jaccard
+    from statloom.plans import graph, lineage
+
+    plans, most, real = [0], [], (lineage.cut, lineage.sweep)
+
+    def cut(df):
+        plans[0] += 1
+        return real[0](df)
+
+    def sweep(session):
+        real[1](session)
+        most.append(plans[0])
+        plans[0] = 0
+
+    monkeypatch.setattr(jaccard, "cut", cut)
+    monkeypatch.setattr(graph, "cut", cut)
+    monkeypatch.setattr(jaccard, "sweep", sweep, raising=False)
+    rows = families(5, 6, (20, 40), 5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 85, 100).collect()}
+    assert got == brute(rows, 1, 85, 100)
+    assert max([*most, plans[0]]) <= 12  # stored tables between two sweeps
+    assert lineage.trim(spark)
