@@ -18,7 +18,7 @@ from statloom.llm.mixing import mix
 from statloom.llm.packing import pack
 from statloom.llm.quality import score, train
 from statloom.llm.substrings import remove_repeats
-from statloom.plans.lineage import cut, ship
+from statloom.plans.lineage import cut, ship, sweep_executors
 
 #: Share of the words that pass the earlier stages which the mixture keeps.
 SHARE = 0.8
@@ -93,6 +93,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are packed each, other columns are ignored, an empty table has no pieces.
     """
     ship(spark)
+    sweep_executors(spark)  # the tokenizers' words need what earlier stages left to the heaps
     out = pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

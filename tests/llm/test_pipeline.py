@@ -110,3 +110,18 @@ def test_run(spark, sf):
     got = p.run(spark, sf).collect()
     assert got and {r.doc_id for r in got} <= {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert len(p.STAGES) == 5
+
+
+def test_packing_starts_on_swept_heaps(spark):
+    import gc
+    import time
+
+    jvm = spark.sparkContext._jvm  # a local session has its executor here
+    left = jvm.java.lang.Object()
+    weak = jvm.java.lang.ref.WeakReference(left)
+    jvm.System.gc()  # what is old stays until the next full collection
+    del left
+    gc.collect()
+    time.sleep(1)  # until the JVM hears that Python let go
+    p.packing(spark, spark.createDataFrame([], "doc_id long, text string"), "")
+    assert weak.get() is None
