@@ -7,20 +7,33 @@ splits since both sides shuffle for the join alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions.text import tokens
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is evaluated once however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def counted(words: Column) -> Column:
-    """``token, tf`` structs of an array's distinct elements: one sort, then the lengths of runs."""
-    s = F.sort_array(words)
-    n = F.size(s)
-    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
-    ends = F.concat(F.slice(starts, F.lit(2), n), F.array(n + 1))
-    made = F.zip_with(starts, ends, lambda i, j: F.struct(F.element_at(s, i).alias("token"), (j - i).cast("long").alias("tf")))
-    return F.when(n > 0, made)
+    """``token, tf`` structs of an array's distinct elements: one sort, then the lengths of runs; null for none."""
+
+    def of_sorted(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+
+        def of_starts(at: Column) -> Column:
+            ends = F.concat(F.slice(at, F.lit(2), n), F.array(n + 1))
+            return F.zip_with(at, ends, lambda i, j: F.struct(F.element_at(s, i).alias("token"), (j - i).cast("long").alias("tf")))
+
+        return F.when(n > 0, _bound(starts, of_starts))
+
+    return _bound(F.sort_array(words), of_sorted)
 
 
 def term_counts(docs: DataFrame, key: str, text: str, unique: bool = False, length: bool = False) -> DataFrame:

@@ -1,12 +1,14 @@
 """Operators on typed-in samples."""
 
 import random
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from statloom.functions import text, vec
-from statloom.operators import dataset, metrics, neighbors, stats
+from statloom.operators import dataset, metrics, neighbors, stats, terms
 from statloom.plans.graph import connected_components
 from statloom.streaming.drift import ADWIN, DDM
 
@@ -90,3 +92,15 @@ def test_drift_is_seen():
     a = ADWIN()
     assert not any(a.add(rnd.gauss(0, 1)) for _ in range(500))
     assert any(a.add(rnd.gauss(4, 1)) for _ in range(200))
+
+
+def test_long_documents_are_counted_in_time(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(20_000)), "b a b", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    terms.term_counts(docs.where("doc_id > 0"), "doc_id", "text", unique=True, length=True).collect()
+    began = time.time()
+    got = {(r.doc_id, r.token): (r.tf, r.len) for r in terms.term_counts(docs, "doc_id", "text", unique=True, length=True).collect()}
+    assert time.time() - began < 20
+    want = {(0, w): (n, 20_000) for w, n in Counter(texts[0].split()).items()} | {(1, "a"): (1, 3), (1, "b"): (2, 3)}
+    assert got == want
