@@ -110,6 +110,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from statloom.llm.alignment import align_documents
+
+    out = align_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.encode("groups", "utf-8"), 256))
+    return out.withColumn("groups_sha256", digest).drop("groups")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -123,6 +133,7 @@ QUERIES = {
         op8_url_filter,
         op9_ngram_jaccard_join,
         op10_substring_dedup,
+        op11_cross_tokenizer_alignment,
     )
 }
 
