@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +33,13 @@ from statloom.llm._memory import trimmed
 from statloom.plans.lineage import cut, small
 
 #: Characters of a block of documents (one longer text is a block by itself).
-CHARS = 8 << 20
+CHARS = 24 << 20
 #: Rows of segments handed on at a time.
 ROWS = 50_000
 #: Signs that count as white space to any of the tokenizers or to this module; no cut comes after one.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 _CUT = re.compile(f"(?<=[^{SPACE}])(?= )")
-_GLUED = re.compile(f"[{SPACE}] ")
+_SPACE, _GLUED = re.compile(f"[{SPACE}]"), re.compile(f"[{SPACE}] ")
 #: How sentencepiece writes a space.
 MARK = "▁"
 
@@ -107,36 +108,41 @@ class Vocabularies:
         b = np.array(self.b.encode("x" + joined), dtype=np.int64)
         return a, b[np.cumsum(self.b_length[b]) > 2]
 
-    def _align(self, segments: list[str]) -> pd.DataFrame:
-        """Alignments of segments that may be joined (all but a last one end in a sign other than white space)."""
+    def _align(self, segments: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Alignments of segments that may be joined (all but a last one end in a sign other than white space).
+
+        The text of each one's groups, its A tokens, its links, and all links in a row.
+        """
         joined = " " + " ".join(segments)
         a, b = self._ids(joined)
         if not self.safe and not b"".join(self.a_bytes[i] for i in a) == b"".join(self.b_bytes[i] for i in b) == joined.encode():
-            return pd.DataFrame({"w": segments, "groups": "", "n_a": 0, "n_b": 0, "n_groups": 0, "links": [np.zeros(0, np.int64)]})
+            return [""], np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
         to_a, to_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
-        ends = np.cumsum([1 + len(s.encode()) for s in segments])
-        both = np.intersect1d(to_a, to_b)
-        group_a, group_b = np.searchsorted(both, to_a), np.searchsorted(both, to_b)
+        ends = np.cumsum([1 + len(s if s.isascii() else s.encode()) for s in segments])
+        next_b, next_a = np.searchsorted(to_b, to_a), np.searchsorted(to_a, to_b)
+        last_a, last_b = to_b[next_b] == to_a, to_a[next_a] == to_b
+        both = to_a[last_a]
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         # a group's A ids, then its B ids; what is written after an id is told by what ends there
-        last_a, last_b = np.isin(to_a, both), np.isin(to_b, both)
         out = np.empty(len(a) + len(b), dtype=object)
         out[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = self.written[last_a.astype(int), a]
-        stop = np.where(np.isin(to_b, ends), 3, np.where(last_b, 2, 0))
+        stop = 2 * last_b
+        stop[np.searchsorted(to_b, ends)] = 3
         out[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = self.written[stop, b]
         # between two neighbouring ends of either tokenizer exactly one pair overlaps
-        steps = np.union1d(to_a, to_b)
+        steps = np.sort(np.concatenate((to_a, to_b[~last_b])), kind="stable")
         links = a[np.searchsorted(to_a, steps)] << 32 | b[np.searchsorted(to_b, steps)]
-        at = np.searchsorted(steps, ends, "right")
         count = lambda x: np.diff(np.searchsorted(x, ends, "right"), prepend=0)
-        groups = "".join(out).split("\n")[:-1]
-        return pd.DataFrame({"w": segments, "groups": groups, "n_a": count(to_a), "n_b": count(to_b), "n_groups": count(both), "links": np.split(links, at[:-1])})
+        return "".join(out.tolist()).split("\n")[:-1], count(to_a), count(steps), links
 
-    def align(self, segments: list[str]) -> pd.DataFrame:
-        """``w, groups, n_a, n_b, n_groups, links`` (A id times 2^32 plus B id) of distinct segments."""
-        alone = [s for s in segments if not self.safe or not s or _GLUED.match(s[-1] + " ")]
+    def align(self, segments: list[str]) -> tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct segments in another order, their groups, A tokens and links, and all links in a row (A id times 2^32 plus B id)."""
+        alone = [s for s in segments if not self.safe or not s or _SPACE.match(s[-1])]
         apart = set(alone)
-        plain = [s for s in segments if s not in apart]
-        return pd.concat(([self._align(plain)] if plain else []) + [self._align([s]) for s in alone], ignore_index=True)
+        plain = [s for s in segments if s not in apart] if alone else segments
+        made = ([self._align(plain)] if plain else []) + [self._align([s]) for s in alone]
+        groups, n_a, n_links, links = zip(*made)
+        return plain + alone, [g for x in groups for g in x], *map(np.concatenate, (n_a, n_links, links))
 
 
 @functools.lru_cache(maxsize=2)
@@ -192,31 +198,38 @@ def align_documents(docs: DataFrame, a: str, b: str) -> DataFrame:
                 counts.update(known.segments(x))
         yield from flush()
 
-    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabularies(a, b)
         for batch in batches:
-            if len(batch):
-                yield known.align(batch["w"].tolist()).merge(batch, on="w")
+            if batch.num_rows:
+                words, numbers = batch.column("w").to_pylist(), batch.column("n").to_pylist()
+                held = dict(zip(words, numbers))
+                words, groups, n_a, n_links, links = known.align(words)
+                each = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_links))), pa.int32()), pa.array(links, pa.int64()))
+                n = pa.array([held[w] for w in words], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(words), n, pa.array(groups), pa.array(n_a, pa.int64()), each], ["w", "n", "groups", "n_a", "links"])
 
     lists = cut(src.mapInPandas(trimmed(listed), "block long, w string, n long"))
     distinct = lists.groupBy("w").agg(F.sum("n").alias("n"))
-    made = cut(distinct.mapInPandas(trimmed(aligned), "w string, n long, groups string, n_a long, n_b long, n_groups long, links array<long>"))
+    made = cut(distinct.mapInArrow(aligned, "w string, n long, groups string, n_a long, links array<long>"))
     pairs = cut(made.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count")))
     of_b = F.col("link").bitwiseAND(F.lit((1 << 32) - 1))
     most = pairs.groupBy(of_b.alias("b")).agg(F.max("count").alias("most"))  # a row for each id of B's vocabulary at most
     judged = cut(pairs.join(F.broadcast(most), of_b == F.col("b")).select("link", "count", (F.col("count") == F.col("most")).cast("long").alias("best")))
     sums = made.select("w", F.explode("links").alias("link")).join(small(judged), "link").groupBy("w").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    known = made.select("w", "groups", "n_a", "n_b", "n_groups").join(sums, "w")
-    back = lists.select("block", "w").join(known, "w")
+    packed = F.concat_ws(" ", "groups", "n_a", "n_best", "count_sum", "w").alias("packed")  # one column: rows of short columns are mostly padding
+    back = lists.select("block", "w").join(made.select("w", "groups", "n_a").join(sums, "w"), "w").select("block", packed)
 
     def compose(rows: pd.DataFrame, segments: pd.DataFrame) -> pd.DataFrame:
-        words = vocabularies(a, b)
-        groups = segments["groups"].tolist()
-        place = dict(zip(segments["w"], range(len(groups))))
-        numbers = segments[_NUMBERS].to_numpy(dtype=np.int64)
+        known = vocabularies(a, b)
+        groups, n_a, n_best, count_sum, words = zip(*[x.split(" ", 4) for x in segments["packed"]]) if len(segments) else [()] * 5
+        n_groups = [g.count("|") for g in groups]
+        n_b = [g.count(",") + 2 * n - int(m) for g, n, m in zip(groups, n_groups, n_a)]  # a comma or one of two ends after each id
+        numbers = np.array([n_a, n_b, n_groups, n_best, count_sum], dtype=np.int64).T
+        place = dict(zip(words, range(len(words))))
         out = []
         for doc_id, x in zip(rows["doc_id"], rows["text"]):
-            at = [place[w] for w in words.segments(x) if w in place] if x else []
+            at = [place[w] for w in known.segments(x) if w in place] if x else []
             total = numbers[at].sum(axis=0).tolist() if at else [0] * 5
             out.append((doc_id, *total, ";".join([groups[i] for i in at])))
         return pd.DataFrame(out, columns=["doc_id", *_NUMBERS, "groups"])
