@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,8 @@ _CUT = re.compile(f"(?<=[^{SPACE}])(?= )")
 _SPACE, _GLUED = re.compile(f"[{SPACE}]"), re.compile(f"[{SPACE}] ")
 #: How sentencepiece writes a space.
 MARK = "▁"
+#: What is written after an id: of A, of a group's last of A, of B, of a group's last of B, of a segment's last of B.
+ENDS = ",|,;\n"
 
 
 def _byte_signs() -> dict[str, int]:
@@ -74,8 +78,10 @@ class Vocabularies:
         self.a_length = np.array([len(x) for x in self.a_bytes])
         self.b_length = np.array([len(x) for x in self.b_bytes])
         self.safe = self._lossless() and not any(_CUT.search(x.decode("utf-8", "replace")) for x in self.a_bytes + self.b_bytes)
-        ends = {s: [f"{i}{s}" for i in range(max(len(self.a_bytes), len(self.b_bytes)))] for s in ",|;\n"}
-        self.written = np.array([x for s in ",|;\n" for x in ends[s]], dtype=object).reshape(4, -1)
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        if most > 1 << 21:
+            raise ValueError("ids take 21 bits at most")
+        self.written = np.array([[f"{i}{s}" for i in range(most)] for s in ENDS], dtype=object)
 
     def _lossless(self) -> bool:
         """Whether tokens of any text without MARK have the text's bytes: nothing is normalised, every byte is a token."""
@@ -108,15 +114,16 @@ class Vocabularies:
         b = np.array(self.b.encode("x" + joined), dtype=np.int64)
         return a, b[np.cumsum(self.b_length[b]) > 2]
 
-    def _align(self, segments: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    def _align(self, segments: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Alignments of segments that may be joined (all but a last one end in a sign other than white space).
 
-        The text of each one's groups, its A tokens, its links, and all links in a row.
+        Each one's tokens in the order of its groups, three bytes a token (the
+        id, and which of ENDS follows, in the lowest bits), its number of links, and all links in a row.
         """
         joined = " " + " ".join(segments)
         a, b = self._ids(joined)
         if not self.safe and not b"".join(self.a_bytes[i] for i in a) == b"".join(self.b_bytes[i] for i in b) == joined.encode():
-            return [""], np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+            return [b""], np.zeros(1, np.int64), np.zeros(0, np.int64)
         to_a, to_b = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
         ends = np.cumsum([1 + len(s if s.isascii() else s.encode()) for s in segments])
         next_b, next_a = np.searchsorted(to_b, to_a), np.searchsorted(to_a, to_b)
@@ -124,25 +131,35 @@ class Vocabularies:
         both = to_a[last_a]
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
         # a group's A ids, then its B ids; what is written after an id is told by what ends there
-        out = np.empty(len(a) + len(b), dtype=object)
-        out[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = self.written[last_a.astype(int), a]
-        stop = 2 * last_b
-        stop[np.searchsorted(to_b, ends)] = 3
-        out[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = self.written[stop, b]
+        out = np.empty(len(a) + len(b), dtype="<u4")
+        out[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a << 3 | last_a
+        stop = 2 + last_b
+        stop[np.searchsorted(to_b, ends)] = 4
+        out[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b << 3 | stop
+        raw = out.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        upto = (3 * (np.flatnonzero(out & 7 == 4) + 1)).tolist()
         # between two neighbouring ends of either tokenizer exactly one pair overlaps
         steps = np.sort(np.concatenate((to_a, to_b[~last_b])), kind="stable")
         links = a[np.searchsorted(to_a, steps)] << 32 | b[np.searchsorted(to_b, steps)]
-        count = lambda x: np.diff(np.searchsorted(x, ends, "right"), prepend=0)
-        return "".join(out.tolist()).split("\n")[:-1], count(to_a), count(steps), links
+        n_links = np.diff(np.searchsorted(steps, ends, "right"), prepend=0)
+        return [raw[i:j] for i, j in zip([0, *upto], upto)], n_links, links
 
-    def align(self, segments: list[str]) -> tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct segments in another order, their groups, A tokens and links, and all links in a row (A id times 2^32 plus B id)."""
+    def align(self, segments: list[str]) -> tuple[list[str], list[bytes], np.ndarray, np.ndarray]:
+        """The distinct segments in another order, their tokens and numbers of links, and all links in a row (A id times 2^32 plus B id)."""
         alone = [s for s in segments if not self.safe or not s or _SPACE.match(s[-1])]
         apart = set(alone)
         plain = [s for s in segments if s not in apart] if alone else segments
         made = ([self._align(plain)] if plain else []) + [self._align([s]) for s in alone]
-        groups, n_a, n_links, links = zip(*made)
-        return plain + alone, [g for x in groups for g in x], *map(np.concatenate, (n_a, n_links, links))
+        tokens, n_links, links = zip(*made)
+        return plain + alone, [x for some in tokens for x in some], np.concatenate(n_links), np.concatenate(links)
+
+    def read(self, tokens: list[bytes]) -> tuple[list[str], np.ndarray]:
+        """The text of each segment's groups; its tokens of A, of B, and its groups."""
+        x = np.frombuffer(b"".join(tokens), dtype=np.uint8).reshape(-1, 3).astype(np.int64) @ np.array([1, 1 << 8, 1 << 16])
+        end, upto = x & 7, np.cumsum([len(t) // 3 for t in tokens])
+        texts = iter("".join(self.written[end, x >> 3].tolist()).split("\n"))
+        count = lambda hit: np.diff(np.append(0, np.cumsum(hit))[upto], prepend=0)
+        return [next(texts) if t else "" for t in tokens], np.stack((count(end <= 1), count(end >= 2), count(end >= 3)), axis=1).reshape(-1, 3)
 
 
 @functools.lru_cache(maxsize=2)
@@ -150,15 +167,19 @@ def vocabularies(a: str, b: str) -> Vocabularies:
     return Vocabularies(a, b)
 
 
+#: Bits of a segment's place in its block's list, and of a block's number in its partition.
+PLACE, BLOCKS = 29, 10
+
+
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, str, str]]:
     """``(block, doc_id, text)`` of a task's rows: a new block once the last one is full. The same whenever the task runs."""
-    block, size = TaskContext.get().partitionId() << 32, 0
+    block, left, size = TaskContext.get().partitionId() << BLOCKS, (1 << BLOCKS) - 1, 0
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
             yield block, doc_id, text
             size += len(text or "")
-            if size >= CHARS:
-                block, size = block + 1, 0
+            if size >= CHARS and left:
+                block, left, size = block + 1, left - 1, 0
 
 
 _NUMBERS = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
@@ -174,7 +195,7 @@ def align_documents(docs: DataFrame, a: str, b: str) -> DataFrame:
     U+2581), have zeros and an empty text, and count for nothing. Repeated rows
     and rows without a doc_id are answered and counted each; other columns are
     ignored; an empty table has no rows. ``docs`` is read twice and must be a
-    stored table, whose partitions are the same both times.
+    stored table, which gives the same rows both times; other tables are an error.
     """
     text = F.col("text").cast("string")
     held = F.when((text != "") & ~F.contains(text, F.lit(MARK)), text)
@@ -187,7 +208,8 @@ def align_documents(docs: DataFrame, a: str, b: str) -> DataFrame:
             items = list(counts.items())
             for i in range(0, len(items), ROWS):
                 w, n = zip(*items[i : i + ROWS])
-                yield pd.DataFrame({"block": at, "w": w, "n": n})
+                # a thousand partitions are a salt, so that a segment of every block is no row without bound
+                yield pd.DataFrame({"w": w, "salt": at >> BLOCKS + 10, "n": n, "code": (at << PLACE) + np.arange(i, i + len(w))})
             counts.clear()
 
         for block, _, x in _blocks(batches):
@@ -199,55 +221,65 @@ def align_documents(docs: DataFrame, a: str, b: str) -> DataFrame:
         yield from flush()
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabularies(a, b)
+        known, row = vocabularies(a, b), TaskContext.get().partitionId() << 40
         for batch in batches:
             if batch.num_rows:
-                words, numbers = batch.column("w").to_pylist(), batch.column("n").to_pylist()
-                held = dict(zip(words, numbers))
-                words, groups, n_a, n_links, links = known.align(words)
-                each = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_links))), pa.int32()), pa.array(links, pa.int64()))
-                n = pa.array([held[w] for w in words], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(words), n, pa.array(groups), pa.array(n_a, pa.int64()), each], ["w", "n", "groups", "n_a", "links"])
-
-    lists = cut(src.mapInPandas(trimmed(listed), "block long, w string, n long"))
-    distinct = lists.groupBy("w").agg(F.sum("n").alias("n"))
-    made = cut(distinct.mapInArrow(aligned, "w string, n long, groups string, n_a long, links array<long>"))
+                words = batch.column("w").to_pylist()
+                order, tokens, n_links, links = known.align(words)
+                if order is not words:
+                    place = {w: i for i, w in enumerate(words)}
+                    batch = batch.take(pa.array([place[w] for w in order]))
+                each = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_links)), pa.int32()), pa.array(links, pa.int64()))
+                ids = pa.array(np.arange(row, row + len(order)))
+                row += len(order)
+                yield pa.RecordBatch.from_arrays([ids, batch.column("n"), pa.array(tokens, pa.binary()), each, batch.column("codes")], ["row", "n", "tokens", "links", "codes"])
+
+    lists = src.mapInPandas(trimmed(listed), "w string, salt int, n long, code long")
+    distinct = lists.repartition("w", "salt").groupBy("w", "salt").agg(F.sum("n").alias("n"), F.collect_list("code").alias("codes")).select("w", "n", "codes")
+    made = cut(distinct.mapInArrow(aligned, "row long, n long, tokens binary, links array<long>, codes array<long>"))
     pairs = cut(made.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count")))
     of_b = F.col("link").bitwiseAND(F.lit((1 << 32) - 1))
     most = pairs.groupBy(of_b.alias("b")).agg(F.max("count").alias("most"))  # a row for each id of B's vocabulary at most
     judged = cut(pairs.join(F.broadcast(most), of_b == F.col("b")).select("link", "count", (F.col("count") == F.col("most")).cast("long").alias("best")))
-    sums = made.select("w", F.explode("links").alias("link")).join(small(judged), "link").groupBy("w").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    packed = F.concat_ws(" ", "groups", "n_a", "n_best", "count_sum", "w").alias("packed")  # one column: rows of short columns are mostly padding
-    back = lists.select("block", "w").join(made.select("w", "groups", "n_a").join(sums, "w"), "w").select("block", packed)
-
-    def compose(rows: pd.DataFrame, segments: pd.DataFrame) -> pd.DataFrame:
-        known = vocabularies(a, b)
-        groups, n_a, n_best, count_sum, words = zip(*[x.split(" ", 4) for x in segments["packed"]]) if len(segments) else [()] * 5
-        n_groups = [g.count("|") for g in groups]
-        n_b = [g.count(",") + 2 * n - int(m) for g, n, m in zip(groups, n_groups, n_a)]  # a comma or one of two ends after each id
-        numbers = np.array([n_a, n_b, n_groups, n_best, count_sum], dtype=np.int64).T
-        place = dict(zip(words, range(len(words))))
+    sums = made.select("row", F.explode("links").alias("link")).join(small(judged), "link").groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    known = made.select("row", "tokens", "codes").join(sums, "row", "left").select(F.explode("codes").alias("code"), "tokens", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"))
+    back = known.select(F.shiftright("code", PLACE).alias("block"), F.col("code").bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int").alias("place"), "tokens", "n_best", "count_sum")
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, some, size, turn = None, [], 0, 0
+
+        def flush() -> Iterator[pd.DataFrame]:
+            nonlocal some, size, turn
+            if some:
+                yield pd.DataFrame({"block": [at], "turn": [turn], "rows": [zstandard.compress(pickle.dumps(some), 1)]})
+            some, size, turn = [], 0, turn + 1
+
+        for block, doc_id, x in _blocks(batches):
+            if block != at or len(some) >= 1_000 or size >= 1 << 20:
+                yield from flush()
+                at = block
+            some.append((doc_id, x))
+            size += len(x or "")
+        yield from flush()
+
+    def compose(parts: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        vocabulary = vocabularies(a, b)
+        order = np.argsort(listed["place"].to_numpy(), kind="stable")
+        groups, counts = vocabulary.read([listed["tokens"].iat[i] for i in order])
+        numbers = np.hstack((counts, listed[["n_best", "count_sum"]].to_numpy(dtype=np.int64)[order]))
+        place: dict[str, int] = {}
         out = []
-        for doc_id, x in zip(rows["doc_id"], rows["text"]):
-            at = [place[w] for w in known.segments(x) if w in place] if x else []
-            total = numbers[at].sum(axis=0).tolist() if at else [0] * 5
-            out.append((doc_id, *total, ";".join([groups[i] for i in at])))
+        for rows in parts.sort_values("turn")["rows"]:
+            for doc_id, x in pickle.loads(zstandard.decompress(rows)):
+                at = [place.setdefault(w, len(place)) for w in vocabulary.segments(x)] if x else []
+                total = numbers[at].sum(axis=0).tolist() if at else [0] * 5
+                out.append((doc_id, *total, ";".join([groups[i] for i in at])))
+        if len(place) != len(groups):
+            raise RuntimeError("the documents were not the same when read again: store them first")
         return pd.DataFrame(out, columns=["doc_id", *_NUMBERS, "groups"])
 
-    def blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_rows, size = [], 0
-        for row in _blocks(batches):
-            held_rows.append(row)
-            size += len(row[2] or "")
-            if len(held_rows) >= 1_000 or size >= 1 << 20:
-                yield pd.DataFrame(held_rows, columns=["block", "doc_id", "text"])
-                held_rows, size = [], 0
-        if held_rows:
-            yield pd.DataFrame(held_rows, columns=["block", "doc_id", "text"])
-
-    rows = src.mapInPandas(trimmed(blocked), "block long, doc_id string, text string")
+    rows = src.mapInPandas(trimmed(packed), "block long, turn int, rows binary")
     whole = ", ".join(f"{x} long" for x in _NUMBERS)
     done = rows.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(compose, f"doc_id string, {whole}, groups string")
     n_links = (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links")
     return done.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", n_links, "n_best", "count_sum", "groups")
-

@@ -89,3 +89,37 @@ def repeats(span: int) -> str:
  f AS (SELECT doc_id, list(i) f FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) m FROM h) WHERE m < doc_id GROUP BY 1),
  k AS (SELECT d.doc_id, w, CASE WHEN f IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_has_any(f, range(j - {span - 1}, j + 1))) END k FROM d LEFT JOIN f USING (doc_id))
 SELECT doc_id, len(w)::BIGINT n_words, (len(w) - len(k))::BIGINT n_removed, sha256(array_to_string(k, ' ')) kept_sha256 FROM k"""
+
+
+def filter_audit() -> str:
+    """Failures as five columns; every order's steps by counting documents that pass all filters before."""
+    words = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), w -> w <> '')"
+    letters = "(VALUES ('A'), ('B'), ('C'), ('D'), ('E'))"
+    return f"""WITH d AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') t FROM documents),
+ l AS (SELECT doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic FROM labels GROUP BY 1),
+ w AS (SELECT *, {words} w, min(doc_id) OVER (PARTITION BY t) least FROM d),
+ f AS (SELECT part, coalesce(good, false) good, coalesce(toxic, false) toxic, concat(CASE WHEN len(w) < 100 THEN 'A' ELSE '' END,
+   CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END,
+   CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END,
+   CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+   CASE WHEN coalesce(doc_id > least, false) THEN 'E' ELSE '' END) fails FROM w LEFT JOIN l USING (doc_id)),
+ g AS (SELECT part, fails, count(*) n, count(*) FILTER (good) good, count(*) FILTER (toxic) toxic FROM f GROUP BY 1, 2),
+ o AS (SELECT concat(a.c, b.c, c.c, d.c, e.c) filter_order FROM {letters} a(c), {letters} b(c), {letters} c(c), {letters} d(c), {letters} e(c)
+   WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+ s AS (SELECT filter_order, step, filter_order[step] own, filter_order[1:step-1] prior FROM o, (SELECT unnest(range(1, 6)) step)),
+ x AS (SELECT part, filter_order, step, own, n, good, toxic, fails, contains(fails, own) hit, len(list_intersect(string_split(fails, ''), string_split(prior, ''))) > 0 AND prior <> '' AND fails <> '' gone FROM g, s),
+ p AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT removed,
+   coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT redundant, coalesce(sum(n) FILTER (fails = own), 0)::BIGINT unique_fails,
+   coalesce(sum(good) FILTER (hit AND NOT gone), 0)::BIGINT good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0)::BIGINT toxic_lost FROM x GROUP BY ALL)
+ SELECT part, filter_order, step::INTEGER step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT shapley FROM p"""
+
+
+def top_products(every: int, top: int, scale: int) -> str:
+    """All products of the queries with all vectors."""
+    return f"""WITH e AS (SELECT vec_id, list_transform(embedding, x -> floor({scale} * x::DOUBLE)) v FROM embeddings
+   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+ n AS (SELECT len(v) n FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), v AS (SELECT e.* FROM e, n WHERE len(v) = n),
+ q AS (SELECT vec_id query_id, min(v) q FROM v WHERE vec_id % {every} = 0 GROUP BY 1),
+ s AS (SELECT query_id, vec_id, list_inner_product(q, v)::BIGINT score FROM q, v WHERE query_id <> vec_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM s)
+ SELECT query_id, rank::INTEGER rank, vec_id, score FROM r WHERE rank <= {top}"""

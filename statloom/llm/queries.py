@@ -120,6 +120,18 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return out.withColumn("groups_sha256", digest).drop("groups")
 
 
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from statloom.llm.impact import top_products
+
+    return top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, top=5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -134,6 +146,8 @@ QUERIES = {
         op9_ngram_jaccard_join,
         op10_substring_dedup,
         op11_cross_tokenizer_alignment,
+        op12_filter_interaction_audit,
+        op13_exact_topk_search,
     )
 }
 
@@ -144,4 +158,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_url_filter": oracles.url_filter(URL_RULES),
     "op9_ngram_jaccard_join": oracles.jaccard(3, 90, 100),
     "op10_substring_dedup": oracles.repeats(50),
+    "op12_filter_interaction_audit": oracles.filter_audit(),
+    "op13_exact_topk_search": oracles.top_products(50, 5, 256),
 }

@@ -101,9 +101,10 @@ def test_whole_texts_where_no_cut_is_proved(spark):
     known = alignment.Vocabularies(A, B)
     known.safe = False
     texts = [t for t in NASTY if t]
-    words, groups, n_a, n_links, links = known.align(texts)
+    words, tokens, n_links, links = known.align(texts)
+    groups, counts = known.read(tokens)
     want = dict(zip(texts, brute(texts)))
-    assert {w: x for w, *x in zip(words, n_a, n_links, groups)} == {t: [x[0], x[3], x[6]] for t, x in want.items()}
+    assert {w: (*c, n, g) for w, c, n, g in zip(words, counts.tolist(), n_links, groups)} == {t: (*x[:4], x[6]) for t, x in want.items()}
     assert len(links) == sum(n_links)
 
 
