@@ -35,7 +35,7 @@ from statloom.llm._memory import trimmed
 from statloom.plans.lineage import cut, small
 
 #: Characters of a block of documents (one longer text is a block by itself).
-CHARS = 24 << 20
+CHARS = 16 << 20
 #: Rows of segments handed on at a time.
 ROWS = 50_000
 #: Signs that count as white space to any of the tokenizers or to this module; no cut comes after one.

@@ -59,28 +59,46 @@ _END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
 class _Node:
-    __slots__ = ("blocks", "content", "gone", "kids", "marked", "score", "tag", "up")
+    __slots__ = ("blocks", "content", "gone", "kids", "marked", "score", "tag", "up", "weak")
 
-    def __init__(self, tag: str, up: _Node | None, gone: bool, content: bool, marked: bool = False) -> None:
-        self.tag, self.up, self.gone, self.content, self.marked, self.kids, self.score, self.blocks = tag, up, gone, content, marked, [], 0.0, False
+    def __init__(self, tag: str, up: _Node | None, gone: bool, content: bool, marked: bool = False, weak: bool = False) -> None:
+        self.tag, self.up, self.gone, self.content, self.marked, self.kids, self.score, self.blocks, self.weak = tag, up, gone, content, marked, [], 0.0, False, weak
 
 
-def _marks(attributes: dict[str, str]) -> tuple[bool, bool, bool]:
-    """Whether attributes hide an element, mark it as furniture, or as content.
+def _marks(attributes: dict[str, str]) -> tuple[bool, bool, bool, bool]:
+    """Whether attributes hide an element, mark it as furniture, as content, and whether the mark is a weak one.
 
     Each name stands alone: one that tells of a state marks no furniture, and a
-    name of content alone saves the element from its other names.
+    name of content alone saves the element from its other names. A mark is weak where a word of
+    furniture only tells of what the name is about, as in social-history.
     """
-    marked = content = saved = False
+    marked = strong = content = saved = False
     gone = "hidden" in attributes or bool(_HIDING.search(attributes.get("style", "")))
     for kind in ("class", "id", "role"):
         for name in attributes.get(kind, "").split():
-            found = [w.lower() for w in _WORD.findall(name)]
+            found = [part for w in _WORD.findall(name) for part in _parted(w.lower())]
             furniture = _is_furniture(found)
-            marked = marked or furniture and not STATE_WORDS.intersection(found)
+            if furniture and not STATE_WORDS.intersection(found):
+                marked, strong = True, strong or _is_of_furniture(found)
             content = content or not CONTENT_WORDS.isdisjoint(found)
             saved = saved or not furniture and not CONTENT_WORDS.isdisjoint(found)
-    return gone, marked and not saved, content
+    return gone, marked and not saved, content, not strong
+
+
+def _parted(word: str) -> list[str]:
+    """The word, or the two it is put together of if these are furniture and a part of it: commentlist, sharebar."""
+    for i in range(3, len(word) - 2):
+        if word[i:] in PART_WORDS and (word[:i] in ALWAYS_WORDS or word[:i] in HEAD_WORDS) and word not in ALWAYS_WORDS and word not in HEAD_WORDS:
+            return [word[:i], word[i:]]
+    return [word]
+
+
+def _is_of_furniture(name: list[str]) -> bool:
+    """Whether the thing that the name is of is furniture: social-share does, related-work does not."""
+    rest = list(name)
+    while len(rest) > 1 and rest[-1] in PART_WORDS:
+        rest.pop()
+    return bool(rest) and (rest[-1] in ALWAYS_WORDS or rest[-1] in HEAD_WORDS)
 
 
 def _is_furniture(name: list[str]) -> bool:
@@ -190,9 +208,9 @@ def parse(html: str) -> _Node:
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and here.tag == tag:
             depth[tag] -= 1
             here = here.up
-        gone, marked, content = _marks(attributes) if attributes else (False, False, False)
+        gone, marked, content, weak = _marks(attributes) if attributes else (False, False, False, False)
         if tag == "form":
-            marked = True
+            marked, weak = True, False
         elif tag == "header" and (depth.get("article") or depth.get("main")):
             pass  # the header of an article belongs to it
         elif tag in ("html", "body", "main", "article"):
@@ -201,7 +219,7 @@ def parse(html: str) -> _Node:
             gone = gone or tag in FURNITURE
         if tag == "p" or tag in _HEADINGS:
             marked = marked and not content and bool(attributes.get("class") or attributes.get("role"))
-        node = _Node(tag, here, gone, content or tag in ("article", "main"), marked)
+        node = _Node(tag, here, gone, content or tag in ("article", "main"), marked, weak)
         here.kids.append(node)
         here.blocks = here.blocks or tag not in INLINE and tag not in VOID
         if tag in VOID or tag in RAW or value == "/" and tag not in CLOSES_P and tag not in INLINE:
@@ -211,12 +229,34 @@ def parse(html: str) -> _Node:
     return root
 
 
+#: Characters, and the largest share of them in links, of what counts as prose under a weak mark.
+PROSE, LINKED = 100, 0.2
+
+
+def _is_prose(top: _Node) -> bool:
+    """Whether an element holds running text rather than links."""
+    total = linked = 0
+    stack: list = [(top, False)]
+    while stack:
+        node, link = stack.pop()
+        for kid in node.kids:
+            if isinstance(kid, str):
+                total += len(kid.strip())
+                linked += len(kid.strip()) if link else 0
+            elif not kid.gone and not (kid.marked and not kid.weak):
+                stack.append((kid, link or kid.tag == "a"))
+    return total >= PROSE and linked <= LINKED * total
+
+
 def _unmark(root: _Node) -> None:
-    """Takes the marks off the elements around each main and around the longest article."""
+    """Takes the marks off the elements around each main and around the longest article, and weak ones off prose inside these."""
     length: dict[_Node, int] = {}
-    stack: list = [(root, None)]
+    stack: list = [(root, None, False)]
     while stack:
-        node, article = stack.pop()
+        node, article, inside = stack.pop()
+        if node.marked and node.weak and inside and _is_prose(node):
+            node.marked = False
+        inside = inside or node.tag in ("article", "main")
         if node.tag == "main":
             _clear(node)
         if node.tag == "article":
@@ -226,7 +266,7 @@ def _unmark(root: _Node) -> None:
                 if article is not None:
                     length[article] = length.get(article, 0) + len(kid.strip())
             elif not kid.gone:
-                stack.append((kid, article))
+                stack.append((kid, article, inside))
     if length:
         _clear(max(length, key=length.get))
 
@@ -386,7 +426,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space inside a block becomes one
     space, blocks are trimmed and joined by one space in page order. Null and
-    empty pages, and such without text, give the empty string. Tags that are
+    empty pages, and such without text, give the empty string. Of several equal
+    articles outside a main the first is the page's. Tags that are
     cut off or never closed end with the page. Repeated rows stay; other
     columns are ignored.
     """

@@ -9,8 +9,9 @@ threshold. It stops once that proves that all but a few vectors of the block
 stay below the ``top``-th best exact score seen; those few, which may be all
 where nothing can be proved, are scored exactly.
 
-Every query meets every block, so a block's size sets how often queries are
-copied; blocks are dealt by row number, whatever ids or values repeat.
+Every group of queries meets every block, so the sizes of both set how often
+rows are copied: about the product of both tables over a block's size. Both are dealt by row
+number, whatever ids or values repeat.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statloom.llm._memory import trimmed
+from statloom.plans.lineage import cut
 
 #: Levels of quantised impact a sign.
 LEVELS = 32
-#: Least and most vectors of a block on average; between them a 64th of all.
-LEAST, MOST = 2_048, 65_536
+#: Least and most vectors of a block on average; between them a 16th of all. The same for the queries that meet it at a time.
+LEAST, MOST = 8_192, 65_536
+LEAST_ASKED = 512
 #: Bands of impact: each ends at half the threshold of the one before, the last at nothing.
-BANDS = 8
+BANDS = 6
 #: Possible members that are rescored instead of reading on.
 FEW = 64
 #: Products beyond this are not exact as doubles; such blocks and queries are scored in whole numbers of any size.
@@ -55,18 +58,17 @@ class ImpactIndex:
         if not self.plain:
             return
         self.step = max(1, -(-self.most // LEVELS))
-        self.lists: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.lists: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         self.upto: dict[int, np.ndarray] = {}
         for sign in (1, -1):
             level = np.maximum(-((-sign * v) // self.step), 0)  # rounded up, so that a level bounds its vectors
-            lists, upto = [], np.zeros((v.shape[1], LEVELS + 2), dtype=np.int64)
+            held, size, upto = [], [], np.zeros((v.shape[1], LEVELS + 2), dtype=np.int64)
             for d in range(v.shape[1]):
                 order = np.argsort(-level[:, d], kind="stable")
-                held = order[: np.count_nonzero(level[:, d])].astype(np.int32)
-                lists.append((held, (level[held, d] * self.step).astype(np.float64)))
-                sizes = np.bincount(level[held, d], minlength=LEVELS + 2)
-                upto[d] = sizes[::-1].cumsum()[::-1]  # postings of a level or more
-            self.lists[sign], self.upto[sign] = lists, upto
+                held.append(order[: np.count_nonzero(level[:, d])].astype(np.int32))
+                size.append((level[held[-1], d] * self.step).astype(np.float64))
+                upto[d] = np.bincount(level[held[-1], d], minlength=LEVELS + 2)[::-1].cumsum()[::-1]  # postings of a level or more
+            self.lists[sign], self.upto[sign] = (held, size), upto
 
     def _scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         return self.v[rows] @ q
@@ -76,37 +78,38 @@ class ImpactIndex:
         everyone = np.flatnonzero(others)
         if not self.plain or q.dtype == object or len(everyone) <= top or float(self.most) * float(np.abs(q).max()) * len(q) >= EXACT:
             return everyone, 0.0
-        weight = np.abs(q).astype(np.float64)
-        dims = np.flatnonzero(weight)
-        signs = np.sign(q)
-        reach = np.array([weight[d] * self.lists[signs[d]][d][1][0] if len(self.lists[signs[d]][d][0]) else 0.0 for d in dims])
-        dims, reach = dims[reach > 0], reach[reach > 0]
-        done = np.zeros(len(dims), dtype=np.int64)
+        weight, signs = np.abs(q), np.sign(q)
+        dims = [d for d in np.flatnonzero(weight).tolist() if self.upto[signs[d]][d, 1]]
+        if not dims:  # nothing gains anything, so nothing is above the others
+            return everyone, 0.0
+        weight = weight[dims].astype(np.float64)
+        held, size = ([self.lists[signs[d]][i][d] for d in dims] for i in (0, 1))
+        upto = np.array([self.upto[signs[d]][d] for d in dims]).reshape(len(dims), -1)
+        reach = weight * np.array([x[0] for x in size])
+        done, total = np.zeros(len(dims), dtype=np.int64), max(int(upto[:, 1].sum()), 1)
         gained, seen = np.zeros(len(self.ids)), np.zeros(len(self.ids), dtype=np.int64)
-        total = sum(len(self.lists[signs[d]][d][0]) for d in dims)
-        slack = 1e-9 * reach.sum() + 1e-6
+        slack, few, least = 1e-9 * reach.sum() + 1e-6, min(2 * top, len(everyone)), -np.inf
         for band in range(1, BANDS + 1):
             limit = 0.0 if band == BANDS else reach.max(initial=0.0) / 2**band
-            level = np.minimum(np.floor(limit / (weight[dims] * self.step)).astype(np.int64) + 1, LEVELS + 1)
-            rows, gains = [], []
-            for i, d in enumerate(dims):
-                to = self.upto[signs[d]][d, level[i]]
-                if to > done[i]:
-                    held, size = self.lists[signs[d]][d]
-                    rows.append(held[done[i] : to])
-                    gains.append(weight[d] * size[done[i] : to])
-                    done[i] = to
-            if rows:
-                rows = np.concatenate(rows)
-                gained += np.bincount(rows, weights=np.concatenate(gains), minlength=len(gained))
+            level = np.minimum(np.floor(limit / (weight * self.step)).astype(np.int64) + 1, LEVELS + 1)
+            to = upto[np.arange(len(dims)), level]
+            some = np.flatnonzero(to > done).tolist()
+            if some:
+                rows = np.concatenate([held[i][done[i] : to[i]] for i in some])
+                gains = np.concatenate([size[i][done[i] : to[i]] for i in some]) * np.repeat(weight[some], (to - done)[some])
+                gained += np.bincount(rows, weights=gains, minlength=len(gained))
                 seen += np.bincount(rows, minlength=len(seen))
-            bound = gained - limit * seen + np.minimum(limit, reach).sum()  # an unread posting gains ``limit`` at most
+            done = np.maximum(done, to)
+            unread = np.minimum(limit, reach).sum()  # an unread posting gains ``limit`` at most, so a vector at least has this bound
+            if band > 1 and band < BANDS and unread > least:
+                continue
+            bound = gained - limit * seen + unread
             bound[~others] = -np.inf
-            best = np.argpartition(-bound, min(2 * top, len(everyone)) - 1)[: min(2 * top, len(everyone))]
-            least = np.partition(self._scores(best, q), -top)[-top] if len(best) >= top else -np.inf
+            best = np.argpartition(-bound, few - 1)[:few]
+            least = max(least, np.partition(self._scores(best, q), -top)[-top])
             left = np.flatnonzero(bound >= least - slack)
             if len(left) <= FEW or band == BANDS:
-                return left, float(done.sum() / max(total, 1))
+                return left, float(done.sum() / total)
         raise AssertionError("the last band returns")
 
     def top(self, q_id: int, q: np.ndarray, top: int) -> tuple[np.ndarray, list[int]]:
@@ -145,23 +148,28 @@ def top_products(vectors: DataFrame, is_query: Column, top: int = 5, scale: int
         return x.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
     dims, n = lengths
     x = x.where(F.size("v") == dims)
-    blocks = -(-n // max(LEAST, min(MOST, n // 64)))
-    stored = x.select(F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "v")
-    asked = x.where("asks").groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "v")
-    rows = stored.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    asked = cut(x.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")))
+    blocks = -(-n // max(LEAST, min(MOST, n // 16)))
+    n_asked = asked.count()
+    groups = max(1, -(-n_asked // max(LEAST_ASKED, min(MOST, n_asked // 16))))
+    dealt = lambda k: F.pmod(F.monotonically_increasing_id(), F.lit(k))
+    spread = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    stored = x.select(dealt(blocks).alias("block"), F.lit(0).alias("kind"), "vec_id", "v").withColumn("grp", spread(groups))
+    asked = asked.select(dealt(groups).alias("grp"), F.lit(1).alias("kind"), "vec_id", "v").withColumn("block", spread(blocks))
+    rows = stored.unionByName(asked).withColumn("tile", F.col("block") * groups + F.col("grp")).drop("block", "grp")
+    rows = rows.repartitionByRange(blocks * groups, "tile").sortWithinPartitions("tile", "kind")
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, ids, held, index = None, [], [], None
         for batch in batches:
-            keys = batch[["block", "kind"]].to_numpy()
+            keys = batch[["tile", "kind"]].to_numpy()
             edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
             for first, last in zip(edges, edges[1:]):
                 if first == last:
                     continue
-                block, kind = keys[first]
-                if block != at:
-                    at, ids, held, index = block, [], [], None
+                tile, kind = keys[first]
+                if tile != at:
+                    at, ids, held, index = tile, [], [], None
                 some = batch.iloc[first:last]
                 if kind == 0:
                     ids.append(some["vec_id"].to_numpy())

@@ -16,9 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What ends a sentence. Dots inside numbers do not.
-BREAK = r"[.!?;]+[\x20\x09-\x0D]+|[\x20\x09-\x0D]*[\n\r]+[\x20\x09-\x0D]*"
-#: What ends a sentence that may be wrapped, and a line.
+#: What ends a sentence (dots inside numbers do not), and a line of one that is wrapped.
 STOP, LINE = r"[.!?;]+[\x20\x09-\x0D]+", r"\r\n|[\n\r]"
 #: A sentence with one of these that is not known is reported.
 TELLS = r"\b(licen[cs]e|licensed|sublicen[cs]e|spdx)\b"

@@ -47,7 +47,13 @@ class Router:
         return np.argsort(-(x @ self.weights + self.bias), axis=1, kind="stable")
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, their largest component between a half and one: exact, and squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -137,7 +143,8 @@ def usable(vec: Column) -> Column:
 
 
 def _cosine(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Cosines of paired rows, summed one component after the other: equal rows, equal results."""
+    """Cosines of paired rows, summed one component after the other: equal rows, equal results. Powers of two cancel."""
+    q, c = _scaled(q), _scaled(c)
     dot, qq, cc = np.zeros(len(c)), np.zeros(len(c)), np.zeros(len(c))
     for j in range(c.shape[1]):
         dot += q[:, j] * c[:, j]
@@ -152,7 +159,8 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, recall: float = 0
     Vectors that are null, empty, zero or hold a null or non-finite component,
     rows without an id, and vectors of another length than the most frequent (of
     equals the smallest) take no part. Ties go to the smaller vec_id. Rows that repeat an id
-    are candidates each; such a query is asked once. An empty table, and a
+    are candidates each; such a query is asked once, with the least of its vectors. Finite
+    vectors of any size are compared by their directions. An empty table, and a
     table of one vector, give no rows. Other columns are ignored.
     """
     x = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("asks"))
@@ -183,7 +191,8 @@ def search(vectors: DataFrame, is_query: Column, top: int = 5, recall: float = 0
     spread = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
     blocks = blocks.select("part", "blocks")
     stored = indexed.join(F.broadcast(blocks), "part").select("part", spread.alias("block"), F.lit(0).alias("kind"), "vec_id", "v")
-    asked = indexed.where("asks").dropDuplicates(["vec_id"]).select("vec_id", "v", F.explode(probes).alias("part"))
+    once = indexed.where("asks").groupBy("vec_id").agg(F.min(F.struct("v", "likely")).alias("least")).select("vec_id", "least.*")
+    asked = once.select("vec_id", "v", F.explode(probes).alias("part"))
     asked = asked.join(F.broadcast(blocks), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = stored.unionByName(asked.select("part", "block", F.lit(1).alias("kind"), "vec_id", "v"))
     rows = rows.repartition("part", "block").sortWithinPartitions("part", "block", "kind", "vec_id")

@@ -55,9 +55,17 @@ SELECT doc_id, domain, lang, source, tokens::BIGINT tokens, (whole + (rest > 0 A
 
 
 def licence_scan() -> str:
+    """Sentences split and unwrapped as the operator's; doubled bars between lines, so that each of two neighbours has its own."""
     known, rules = licences.SENTENCES, licences.RULES
-    sentence = f"list_transform(list_filter(string_split_regex(lower(coalesce(text, '')), {_text(licences.BREAK)}), lambda s: regexp_matches(s, {_text(licences.hints(known))})), lambda s: trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))"
-    code = f"coalesce({_list(list(known.values()))}[list_position({_list(list(known))}, s)], CASE WHEN regexp_matches(s, {_text(licences.TELLS)}) THEN '?' ELSE '' END)"
+    sentence = f"list_filter(string_split_regex(lower(coalesce(text, '')), {_text(licences.STOP)}), lambda s: regexp_matches(s, {_text(licences.hints(known))}))"
+    plain = f"trim(regexp_replace(regexp_replace(regexp_replace(s, {_text(licences.LINE)}, chr(10), 'g'), '[^a-z0-9\\n]+', ' ', 'g'), ' ?\\n ?', '||', 'g'))"
+    wrapped, texts = "s", {}
+    for text, name in known.items():
+        texts.setdefault(name, []).append(text.replace(" ", r"(?: |\|\|)"))
+    for name, some in texts.items():
+        wrapped = f"regexp_replace({wrapped}, {_text(rf'(^|[|])(?:{chr(124).join(some)})([|]|$)')}, '\\1#{name}\\2', 'g')"
+    sentence = f"flatten(list_transform(list_transform({sentence}, lambda s: {plain}), lambda s: string_split(CASE WHEN contains(s, '||') THEN {wrapped} ELSE s END, '||')))"
+    code = f"CASE WHEN starts_with(s, '#') THEN s[2] ELSE coalesce({_list(list(known.values()))}[list_position({_list(list(known))}, s)], CASE WHEN regexp_matches(s, {_text(licences.TELLS)}) THEN '?' ELSE '' END) END"
     out = f"WITH a AS (SELECT doc_id, array_to_string(list_transform({sentence}, lambda s: {code}), '') c FROM documents), r0 AS (SELECT doc_id, c, replace(c, '?', '') ids, replace(c, '?', '') rest, []::VARCHAR[] names FROM a)"
     for i, (name, pattern) in enumerate(rules):
         out += f", r{i + 1} AS (SELECT doc_id, c, ids, regexp_replace(rest, {_text(pattern)}, '-', 'g') rest, CASE WHEN regexp_matches(rest, {_text(pattern)}) AND NOT list_contains(names, {_text(name)}) THEN list_append(names, {_text(name)}) ELSE names END names FROM r{i})"
@@ -93,7 +101,7 @@ SELECT doc_id, len(w)::BIGINT n_words, (len(w) - len(k))::BIGINT n_removed, sha2
 
 def filter_audit() -> str:
     """Failures as five columns; every order's steps by counting documents that pass all filters before."""
-    words = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), w -> w <> '')"
+    words = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
     letters = "(VALUES ('A'), ('B'), ('C'), ('D'), ('E'))"
     return f"""WITH d AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') t FROM documents),
  l AS (SELECT doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic FROM labels GROUP BY 1),
@@ -116,8 +124,8 @@ def filter_audit() -> str:
 
 def top_products(every: int, top: int, scale: int) -> str:
     """All products of the queries with all vectors."""
-    return f"""WITH e AS (SELECT vec_id, list_transform(embedding, x -> floor({scale} * x::DOUBLE)) v FROM embeddings
-   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    return f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) v FROM embeddings
+   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
  n AS (SELECT len(v) n FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), v AS (SELECT e.* FROM e, n WHERE len(v) = n),
  q AS (SELECT vec_id query_id, min(v) q FROM v WHERE vec_id % {every} = 0 GROUP BY 1),
  s AS (SELECT query_id, vec_id, list_inner_product(q, v)::BIGINT score FROM q, v WHERE query_id <> vec_id),

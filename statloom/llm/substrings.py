@@ -1,15 +1,17 @@
-"""Substring deduplication behind the anchors that two documents share.
+"""Substring deduplication behind a count-min sketch.
 
 A window is ``span`` consecutive words of one document. Its anchor is the least
-hash among the short word runs inside it. Equal windows have equal anchors, so
-only windows under an anchor of two documents can be repeated: anchors are
-grouped exactly, those of two documents are marked in bit planes, and a second
-pass groups exactly the windows whose anchor is marked. Planes also mark some
-other anchors, which costs rows and never a window.
-
-There are about ``2 / (span - GRAM + 2)`` anchors a word, so what is grouped
-first is a small share of the words at every size; the planes grow only with
-the anchors that documents do share.
+hash among the short word runs inside it: equal windows have equal anchors, so
+the number of documents with an anchor is at least that with any of its windows, and
+there are only some ``2 / (span - GRAM + 2)`` anchors a word to count.
+
+Every partition counts its documents' anchors in a count-min sketch whose
+counters stay at two; the sketches are merged by addition and estimate, never too
+low, in how many documents a window is. Windows estimated at one are
+done with. Of the others, first the anchors are grouped exactly, those of two documents
+are marked in bit planes, and then a second pass groups exactly the windows
+under a marked anchor. A sketch too small for a corpus, and planes, let more through,
+which costs rows and never a window.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from statloom.plans.lineage import cut, small, sweep
 
 #: Words of the runs that anchors are chosen from.
 GRAM = 8
-#: Bit planes of shared anchors, and the least and most cells of each.
-DEPTH, LEAST_CELLS, MOST_CELLS = 2, 1 << 18, 1 << 27
+#: Rows of the sketch, and bit planes of shared anchors; the least and most cells of each (a sketch has two bits a cell).
+DEPTH, LEAST_CELLS, MOST_CELLS = 2, 1 << 18, 1 << 26
 
 
 def _anchors(h: np.ndarray, span: int) -> np.ndarray:
@@ -49,6 +51,29 @@ def _cells_for(n_anchors: int) -> int:
     return int(min(MOST_CELLS, max(LEAST_CELLS, 1 << max(1, 16 * n_anchors - 1).bit_length())))
 
 
+def _count(own: np.ndarray, anchors: np.ndarray) -> None:
+    """Adds anchors, each once a document: ``own[row]`` has a plane of counters of one or more and one of two or more."""
+    for row in range(DEPTH):
+        cells, n = np.unique(_cell(anchors, row, 8 * own.shape[2]), return_counts=True)
+        _sketch.put(own[row, 1], cells[(n > 1) | _sketch.has(own[row, 0], cells)])
+        _sketch.put(own[row, 0], cells)
+
+
+def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two sketches, counters staying at two."""
+    a[:, 1] |= b[:, 1] | (a[:, 0] & b[:, 0])
+    a[:, 0] |= b[:, 0]
+    return a
+
+
+def _marked(planes: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Which anchors have their bit in every plane."""
+    out = np.ones(len(anchors), dtype=bool)
+    for row in range(DEPTH):
+        out &= _sketch.has(planes[row], _cell(anchors, row, 8 * planes.shape[1]))
+    return out
+
+
 def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
     """``docs`` with ``n_words, n_removed, kept`` for every row.
 
@@ -82,13 +107,24 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
     copies = cut(long.join(firsts, same).where("doc_id > first").select("doc_id", "tag", "n_words").distinct())
     sole = known.join(small(copies.select("doc_id", "tag")), ["doc_id", "tag"], "left_anti")
 
+    words_left = seqs.where(F.col("n_words") >= span).agg(F.sum("n_words")).first()[0] or 0
+    width = _cells_for(2 * words_left // (span - min(GRAM, span) + 2)) // 8
+    texts = sole.select("doc_id", "text")
+
+    def count(own: np.ndarray, batch: pd.DataFrame) -> None:
+        _count(own, np.concatenate([distinct(_anchors(hashes(text), span)) for text in batch["text"]] or [np.zeros(0, dtype=np.uint64)]))
+
+    sketch = spark.sparkContext.broadcast(_sketch.merged(texts, (DEPTH, 2, width), "uint8", count, _add, lambda counts: counts[:, 1]))
+
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        twice = _sketch.held(sketch, "uint8").reshape(DEPTH, -1)
         for batch in batches:
             found = [distinct(_anchors(hashes(text), span)) for text in batch["text"]]
+            found = [a[_marked(twice, a)] for a in found]
             ids = np.repeat(batch["doc_id"].to_numpy(dtype=np.int64), [len(a) for a in found])
             yield pd.DataFrame({"a": np.concatenate([*found, np.zeros(0, dtype=np.uint64)]).view(np.int64), "doc_id": ids})
 
-    met = sole.select("doc_id", "text").mapInPandas(trimmed(anchors), "a long, doc_id long")
+    met = texts.mapInPandas(trimmed(anchors), "a long, doc_id long")
     shared = cut(met.groupBy("a").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("a"))
     sweep(spark)
     cells = _cells_for(shared.count())
@@ -109,10 +145,7 @@ def remove_repeats(docs: DataFrame, span: int = 50) -> DataFrame:
                 a = _anchors(h, span)
                 if not len(a):
                     continue
-                ok = np.ones(len(a), dtype=bool)
-                for row in range(DEPTH):
-                    ok &= _sketch.has(bits[row], _cell(a, row, cells))
-                pos = np.flatnonzero(ok)
+                pos = np.flatnonzero(_marked(bits, a))
                 if not len(pos):
                     continue
                 w1 = windows(h, span, 41)[pos]

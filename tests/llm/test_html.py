@@ -109,3 +109,24 @@ def test_rows_are_kept(spark):
     got = sorted((r.page_id or -1, r.text) for r in extract(df).collect())
     assert got == [(-1, TEXT), (1, ""), (1, "")]
     assert extract(df.limit(0)).count() == 0
+
+
+LONG = "The town kept its records with care, year after year, and much of what we know of it comes from these. Nobody counted them."
+
+
+@pytest.mark.parametrize("name", ["commentlist", "comment-list", "commentbox", "comments", "reader-comments", "sharebar"])
+def test_glued_names_of_furniture_go(name):
+    page = f"<article><p>{LONG}</p><p>{LONG}</p><ol class='{name}'><li>What a lovely text, thank you all, says a reader of it, who then writes on and on about the town.</li></ol></article>"
+    assert main_text(page) == f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("open_,close", [("<p class='social-history'>", "</p>"), ("<div class='related-work'><p>", "</p></div>"), ("<div class='footer-note'><p>", "</p></div>")])
+def test_names_that_are_only_about_furniture_stay_in_an_article(open_, close):
+    other = "Prices of paper rose in those years, for reasons that were told in two chapters before this one, and fell again after the war."
+    assert main_text(f"<article><p>{LONG}</p>{open_}{other}{close}<p>{LONG}</p></article>") == f"{LONG} {other} {LONG}"
+    links = "<a href='/a'>One of our other fine articles about it</a> <a href='/b'>Another one that you may like as well as this</a> <a href='/c'>And a third one</a>"
+    assert main_text(f"<article><p>{LONG}</p><div class='related-stories'>{links}</div><p>{LONG}</p></article>") == f"{LONG} {LONG}"
+
+
+def test_of_equal_articles_the_first_is_given():
+    assert main_text(f"<body><article><p>{LONG}</p></article><article><p>{LONG.upper()}</p></article></body>") == LONG

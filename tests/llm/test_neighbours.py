@@ -54,3 +54,18 @@ def test_awkward_vectors(spark):
     got = [(r.query_id, r["rank"], r.vec_id) for r in neighbours.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 50), (0, 4, 9), (50, 1, 0), (50, 2, 1), (50, 3, 2), (50, 4, 9)]
     assert neighbours.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_finite_vectors_of_any_size(spark):
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(120, 4))
+    want = neighbours.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    want = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in want}
+    sizes = 2.0 ** rnd.integers(-1000, 1000, 120)  # powers of two change no bit of a cosine
+    for scale in (np.full(120, 2.0**-1000), np.full(120, 2.0**1000), sizes):
+        df = spark.createDataFrame([(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, scale))], "vec_id long, embedding array<double>")
+        got = neighbours.search(df, F.col("vec_id") % 50 == 0).collect()
+        assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == want
+    tiny = spark.createDataFrame([(0, [5e-324, 0.0]), (1, [1e308, 1e308]), (2, [0.0, 1e-300])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, round(r.score, 9)) for r in neighbours.search(tiny, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(1, round(0.5**0.5, 9)), (2, 0.0)]

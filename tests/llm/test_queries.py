@@ -129,3 +129,16 @@ def test_licences_of_awkward_documents(spark):
     one = licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (one.sentence_ids, one.licences, one.n_unknown) == ("NOPX", "MIT,CC-BY-NC-4.0", 1)
     assert licences.scan(nasty.none(spark)).count() == 0
+
+
+def test_wrapped_sentences_against_sql(spark, tmp_path):
+    """The SQL of the licence scan unwraps as the operator does: sentences on one line, on several, beside each other and cut by blank lines."""
+    known = list(licences.SENTENCES)
+    wrap = lambda text, width: "\n".join(textwrap.wrap(text, width))
+    texts = [f"{wrap(a, w)}.\n{wrap(b, 2 * w)}. Some other text about a licence\nof {c}" for a, b, c, w in zip(known, known[1:], known[2:], [20, 33, 47, 61] * 40)]
+    texts += [" \r\n ".join([known[0], *known[3].split(), known[1]]), "\n\n".join(known[:4]), "\n".join(" ".join(known[:6]).split()), None, "", known[0].upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/w")
+    next((tmp_path / "w").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    same(QUERIES["op7_licence_scan"](spark, str(tmp_path)), ORACLE_SQL["op7_licence_scan"], str(tmp_path))
+    assert any("," in r.licences for r in licences.scan(docs).collect())
