@@ -1,8 +1,8 @@
 """Clustering over ``id, vec`` tables.
 
 Methods with a step over all rows take one aggregation a step, and only centres
-reach the driver. Methods that compare all pairs by nature (medoids,
-agglomeration, mean shift) work on a bounded, documented number of
+reach the driver. Agglomeration joins the table of all distances. Medoids, mean
+shift and linkages that depend on the order of merges work on a bounded, documented number of
 representatives: the rows themselves where they are few enough, else the
 centres of small k-means cells, weighted by their rows; every row then gets the
 cluster of its representative. Density methods work on exact neighbour joins.
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from statloom.functions.numeric import digamma, ln_gamma
 from statloom.models.linear import array_sum
-from statloom.operators.neighbors import _distances, knn_join
+from statloom.operators.hierarchy import REDUCIBLE, agglomerate, condense, forest, ordering, tree_cut, valleys
+from statloom.operators.neighbors import _compared, _distances, knn_join
+from statloom.operators.stats import prefix_sums
 from statloom.plans.graph import connected_components
 from statloom.plans.lineage import cut
 
@@ -392,12 +394,19 @@ def _cut_tree(n: int, tree: list[tuple[int, int, float]], k: int) -> np.ndarray:
     return np.array([order[r] for r in roots])
 
 
-def hierarchical(df: DataFrame, k: int | None = None, linkage: str = "average", most: int = MOST) -> DataFrame:
-    """``id, cluster`` from agglomeration by single, complete, average, weighted, centroid, median or ward linkage.
+def hierarchical(df: DataFrame, k: int | None = None, linkage: str = "average", most: int | None = None) -> DataFrame:
+    """``id, cluster`` from agglomeration by single, complete, average, weighted, ward, centroid or median linkage.
 
-    Without ``k`` the tree is cut before its largest rise in height.
+    Without ``k`` the tree is cut before its largest rise in height. All rows are
+    merged, by rounds of joins over the table of their distances, which has the
+    square of their number; ``most`` asks for that many representatives
+    instead. Centroid and median linkage, whose trees depend on the order of
+    merges, always work on representatives (``MOST`` without ``most``).
     """
-    x, w, at = representatives(df, most)
+    if most is None and linkage in REDUCIBLE:
+        rows = cut(df.select(F.col("id").cast("long").alias("id"), "vec"))
+        return tree_cut(rows, agglomerate(all_distances(rows), linkage), k)
+    x, w, at = representatives(df, most or MOST)
     tree = merges(x, w, linkage)
     if k is None:
         heights = np.array([h for *_, h in tree])
@@ -405,6 +414,13 @@ def hierarchical(df: DataFrame, k: int | None = None, linkage: str = "average",
     return _labelled(df, at, _cut_tree(len(x), tree, k))
 
 
+def all_distances(rows: DataFrame) -> DataFrame:
+    """``x, y, d`` (``x`` smaller): every pair of ``rows(id, vec)`` once, in blocks."""
+    one = rows.select(F.lit(0).alias("cell"), "id", "vec")
+    pairs = _compared(one, one, lambda d: d >= 0)
+    return pairs.where("q < v").select(F.col("q").alias("x"), F.col("v").alias("y"), F.col("distance").alias("d"))
+
+
 def divisive(df: DataFrame, k: int, score: str = "global", seed: int = 0) -> DataFrame:
     """``id, cluster`` from halving: the cluster of largest spread ("local"), or the half that lowers the total most ("global")."""
     now = cut(df.select("id", "vec", F.lit(0).cast("long").alias("cluster")))
@@ -481,107 +497,43 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
 def hdbscan(df: DataFrame, least: int = 5, smallest: int = 5, k: int = 15) -> DataFrame:
     """``id, cluster`` (-1: noise) by the most stable branches of the hierarchy of mutual reachability.
 
-    The hierarchy is the minimum spanning forest of the graph of ``k`` nearest
-    neighbours; its edges (one fewer than rows) are condensed on the driver in
-    order of weight, where only branch sizes are kept. Components the graph
-    does not join are separate branches.
+    A cluster is named by its least id. The hierarchy is the minimum spanning forest of the graph of ``k`` nearest
+    neighbours, condensed as tables (``hierarchy.condense``). Components the
+    graph does not join are separate trees; rows without a neighbour are noise.
     """
     _, edges = _core_graph(df, least, max(k, least))
-    tree = spanning_forest(edges).orderBy("w", "a", "b")
-    up: dict[int, int] = {}
-    size: dict[int, int] = {}
-    kids: dict[int, tuple[int, int]] = {}
-    height: dict[int, float] = {}
-    fresh = -1
-
-    def root(v: int) -> int:
-        while up.setdefault(v, v) != v:
-            up[v] = up[up[v]]
-            v = up[v]
-        return v
-
-    for r in tree.toLocalIterator():
-        a, b = root(r.a), root(r.b)
-        if a == b:
-            continue
-        up[a] = up[b] = up[fresh] = fresh
-        size[fresh] = size.get(a, 1) + size.get(b, 1)
-        kids[fresh], height[fresh] = (a, b), r.w
-        fresh -= 1
-    label: dict[int, int] = {}
-    tops = {root(v) for v in list(up)}
-
-    def points(v: int) -> list[int]:
-        out, stack = [], [v]
-        while stack:
-            x = stack.pop()
-            if x in kids:
-                stack.extend(kids[x])
-            else:
-                out.append(x)
-        return out
-
-    def condensed(top: int) -> list[tuple[int, float, list]]:
-        """Stability of a branch and the branches below it, from the top."""
-        stack, post = [(top, 0.0, None)], []
-        nodes: dict[int, list] = {}
-        while stack:
-            v, birth, parent = stack.pop()
-            entry = [v, 0.0, [], parent]
-            nodes[v] = entry
-            if parent is not None:
-                nodes[parent][2].append(v)
-            x = v
-            while x in kids:
-                lam = 1 / max(height[x], 1e-12)
-                a, b = kids[x]
-                big = [y for y in (a, b) if size.get(y, 1) >= smallest]
-                if len(big) == 2:
-                    entry[1] += size[x] * (lam - birth)
-                    stack += [(a, lam, v), (b, lam, v)]
-                    break
-                gone = sum(size.get(y, 1) for y in (a, b) if y not in big)
-                entry[1] += gone * (lam - birth)
-                if not big:
-                    break
-                x = big[0]
-            post.append(v)
-        best: dict[int, tuple[float, list[int]]] = {}
-        for v in reversed(post):
-            _, own, below, parent = nodes[v]
-            under = sum(best[b][0] for b in below)
-            best[v] = (under, [p for b in below for p in best[b][1]]) if below and (under > own or parent is None) else (own, [v])
-        return best[top][1]
-
-    n = 0
-    for top in sorted(tops, reverse=True):
-        if size.get(top, 1) < smallest:
-            continue
-        for v in condensed(top):
-            for p in points(v):
-                label[p] = n
-            n += 1
-    names = df.sparkSession.createDataFrame(list(label.items()) or [], "id long, c long")
-    return df.select("id").join(names, "id", "left").select("id", F.coalesce("c", F.lit(-1)).cast("long").alias("cluster"))
-
-
-def optics(df: DataFrame, least: int = 5, k: int = 15, radius: float | None = None) -> DataFrame:
-    """``id, core, reach, cluster``: core distance, reachability in the neighbour graph, and clusters below a reach.
-
-    Reachability of a row is the lightest edge by which the spanning forest of
-    mutual reachability holds it; without ``radius`` the threshold is the mean
-    reach plus one deviation. Rows with no lighter edge are noise (-1).
+    made = condense(forest(edges), smallest)
+    rows = made.rows.join(made.clusters.where("chosen is not null").select("cluster", "chosen"), "cluster")
+    names = rows.groupBy("chosen").agg(F.min("id").alias("label"))
+    labels = rows.join(names, "chosen").select("id", "label")
+    return df.select("id").join(labels, "id", "left").select("id", F.coalesce("label", F.lit(-1)).cast("long").alias("cluster"))
+
+
+def optics(df: DataFrame, least: int = 5, k: int = 15, radius: float | None = None, xi: float | None = None, smallest: int = 5) -> DataFrame:
+    """``id, core, position, reach, cluster``: core distance, place in the ordering, reachability and cluster of every row.
+
+    The ordering expands from the least row of each tree of the spanning forest
+    of mutual reachability (of the ``k`` nearest neighbours), trees by their
+    least rows; ``reach`` is null where a tree starts. Clusters are either what a
+    reach of at most ``radius`` joins (without it: the mean reach plus one deviation), or
+    with ``xi`` the valleys of at least ``smallest`` rows that are steep by that share
+    on both sides (``hierarchy.valleys``). Each is named by its least row; rows in none are -1.
     """
     core, edges = _core_graph(df, least, max(k, least))
-    tree = cut(spanning_forest(edges))
-    ends = tree.select(F.col("a").alias("id"), "w").unionByName(tree.select(F.col("b").alias("id"), "w"))
-    reach = cut(ends.groupBy("id").agg(F.min("w").alias("reach")))
-    if radius is None:
-        mean, sd = reach.agg(F.avg("reach"), F.stddev_pop("reach")).first()
-        radius = (mean or 0.0) + (sd or 0.0)
-    comps = connected_components(tree.where(F.col("w") <= radius), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    out = df.select("id").join(core.withColumnRenamed("q", "id"), "id", "left").join(reach, "id", "left").join(comps, "id", "left")
-    return out.select("id", "core", "reach", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
+    grown = forest(edges)
+    order = ordering(grown)
+    sizes = order.groupBy("start").agg(F.count("*").alias("rows"))
+    before = prefix_sums(cut(sizes), "start", ["rows"]).select("start", (F.col("upto_rows") - F.col("rows")).alias("before"))
+    order = cut(order.join(before, "start").select("id", (F.col("position") + F.col("before")).alias("position"), "reach"))
+    if xi is not None:
+        names = valleys(grown, xi, smallest)
+    else:
+        if radius is None:
+            mean, sd = order.agg(F.avg("reach"), F.stddev_pop("reach")).first()
+            radius = (mean or 0.0) + (sd or 0.0)
+        names = connected_components(grown.edges.where(F.col("w") <= radius), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    out = df.select("id").join(core.withColumnRenamed("q", "id"), "id", "left").join(order, "id", "left").join(names, "id", "left")
+    return out.select("id", "core", "position", "reach", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
 
 
 def lsdbc(df: DataFrame, k: int = 10, alpha: float = 4.0) -> DataFrame:
