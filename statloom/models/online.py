@@ -54,27 +54,38 @@ def passive_aggressive(c: float = 1.0, mode: str = "PA1", eps: float | None = No
     return step
 
 
-def arow(r: float = 1.0) -> Rule:
-    """Adaptive regularisation of weights with a diagonal covariance."""
+def _spread(m: State, x: np.ndarray, full: bool) -> np.ndarray:
+    """The covariance times a row; ``full`` covariances are square, the others diagonals."""
+    return m.s.reshape(len(x), len(x)) @ x if full else m.s * x
+
+
+def _narrow(m: State, sx: np.ndarray, by: float, full: bool) -> None:
+    """Takes ``by`` times the product of ``sx`` with itself off the covariance."""
+    m.s = m.s - by * (np.outer(sx, sx).ravel() if full else sx * sx)
+
+
+def arow(r: float = 1.0, full: bool = False) -> Rule:
+    """Adaptive regularisation of weights with a diagonal or full covariance."""
 
     def step(m: State, x: np.ndarray, y: float) -> None:
         p = y * (m.w @ x)
         if p < 1:
-            sx = m.s * x
+            sx = _spread(m, x, full)
             beta = 1 / (x @ sx + r)
             m.w += max(0.0, 1 - p) * beta * y * sx
-            m.s -= beta * sx * sx
+            _narrow(m, sx, beta, full)
 
+    step.full = full
     return step
 
 
-def scw(c: float = 1.0, eta: float = 0.9, mode: str = "SCW1") -> Rule:
-    """Soft confidence-weighted learning (modes CW, SCW1, SCW2), diagonal."""
+def scw(c: float = 1.0, eta: float = 0.9, mode: str = "SCW1", full: bool = False) -> Rule:
+    """Soft confidence-weighted learning (modes CW, SCW1, SCW2), with a diagonal or full covariance."""
     phi = float(math.sqrt(2) * inv_erf(np.array([2 * eta - 1.0]))[0])
     psi, zeta = 1 + phi * phi / 2, 1 + phi * phi
 
     def step(m: State, x: np.ndarray, y: float) -> None:
-        sx = m.s * x
+        sx = _spread(m, x, full)
         v, p = float(x @ sx), y * float(m.w @ x)
         if v <= 0 or phi * math.sqrt(v) - p <= 0:
             return
@@ -90,22 +101,28 @@ def scw(c: float = 1.0, eta: float = 0.9, mode: str = "SCW1") -> Rule:
         u = 0.25 * (-alpha * v * phi + math.sqrt(alpha**2 * v * v * phi * phi + 4 * v)) ** 2
         beta = alpha * phi / (math.sqrt(u) + v * alpha * phi)
         m.w += alpha * y * sx
-        m.s -= beta * sx * sx
+        _narrow(m, sx, beta, full)
 
+    step.full = full
     return step
 
 
-def nherd(c: float = 1.0) -> Rule:
-    """Normal herding, diagonal."""
+def nherd(c: float = 1.0, full: bool = False) -> Rule:
+    """Normal herding, with a diagonal or full covariance."""
 
     def step(m: State, x: np.ndarray, y: float) -> None:
         p = y * (m.w @ x)
         if p < 1:
-            sx = m.s * x
+            sx = _spread(m, x, full)
             v = x @ sx
             m.w += y * max(0.0, 1 - p) / (v + 1 / c) * sx
-            m.s = 1 / (1 / np.maximum(m.s, 1e-12) + (2 * c + c * c * v) * x * x)
+            k = 2 * c + c * c * v
+            if full:  # the inverse of the inverse plus k times the row's product with itself
+                _narrow(m, sx, k / (1 + k * v), full)
+            else:
+                m.s = 1 / (1 / np.maximum(m.s, 1e-12) + k * x * x)
 
+    step.full = full
     return step
 
 
@@ -235,19 +252,35 @@ class OnlineLinear(Learner):
     def __init__(self, rule: Rule, epochs: int = 3, workers: int = 8, key: str = "id", regression: bool = False, averaged: bool = False, start: np.ndarray | None = None) -> None:
         self.rule, self.epochs, self.workers, self.key, self.regression, self.averaged, self.start = rule, epochs, workers, key, regression, averaged, start
 
-    def fit(self, df: DataFrame) -> Model:
-        n = dimensions(df)
-        w = np.zeros(n + 1) if self.start is None else np.array(self.start, dtype=float)
-        s, t = np.ones(n + 1), 0
+    def _dealt(self, df: DataFrame) -> DataFrame:
         target = F.col("label") if self.regression else 2 * F.col("label") - 1
         rows = df.select(F.xxhash64(self.key).alias("h"), "features", target.cast("double").alias("y"))
-        dealt = cut(rows.withColumn("part", F.pmod("h", F.lit(self.workers))).repartition(self.workers, "part").sortWithinPartitions("part", "h"))
+        return cut(rows.withColumn("part", F.pmod("h", F.lit(self.workers))).repartition(self.workers, "part").sortWithinPartitions("part", "h"))
+
+    def _begin(self, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+        spread = np.eye(n + 1).ravel() if getattr(self.rule, "full", False) else np.ones(n + 1)
+        return np.zeros(n + 1) if self.start is None else np.array(self.start, dtype=float), spread, 0
+
+    def fit(self, df: DataFrame) -> Model:
+        state = self._begin(dimensions(df))
+        dealt = self._dealt(df)
         for _ in range(self.epochs):
-            w, s, t = self._epoch(dealt, w, s, t)
-        self.weights = w
+            state = self._epoch(dealt, *state)
+        return self.model(state)
+
+    def update(self, df: DataFrame, state: tuple[np.ndarray, np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray, int] | None:
+        """Weights, second-order numbers and step count after one pass over more rows; ``state`` is what an earlier call returned."""
+        if df.isEmpty():
+            return state
+        return self._epoch(self._dealt(df), *(state or self._begin(dimensions(df))))
+
+    def model(self, state: tuple[np.ndarray, np.ndarray, int] | None) -> Model:
+        """The model of a state; without one it answers 0."""
+        w = self.weights = state[0] if state else np.zeros(1)
+        value = lambda x: x @ w[:-1] + w[-1] if state else np.zeros(len(x))
         if self.regression:
-            return ArrayModel(lambda x: x @ w[:-1] + w[-1])
-        return ArrayModel(lambda x: np.stack((1 / (1 + np.exp(np.clip(x @ w[:-1] + w[-1], -500, 500))), 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500)))), axis=1), classes=2)
+            return ArrayModel(value)
+        return ArrayModel(lambda x: np.stack((1 / (1 + np.exp(np.clip(value(x), -500, 500))), 1 / (1 + np.exp(-np.clip(value(x), -500, 500)))), axis=1), classes=2)
 
     def _epoch(self, rows: DataFrame, w: np.ndarray, s: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, int]:
         rule, averaged = self.rule, self.averaged
@@ -265,10 +298,10 @@ class OnlineLinear(Learner):
 
         made = rows.select("features", "y").mapInPandas(task, "w array<double>, s array<double>, t long, seen long")
         both = made.select(F.posexplode(F.arrays_zip("w", "s")).alias("i", "x"), "t", "seen")
-        mixed = both.groupBy("i").agg((F.sum(F.col("x.w") * F.col("seen")) / F.sum("seen")).alias("w"), (F.sum(F.col("x.s") * F.col("seen")) / F.sum("seen")).alias("s"), F.max("t").alias("t")).orderBy("i").collect()  # a row a dimension
+        mixed = both.groupBy("i").agg((F.sum(F.col("x.w") * F.col("seen")) / F.sum("seen")).alias("w"), (F.sum(F.col("x.s") * F.col("seen")) / F.sum("seen")).alias("s"), F.max("t").alias("t")).orderBy("i").collect()  # a row a dimension, or a cell of a full covariance
         if not mixed:
             return w, s, t
-        return np.array([r.w for r in mixed]), np.array([r.s for r in mixed]), mixed[0].t
+        return np.array([r.w for r in mixed[: len(w)]]), np.array([r.s for r in mixed]), mixed[0].t
 
 
 class OnlineMulticlass(Learner):

@@ -77,10 +77,22 @@ def smote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.col("q").alias("id"), F.round(V.total(F.zip_with("a", "b", lambda p, r: p + 0.25 * (r - p))), 6).alias("total"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, value x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i, row_number() OVER (PARTITION BY user_id, value IS NULL ORDER BY ts, event_id) j FROM events),
+_EMA = """WITH RECURSIVE e AS (SELECT user_id, value x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i, row_number() OVER (PARTITION BY user_id, value IS NULL ORDER BY ts, event_id) j FROM events),
  v AS (SELECT * FROM e WHERE x IS NOT NULL), r AS (SELECT user_id, i, j, x m, 0.0::DOUBLE s FROM v WHERE j = 1
  UNION ALL SELECT v.user_id, v.i, v.j, m + 0.1 * (x - m), 0.9 * (s + 0.1 * (x - m) * (x - m)) FROM r JOIN v ON v.user_id = r.user_id AND v.j = r.j + 1)
- SELECT user_id, i AS "at", round(m,6) mean, round(s,6) variance FROM r""")
+ SELECT user_id, i AS "at", round(m,6) mean, round(s,6) variance FROM r"""
+
+
+@query(_EMA)
 def exponential_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
     return drift.ema(e, "user_id", ["ts", "event_id"], "value").select("user_id", "at", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
+
+
+@query(_EMA)
+def stream_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream, whose state a user is stored with each batch."""
+    from statloom.streaming import carried
+
+    e = drift.read_stream(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", "value")
+    return carried.ema(e, "user_id", ["ts", "event_id"], "value").select("user_id", "at", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.models import dual
 from statloom.models.online import rbf
-from statloom.operators import clustering, hierarchy
+from statloom.operators import clustering, embedding, hierarchy
 from statloom.operators.projections import ProjectionIndex
 from statloom.plans.graph import connected_components
 from statloom.plans.lineage import cut
@@ -68,3 +68,18 @@ def dual_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = x.select("id", F.col("vec").alias("features"), (F.col("label") <= third).cast("double").alias("label"))
     model = dual.DualMachine(rbf(1.0), c=1.0).fit(rows)
     return model.decide(rows).select("id", "label", F.round("decision", 2).alias("decision"))
+
+
+@query()
+def optics_ordering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's place in the reachability ordering, with the steep valleys."""
+    got = clustering.optics(_vectors(spark, sf_dir).select("id", "vec"), least=4, k=12, xi=0.05)
+    return got.withColumns({"core": F.round("core", 6), "reach": F.round("reach", 6)})
+
+
+@query()
+def isomap_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's place in the plane by path lengths among neighbours; signs of axes are as the largest entry is positive."""
+    got = cut(embedding.isomap(_vectors(spark, sf_dir).select("id", "vec"), 2, 10, landmarks=64))
+    flip = got.agg(*[F.max_by(F.signum(F.col("x")[i]), F.abs(F.col("x")[i])).alias(f"s{i}") for i in range(2)])
+    return got.join(F.broadcast(flip)).select("id", *[F.round(F.col("x")[i] * F.col(f"s{i}"), 4).alias(f"x{i}") for i in range(2)])  # one row

@@ -12,7 +12,7 @@ from statloom.operators import terms
 from statloom.plans.lineage import shared_dir
 from statloom.registry import query, table
 from statloom.sources import arff, delimited, libsvm
-from statloom.streaming import drift
+from statloom.streaming import carried, drift
 
 _TOK = r"list_filter(string_split(trim(regexp_replace(lower(coalesce(text,'')),'[^\p{L}\p{Nd}]+',' ','g')),' '), lambda t: length(t)>=1)"
 _TF = f"(SELECT doc_id, token, count(*) tf FROM (SELECT doc_id, unnest({_TOK}) token FROM documents) GROUP BY 1,2)"
@@ -158,7 +158,7 @@ def ddm_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ddm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from a stream whose state is kept a kind."""
     e = drift.read_stream(spark, f"{sf_dir}/events.parquet").select("event_type", "event_id", "ts", (F.col("value") > 20).alias("ok"))
-    return drift.finished(drift.ddm_stream(e, "event_type", ["ts", "event_id"], "ok"))
+    return carried.ddm(e, "event_type", ["ts", "event_id"], "ok")
 
 
 @query()
@@ -167,3 +167,11 @@ def adwin_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     raised = F.col("value") + F.when(F.floor(F.col("event_id") / 700) % 2 == 1, 60.0).otherwise(0.0)
     e = table(spark, sf_dir, "events").select("event_type", "event_id", raised.alias("value"))
     return drift.adwin(e, "event_type", ["event_id"], "value")
+
+
+@query()
+def stream_adwin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream."""
+    raised = F.col("value") + F.when(F.floor(F.col("event_id") / 700) % 2 == 1, 60.0).otherwise(0.0)
+    e = drift.read_stream(spark, f"{sf_dir}/events.parquet").select("event_type", "event_id", raised.alias("value"))
+    return carried.adwin(e, "event_type", ["event_id"], "value")

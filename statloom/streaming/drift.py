@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from statloom.plans.lineage import shared_dir
 
@@ -130,28 +129,6 @@ def ddm(df: DataFrame, key: str, order: Sequence[str], ok: str) -> DataFrame:
     return _folded(df, key, order, ok, "at long, state string", start)
 
 
-def ddm_stream(stream: DataFrame, key: str, order: Sequence[str], ok: str) -> DataFrame:
-    """``key, at, state`` like ``ddm`` over a stream, whose state a key is five numbers; late rows count where they arrive."""
-    own = stream.schema[key].dataType.simpleString()
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        d, i = DDM(), 0
-        if state.exists:
-            i, d.n, d.bad, d.low_p, d.low_s = state.get
-        out = []
-        for x in pd.concat(list(frames)).sort_values(list(order), kind="stable")[ok]:
-            i += 1
-            told = d.add(bool(x) if x is not None and x == x else False)
-            if told == "drift":
-                d.reset()
-            if told != "ok":
-                out.append((k[0], i, told))
-        state.update((i, d.n, d.bad, d.low_p, d.low_s))
-        yield pd.DataFrame(out, columns=[key, "at", "state"])
-
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {own}, at long, state string", "at long, n long, bad long, low_p double, low_s double", "append", GroupStateTimeout.NoTimeout)
-
-
 def adwin(df: DataFrame, key: str, order: Sequence[str], value: str, delta: float = 0.002) -> DataFrame:
     """``key, at, width``: where the window was cut and how wide it is then; nulls are no values but count in ``at``."""
 

@@ -294,14 +294,14 @@ def test_corpus(spark, tmp_path):
 
 
 def test_drift_stream(spark, tmp_path):
-    from statloom.streaming import drift
+    from statloom.streaming import carried, drift
 
     rows = [(i, "a", (i * 7919) % 100 < (80 if i < 400 else 30)) for i in range(600)]
     df = spark.createDataFrame(rows, "i long, k string, ok boolean")
     want = [(r.at, r.state) for r in drift.ddm(df, "k", ["i"], "ok").orderBy("at").collect()]
     assert any(s == "drift" and 400 < at <= 440 for at, s in want)
     df.coalesce(1).write.parquet(f"file://{tmp_path}/s")
-    got = drift.finished(drift.ddm_stream(drift.read_stream(spark, f"file://{tmp_path}/s"), "k", ["i"], "ok"))
+    got = carried.ddm(drift.read_stream(spark, f"file://{tmp_path}/s"), "k", ["i"], "ok")
     assert sorted((r.at, r.state) for r in got.collect()) == sorted(want)
     cuts = drift.adwin(df.select("i", "k", F.col("ok").cast("double").alias("x")), "k", ["i"], "x").collect()
     assert cuts and min(r.at for r in cuts) > 400
