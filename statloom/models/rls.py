@@ -105,7 +105,7 @@ class KernelRls(Learner):
             some = cut(merged.select("features").mapInPandas(reduce, "features array<double>").withColumn("task", F.spark_partition_id()))
         rows = np.array([r.features for r in some.select("features").orderBy("features").limit(most + 1).collect()], dtype=float)
         out = Dictionary(kernel, tolerance, held)
-        out.take_all(rows.reshape(len(rows), -1))
+        out.take_all(rows)
         if out.rows is not None and len(out.rows) > most:
             raise ValueError(f"more than {most} rows are no combination of others: raise the tolerance")
         return out.rows

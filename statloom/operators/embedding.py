@@ -44,7 +44,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 def _landmarks(rows: DataFrame, n: int, seed: int) -> tuple[list[int], np.ndarray]:
     got = rows.select("id", "vec", F.xxhash64("id", F.lit(seed)).alias("h")).orderBy("h", "id").limit(min(n, MOST)).collect()
-    return [r.id for r in got], np.array([r.vec for r in got], dtype=float).reshape(len(got), -1)
+    return [r.id for r in got], np.array([r.vec for r in got], dtype=float)
 
 
 def _placed(rows: DataFrame, away: DataFrame, ids: list[int], d: np.ndarray, k: int) -> DataFrame:

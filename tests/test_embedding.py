@@ -59,16 +59,16 @@ def test_scaling_of_all_rows(spark):
 
 def test_isomap_unrolls_a_sheet(spark):
     rng = np.random.default_rng(3)
-    t, h = rng.uniform(1.5 * np.pi, 4.5 * np.pi, 260), rng.uniform(0, 10, 260)
+    t, h = rng.uniform(1.5 * np.pi, 4.5 * np.pi, 160), rng.uniform(0, 6, 160)
     x = np.stack((t * np.cos(t), h, t * np.sin(t)), axis=1)
     df = table(spark, x)
     d = pairs(x)
-    edges = [(i, j, d[i, j]) for i in range(260) for j in np.argsort(d[i])[1:9].tolist()]
-    paths = floyd(260, edges)
+    edges = [(i, j, d[i, j]) for i in range(160) for j in np.argsort(d[i])[1:9].tolist()]
+    paths = floyd(160, edges)
     assert np.isfinite(paths).all()
-    y = positions(M.isomap(df, 2, 8, landmarks=260), 260)
+    y = positions(M.isomap(df, 2, 8, landmarks=160), 160)
     assert np.allclose(pairs(y), pairs(classical(paths, 2)), atol=1e-6)  # all rows are landmarks
-    some = positions(M.isomap(df, 2, 8, landmarks=40), 260)
+    some = positions(M.isomap(df, 2, 8, landmarks=40), 160)
     assert np.corrcoef(pairs(some).ravel(), paths.ravel())[0, 1] > 0.97
 
 

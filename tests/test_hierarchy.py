@@ -178,8 +178,9 @@ def partition(labels):
 
 
 @pytest.mark.parametrize("linkage", ["complete", "average", "ward"])
-def test_agglomeration_of_all_rows(spark, linkage):
-    n = 70
+def test_agglomeration_of_all_rows(spark, linkage, monkeypatch):
+    n = 60
+    monkeypatch.setattr(H, "LAST", 12)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(8, 5))[rng.integers(0, 8, n)] * 3 + rng.normal(size=(n, 5))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(3)
