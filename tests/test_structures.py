@@ -57,3 +57,27 @@ def test_dual_machine(spark, sf):
     want = f + (y - f)[free].mean()
     got = {r.id: r.decision for r in Q.dual_machine(spark, sf).collect()}
     assert np.allclose([got[i] for i in ids.tolist()], want, atol=0.03)
+
+
+def test_optics_ordering(spark, sf):
+    ids, x, _ = vectors(sf)
+    rows = Q.optics_ordering(spark, sf).collect()
+    assert sorted(r.position for r in rows) == list(range(len(ids))) and sorted(r.id for r in rows) == ids.tolist()
+    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
+    core = np.sort(d, axis=1)[:, 4]  # itself and the fourth other
+    at = {int(i): n for n, i in enumerate(ids)}
+    assert all(abs(r.core - core[at[r.id]]) < 1e-5 for r in rows)
+    assert all(r.reach is None or r.reach >= r.core - 1e-6 for r in rows)
+
+
+def test_isomap_positions(spark, sf):
+    ids, _, _ = vectors(sf)
+    rows = Q.isomap_positions(spark, sf).collect()
+    assert sorted(r.id for r in rows) == ids.tolist()
+    assert np.std([r.x0 for r in rows]) > np.std([r.x1 for r in rows]) > 0
+
+
+def test_stream_adwin(spark, sf):
+    from statloom import queries_text
+
+    assert sorted(map(tuple, queries_text.stream_adwin(spark, sf).collect())) == sorted(map(tuple, queries_text.adwin_drift(spark, sf).collect()))
