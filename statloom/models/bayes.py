@@ -25,11 +25,14 @@ def _total(xs: Sequence[Column]) -> Column:
 
 
 def _from_logs(logs: Sequence[Column]) -> Column:
-    xs = F.array(*logs)
-    top = F.array_max(xs)
-    shares = F.transform(xs, lambda v: F.exp(v - top))
-    all_ = F.aggregate(shares, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(shares, lambda v: v / all_)
+    """Shares that follow from the logs; every log, the largest and the sum are evaluated once a row."""
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+
+    def of_logs(xs: Column) -> Column:
+        shares = once(F.array_max(xs), lambda top: F.transform(xs, lambda v: F.exp(v - top)))
+        return once(shares, lambda s: once(F.aggregate(s, F.lit(0.0), lambda a, v: a + v), lambda all_: F.transform(s, lambda v: v / all_)))
+
+    return once(F.array(*logs), of_logs)
 
 
 class GaussianSums:
