@@ -8,13 +8,16 @@ all other groups at the shingles of their prefixes: parity bitmaps bound how
 much two sets differ, and those within the bound ask for the group. A group is
 opened for a document only if its overlap with the union of the asked members'
 shingles can reach the threshold; then the members' sets are compared exactly.
+Shingles that the same documents have in their prefixes stand for one another,
+so one of them is kept.
 
 Why no link is lost: the prefix of a set of n shingles are its
 ``n - ceil(t * n) + 1`` first ones in a global order, so two sets with likeness
 t or more share a shingle of both prefixes and meet there, unless they are of
 one group already. A bit of the bitmap is the parity of the shingles that fall
 on it, so two bitmaps never differ in more bits than the sets differ in
-shingles; the union bound never underestimates the overlap.
+shingles; a bitmap grows with its set, and halves laid on one another give the
+smaller one. The union bound never underestimates the overlap.
 
 The global order comes from a sketch over all documents: first the shingles
 that certainly only one document has (they meet nothing and are not stored),
@@ -41,7 +44,7 @@ from statloom.plans.lineage import cut, small, sweep
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Bits a 16-bit frequency count (counts stop at the top).
 SHARE = 32
-#: Bytes of a set's parity bitmap.
+#: Least bytes of a set's parity bitmap, which has a bit or more a shingle; on fewer bits large sets that share little look alike.
 BITMAP = 128
 #: Rounds in which groups ask leaders, leaders of a shingle, and documents that meet there in one task.
 ROUNDS, LEADERS, CROWD = 2, 8, 1 << 15
@@ -63,11 +66,43 @@ def _links(left: np.ndarray, right: np.ndarray, num: int, den: int) -> bool:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each bit."""
-    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (8 * BITMAP), minlength=8 * BITMAP) & 1
+    """Parity of the shingles that fall on each bit; a power of two of bits."""
+    n = max(8 * BITMAP, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % n, minlength=n) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+class _Bitmaps:
+    """Bitmaps of several lengths; those of two rows are compared at the smaller length."""
+
+    def __init__(self, bits: list[bytes]) -> None:
+        size = np.array([len(b) for b in bits])
+        self.level = np.log2(size // BITMAP).astype(np.int64)
+        self.place, self.at = {}, {}
+        over, rows = np.zeros(0, dtype=np.int64), None
+        for level in range(int(self.level.max(initial=0)), -1, -1):
+            width = BITMAP // 8 << level
+            own = np.flatnonzero(self.level == level)
+            held = np.frombuffer(b"".join([bits[i] for i in own]), dtype=np.uint64).reshape(len(own), width)
+            if rows is not None:
+                held = np.concatenate((rows[:, :width] ^ rows[:, width:], held))
+            over, rows = np.concatenate((over, own)), held
+            self.place[level] = np.zeros(len(bits), dtype=np.int64)
+            self.place[level][over] = np.arange(len(over))
+            self.at[level] = rows
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out, least = np.zeros(len(i), dtype=np.int64), np.minimum(self.level[i], self.level[j])
+        for level, rows in self.at.items():
+            some = np.flatnonzero(least == level)
+            step = max(1, (4 << 20) // (BITMAP << level))
+            for k in range(0, len(some), step):
+                here = some[k : k + step]
+                a, b = self.place[level][i[here]], self.place[level][j[here]]
+                out[here] = np.bitwise_count(rows[a] ^ rows[b]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 class _Order:
     """Sketch of a corpus's shingles: two bit planes (met by one, by several documents) and counts."""
 
@@ -183,7 +218,7 @@ class _Opener:
         return cut(rows.mapInPandas(trimmed(opened), "a long, b long"))
 
 
-def _runs(key: list[str], task: Callable[[np.ndarray, dict, np.ndarray], dict | None]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _runs(key: list[str], task: Callable[[np.ndarray, dict, _Bitmaps], dict | None]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """A task over whole runs of equal keys of sorted batches: gets the run of each row, columns and bitmaps."""
 
     def work(frame: pd.DataFrame) -> pd.DataFrame | None:
@@ -191,8 +226,7 @@ def _runs(key: list[str], task: Callable[[np.ndarray, dict, np.ndarray], dict |
         for c in key:
             v = frame[c].to_numpy()
             new[1:] |= v[1:] != v[:-1]
-        bits = np.frombuffer(b"".join(frame["bits"]), dtype=np.uint64).reshape(len(frame), -1)
-        made = task(np.cumsum(new), {c: frame[c].to_numpy() for c in frame.columns if c != "bits"}, bits)
+        made = task(np.cumsum(new), {c: frame[c].to_numpy() for c in frame.columns if c != "bits"}, _Bitmaps(frame["bits"].tolist()))
         return None if made is None else pd.DataFrame(made).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,12 +252,12 @@ def _runs(key: list[str], task: Callable[[np.ndarray, dict, np.ndarray], dict |
     return trimmed(run)
 
 
-def _near(c: dict, bits: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(c: dict, bits: _Bitmaps, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which pairs of rows of different groups may link by their sizes and bitmaps, and the bits they differ in."""
     n, m = c["n"][i], c["n"][j]
     ok = (c["grp"][i] != c["grp"][j]) & (den * n >= num * m) & (den * m >= num * n)
     i, j, n, m = i[ok], j[ok], n[ok], m[ok]
-    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+    apart = bits.apart(i, j)
     ok = apart <= n + m - 2 * -(-num * (n + m) // (num + den))
     return i[ok], j[ok], apart[ok]
 
@@ -252,7 +286,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     order = spark.sparkContext.broadcast(_sketch.merged(src.select("text"), sketch.size(), "uint8", count, sketch.merge, sketch.levels, parts))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        levels = _sketch.held(order, "uint8")
+        levels, seen = _sketch.held(order, "uint8"), set()
         for batch in batches:
             out = []
             for doc_id, tag, text in zip(batch["doc_id"], batch["tag"], batch["text"]):
@@ -263,12 +297,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
                     continue
                 rank = sketch.ranks(levels, s)
                 first = n - _need(n, num, den) + 1 - int((rank == 0).sum())
+                k1, k2 = (np.add.reduce(mix(s, seed)).astype(np.uint64).view(np.int64) for seed in (11, 12))
                 prefix = bits = None
-                if first > 0:
+                if first > 0 and (k1, k2) not in seen:  # copies carry nothing more
+                    seen.add((k1, k2))
                     others = np.flatnonzero(rank)
                     prefix = s[others[np.argsort(rank[others], kind="stable")[:first]]].view(np.int64)
                     bits = _bitmap(s)
-                k1, k2 = (np.add.reduce(mix(s, seed)).astype(np.uint64).view(np.int64) for seed in (11, 12))
                 out.append((doc_id, tag, n, k1, k2, prefix, bits))
             yield pd.DataFrame(out, columns=["doc_id", "tag", "n", "k1", "k2", "prefix", "bits"]).astype({"k1": "Int64", "k2": "Int64"})
 
@@ -276,9 +311,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     made = src.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(trimmed(prefixes), "doc_id string, tag long, n long, k1 long, k2 long, prefix array<long>, bits binary")
     sets = cut(made.withColumn("doc_id", F.col("doc_id").cast("long")))
     nodes = cut(sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("tag").alias("tag"), F.min("n").alias("n"), F.min("bits").alias("bits")))
-    rows = sets.where("bits is not null").select("k1", "n", F.explode("prefix").alias("tok")).distinct()
-    live = rows.groupBy("tok").agg(F.count("*").alias("docs")).where("docs > 1")
-    live = cut(rows.join(live, "tok"))  # shingles that meet nothing go
+    # dealt by shingle once: distinct rows, their counts and the join all find them there
+    rows = sets.where("bits is not null").select("k1", "n", F.explode("prefix").alias("tok")).repartition("tok").distinct()
+    marks = [F.bit_xor(F.xxhash64("k1", F.lit(i))).alias(f"set{i}") for i in range(2)]
+    live = rows.groupBy("tok").agg(F.count("*").alias("docs"), *marks).where("docs > 1")
+    live = live.groupBy("docs", "set0", "set1").agg(F.min("tok").alias("tok")).select("tok", "docs")
+    live = cut(rows.join(live, "tok"))  # shingles that meet nothing go, and all but one of those that the same sets have
     sweep(spark)  # here and below: each phase runs many small plans, whose memory the driver would keep
     bitmaps = nodes.where("bits is not null").groupBy("k1").agg(F.min("bits").alias("bits"))
     link = _Opener(src, nodes, words, num, den)
@@ -297,7 +335,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
             at = at.join(met, "tok")
         return groups, at.join(bitmaps, "k1")
 
-    def lead(run: np.ndarray, c: dict, bits: np.ndarray) -> dict | None:
+    def lead(run: np.ndarray, c: dict, bits: _Bitmaps) -> dict | None:
         start = np.searchsorted(run, run)
         best, to = np.full(len(run), np.iinfo(np.int64).max), np.full(len(run), -1)
         for s in range(LEADERS):
@@ -308,7 +346,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
         i = np.flatnonzero(to >= 0)
         return {"own": c["grp"][i], "apart": best[i], "x": c["k1"][i], "y": c["k1"][to[i]], "grp": c["grp"][to[i]]} if len(i) else None
 
-    def meet(run: np.ndarray, c: dict, bits: np.ndarray) -> dict | None:
+    def meet(run: np.ndarray, c: dict, bits: _Bitmaps) -> dict | None:
         crossed = c["low"] != c["high"]
         i, s, found = np.arange(len(run)), 1, []
         while True:

@@ -180,3 +180,36 @@ def test_the_driver_lets_go_of_finished_phases(spark, monkeypatch):
     assert got == brute(rows, 1, 85, 100)
     assert max([*most, plans[0]]) <= 12  # stored tables between two sweeps
     assert lineage.trim(spark)
+
+
+def test_long_documents_with_one_passage_in_common_are_not_opened(spark, monkeypatch):
+    from statloom.llm import jaccard as J
+
+    rnd, asked = random.Random(3), []
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"w{rnd.randrange(10**9)}" for _ in range(5000 + 100 * i))) for i in range(24)]
+    rows.append((24, rows[7][1] + " and a few words more"))
+    call = J._Opener.__call__
+    monkeypatch.setattr(J._Opener, "__call__", lambda self, pairs: asked.append(pairs.count()) or call(self, pairs))
+    monkeypatch.setattr(J, "LEAST_BITS", 1 << 12)
+    monkeypatch.setattr(J, "MOST_BITS", 1 << 12)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()}
+    assert got == brute(rows, 5, 80, 100)
+    assert max(asked) <= 2
+
+
+def test_bitmaps_never_differ_in_more_than_their_sets():
+    import numpy as np
+
+    from statloom.llm.jaccard import BITMAP, _bitmap, _Bitmaps
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 40_000, dtype=np.uint64)
+    sets = [base[a:b] for a, b in ((0, 1), (0, 900), (100, 1400), (0, 1024), (0, 1025), (200, 5000), (300, 9000), (30_000, 40_000))]
+    maps = _Bitmaps([_bitmap(s) for s in sets])
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            apart = int(maps.apart(np.array([i]), np.array([j]))[0])
+            assert apart <= len(np.setxor1d(x, y)) and (i != j or apart == 0)
+    assert int(maps.apart(np.array([6]), np.array([7]))[0]) > 4000  # unlike sets of 8,700 and 10,000
+    assert len(_bitmap(sets[0])) == BITMAP
