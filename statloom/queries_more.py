@@ -64,7 +64,7 @@ def feature_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stemmed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of stems; each distinct token is stemmed once."""
-    words = terms.vocabulary(terms.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    words = terms.totals(table(spark, sf_dir, "documents"), "text")
     return words.select(porter_stem(F.col("token")).alias("stem"), "total").groupBy("stem").agg(F.sum("total").alias("total"))
 
 
