@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from statloom.functions.text import tokens
 
+#: Most hashed columns whose frequencies are broadcast.
+COLUMNS = 1 << 20
+
 
 def read_files(spark: SparkSession, path: str, labelled: bool = False) -> DataFrame:
     """``path, text`` of every file below a folder; with ``labelled`` the file's own folder is ``label``."""
@@ -35,9 +38,9 @@ def bucket(token: Column, size: int) -> Column:
 
 def hashed_vectors(docs: DataFrame, key: str, size: int = 1 << 18, text: str = "text", idf: bool = False) -> DataFrame:
     """``key, vec``: counts of hashed tokens (those of one number add up); ``idf`` multiplies by ln(documents / documents with it)."""
-    counts = docs.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, bucket(F.col("token"), size).alias("at")).agg(F.count("*").cast("double").alias("n"))
+    counts = docs.select(key, text).repartition(key).select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, bucket(F.col("token"), size).alias("at")).agg(F.count("*").cast("double").alias("n"))
     if idf:
         total = docs.count()
         df = counts.groupBy("at").agg(F.count("*").alias("df"))
-        counts = counts.join(df, "at").select(key, "at", (F.col("n") * F.log(total / F.col("df"))).alias("n"))
+        counts = counts.join(F.broadcast(df) if size <= COLUMNS else df, "at").select(key, "at", (F.col("n") * F.log(total / F.col("df"))).alias("n"))
     return counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("vec"))
