@@ -257,3 +257,34 @@ def test_optics_places_every_row(spark):
     assert [r.position for r in rows] == list(range(60))
     assert [i for i, r in enumerate(rows) if r.reach is None] == [0, 20, 40]
     assert {r.id: r.cluster for r in rows} == {i: i % 3 for i in range(60)}
+
+
+def test_chosen_of_deep_trees_takes_few_rounds(spark, monkeypatch):
+    """A comb, a chain and a random tree of clusters by a walk; each level of the tree took a round before."""
+    rng = random.Random(4)
+    parent = {0: None, 1: 0, 2: 0, 1000: None, 2000: None, 2001: 2000}
+    for i in range(3, 240, 2):  # the comb: one of two goes on
+        parent[i], parent[i + 1] = i - 2 + rng.randrange(2) if i > 3 else 1, None
+        parent[i + 1] = parent[i]
+    for i in range(2002, 2060):
+        parent[i] = i - 1
+    for i in range(1001, 1120):
+        parent[i] = 1000 + rng.randrange(i - 1000)
+    own = {i: rng.random() * (30 if rng.random() < 0.1 else 1) for i in parent}
+    kids = {}
+    for i, p in parent.items():
+        kids.setdefault(p, []).append(i)
+    best, wins = {}, {}
+    for i in sorted(parent, reverse=True):  # children have larger numbers
+        under = sum(best[k] for k in kids.get(i, []))
+        loses = i in kids and (under > own[i] or parent[i] is None)
+        wins[i], best[i] = not loses, under if loses else own[i]
+    want = {}
+    for i in sorted(parent):
+        above = want[parent[i]] if parent[i] is not None else None
+        want[i] = above if above is not None else i if wins[i] else None
+    calls, cut = [], H.cut
+    monkeypatch.setattr(H, "cut", lambda df: calls.append(1) or cut(df))
+    df = spark.createDataFrame([(i, p, 0.0, own[i]) for i, p in parent.items()], "cluster long, parent long, birth double, stability double").repartition(3)
+    assert {r.cluster: r.chosen for r in H._chosen(df).collect()} == want
+    assert len(calls) < 120
