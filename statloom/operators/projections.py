@@ -30,6 +30,34 @@ from statloom.plans.lineage import cut
 #: Vectors of a bucket on average, and of a block at most on average; the most bounds of a composite that tasks know.
 BUCKET, BLOCK, BOUNDS = 512, 2048, 4096
 
+#: Tasks, at most, that blocks are dealt to; queries that meet a block at once.
+TASKS, STEP = 8192, 256
+
+
+def _nearest_named(q_ids: np.ndarray, x: np.ndarray, at: np.ndarray, reach: np.ndarray, ids: np.ndarray, held: np.ndarray, inside: np.ndarray, needed: int, k: int, others: bool) -> pd.DataFrame:
+    """``q, v, distance`` of the ``k`` nearest of each query among the rows that ``needed`` projections place within its reach.
+
+    Products of matrices tell which rows may be among them, with room for what they round; those get their exact distance.
+    """
+    within = np.zeros((len(x), len(ids)), dtype=np.uint8)
+    for j in range(at.shape[1]):
+        within += np.abs(inside[None, :, j] - at[:, j : j + 1]) <= reach[:, None]
+    named = within >= needed
+    if others:
+        named &= ids[None, :] != q_ids[:, None]
+    with np.errstate(invalid="ignore", over="ignore"):
+        xx, vv = (x * x).sum(axis=1), (held * held).sum(axis=1)
+        d = xx[:, None] + vv[None, :] - 2 * x @ held.T
+        d = np.where(named, np.where(np.isfinite(d), d, np.finfo(float).max), np.inf)
+        m = min(k, len(ids))
+        room = 1e-12 * (np.where(np.isfinite(xx), xx, 0) + vv.max(initial=0, where=np.isfinite(vv)))
+        r, c = np.nonzero(named & (d <= np.partition(d, m - 1, axis=1)[:, m - 1 : m] + room[:, None]))
+        exact = _paired(x[r], held[c], "euclidean")
+    order = np.lexsort((ids[c], exact, r))
+    r, c, exact = r[order], c[order], exact[order]
+    best = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return pd.DataFrame({"q": q_ids[r[best]], "v": ids[c[best]], "distance": exact[best]})
+
 
 class ProjectionIndex:
     """An index over ``vectors(id, vec)`` of equal lengths: ``composites`` of ``simple`` projections each.
@@ -86,6 +114,7 @@ class ProjectionIndex:
         stored = cut(placed.repartitionByRange("composite", "value").sortWithinPartitions("composite", "value"))
         self.table = stored if self.table is None else self.table.unionByName(stored)
         self.blocks = cut(self.table.groupBy("composite", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+        self.parts = int(self.blocks.agg(F.sum("blocks")).first()[0] or 0)
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         """``id, vec, reach, composite, bucket``: every bucket that a query's interval of half-width ``reach`` meets."""
@@ -109,7 +138,8 @@ class ProjectionIndex:
         stored = stored.select("composite", "bucket", F.pmod(F.xxhash64("id", "vec"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "id", "vec", F.lit(0.0).alias("reach"))
         asks = asked.join(self.blocks, ["composite", "bucket"])
         asks = asks.select("composite", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"), "id", "vec", "reach")
-        rows = stored.unionByName(asks).repartition("composite", "bucket", "block").sortWithinPartitions("composite", "bucket", "block", "side")
+        # a task for about each block: left to their bytes, which are few, blocks would share tasks whose time grows with the square of the rows
+        rows = stored.unionByName(asks).repartition(max(1, min(TASKS, self.parts)), "composite", "bucket", "block").sortWithinPartitions("composite", "bucket", "block", "side")
         directions, needed = self.directions, self.needed
 
         def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,16 +159,9 @@ class ProjectionIndex:
                         ids, held = [np.concatenate(ids)], [np.concatenate(held)]
                         inside = held[0] @ directions[c].T
                     q_ids, reach, mine = some["id"].to_numpy(), some["reach"].to_numpy(), x @ directions[c].T
-                    out = []
-                    for i in range(len(x)):
-                        named = (np.abs(inside - mine[i]) <= reach[i]).sum(axis=1) >= needed
-                        if others:
-                            named &= ids[0] != q_ids[i]
-                        v = np.flatnonzero(named)
-                        d = _paired(np.broadcast_to(x[i], (len(v), x.shape[1])), held[0][v], "euclidean")
-                        best = np.lexsort((ids[0][v], d))[:k]
-                        out.append(pd.DataFrame({"q": q_ids[i], "v": ids[0][v[best]], "distance": d[best]}))
-                    yield pd.concat(out, ignore_index=True)
+                    for i in range(0, len(x), STEP):
+                        part = slice(i, i + STEP)
+                        yield _nearest_named(q_ids[part], x[part], mine[part], reach[part], ids[0], held[0], inside, needed, k, others)
 
         return rows.mapInPandas(task, "q long, v long, distance double")
 

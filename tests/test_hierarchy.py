@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from statloom.operators import clustering as K
 from statloom.operators import hierarchy as H
@@ -288,3 +289,20 @@ def test_chosen_of_deep_trees_takes_few_rounds(spark, monkeypatch):
     df = spark.createDataFrame([(i, p, 0.0, own[i]) for i, p in parent.items()], "cluster long, parent long, birth double, stability double").repartition(3)
     assert {r.cluster: r.chosen for r in H._chosen(df).collect()} == want
     assert len(calls) < 120
+
+
+def test_projection_index_deals_blocks_to_tasks(spark):
+    """Blocks are small in bytes and were left to few tasks, whose time grew with the square of the rows."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(4)
+    index = ProjectionIndex(df)
+    found = index._found(index._asked(df.where("id < 300").withColumn("reach", F.lit(9.0))), 3, True)
+    assert index.parts >= 20 and found.rdd.getNumPartitions() == index.parts
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.q, set()).add((r.distance, r.v))
+    for q, pairs in got.items():  # all rows lie within the reach: both composites name the true neighbours
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert [v for _, v in sorted(pairs)[:3]] == np.argsort(d)[:3].tolist()
