@@ -82,18 +82,35 @@ class Piped(Learner):
         return _Mapped(self.learner.fit(steps.transform(df)), steps.apply)
 
 
+#: Features, at most, whose moments are sums of columns, which need no Python worker.
+COLUMNS = 16
+
+
 def _moments(df: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Means, covariance and count, by sums around the first row so that large means lose nothing."""
     d = dimensions(df)
     row = df.select("features").first()
     at = np.array(row.features, dtype=float) if row else np.zeros(d)
+    if d <= COLUMNS:
+        z = [F.coalesce(F.get("features", F.lit(i)), F.lit(float("nan"))) - float(at[i]) for i in range(d)]
+        off = df.select(*[c.cast("double").alias(f"z{i}") for i, c in enumerate(z)], F.lit(1.0).alias(f"z{d}"))
+        pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+        got = off.agg(*[F.coalesce(F.sum(F.col(f"z{i}") * F.col(f"z{j}")), F.lit(0.0)).alias(f"s{i}_{j}") for i, j in pairs]).first()
+        m = np.zeros((d + 1, d + 1))
+        for (i, j), v in zip(pairs, got):
+            m[i, j] = m[j, i] = v
+        return _centred(m, at)
     labelled = df if "label" in df.columns else df.withColumn("label", F.lit(0.0))
 
     def f(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
         z = np.hstack((x - at, np.ones((len(x), 1))))
         return z.T @ z
 
-    m = array_sum(labelled.select("features", "label"), f, (d + 1) ** 2).reshape(d + 1, d + 1)
+    return _centred(array_sum(labelled.select("features", "label"), f, (d + 1) ** 2).reshape(d + 1, d + 1), at)
+
+
+def _centred(m: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Means, covariance and count by the sums ``m`` of products of deviations from ``at`` and a last one."""
     n = max(m[-1, -1], 1.0)
     mean = m[-1, :-1] / n
     return at + mean, m[:-1, :-1] / n - np.outer(mean, mean), n
