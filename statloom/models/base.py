@@ -90,6 +90,19 @@ class _Fitted(Model):
         return out.drop("__vector", "rawPrediction")
 
 
+#: Rows of a part of a training table, about, that a task of pyspark.ml keeps and reads again each round.
+ROWS = 1_000_000
+
+
+def parted(df: DataFrame) -> DataFrame:
+    """``df`` in parts of about ``ROWS`` rows, where there are more of them than cores; else as it is.
+
+    Files are read in parts of like bytes; well compressed ones hold many more rows than memory should.
+    """
+    parts = -(-df.count() // ROWS)
+    return df.repartition(parts) if parts > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 class Ml(Learner):
     """An estimator of ``pyspark.ml`` as a learner; uses ``weight`` if the table has it and the estimator can.
 
@@ -108,7 +121,7 @@ class Ml(Learner):
         if e.hasParam("weightCol") and "weight" in df.columns:
             e.setWeightCol("weight")
             columns.append("weight")
-        return _Fitted(e.fit(df.select(array_to_vector("features").alias("__vector"), *columns)))
+        return _Fitted(e.fit(parted(df.select(array_to_vector("features").alias("__vector"), *columns))))
 
 
 # Classifiers and regressors of pyspark.ml under the names of their families.
