@@ -18,6 +18,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statloom.plans.lineage import cut
+
 
 class Model:
     """Adds ``prediction`` and perhaps ``probability`` to a table with ``features``."""
@@ -29,6 +31,9 @@ class Model:
 class Learner:
     """Fits a model to a table with ``features`` and ``label``."""
 
+    #: Whether rows equal in features and label tell a fit no more than one of them with the sum of their weights.
+    sums = False
+
     def fit(self, df: DataFrame) -> Model:
         raise NotImplementedError
 
@@ -103,6 +108,24 @@ def parted(df: DataFrame) -> DataFrame:
     return df.repartition(parts) if parts > df.sparkSession.sparkContext.defaultParallelism else df
 
 
+#: Rows of a training table for each kind of them, at least, for one to stand for its equals.
+COPIES = 8
+
+
+def condensed(df: DataFrame, learners: Sequence[Learner], sums: dict[str, Column], by: dict[str, Column] | None = None) -> DataFrame | None:
+    """One row for all of ``df`` that are equal in features, label and the columns ``by``, with the ``sums`` over them, stored.
+
+    None where a learner needs every row, or where few are equal: then the table itself has to serve.
+    """
+    if not all(one.sums for one in learners):
+        return None
+    df, keys = df.withColumns(by or {}), ["features", "label", *(by or {})]
+    rows, kinds = df.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*keys))).first()
+    if rows < COPIES * kinds:
+        return None
+    return cut(df.groupBy(*keys).agg(*[F.sum(x).alias(name) for name, x in sums.items()]))
+
+
 class Ml(Learner):
     """An estimator of ``pyspark.ml`` as a learner; uses ``weight`` if the table has it and the estimator can.
 
@@ -111,6 +134,8 @@ class Ml(Learner):
 
     def __init__(self, kind: Callable, **params) -> None:
         self.kind, self.params = kind, params
+        trees = kind in (C.DecisionTreeClassifier, R.DecisionTreeRegressor) and params.get("minInstancesPerNode", 1) == 1
+        self.sums = trees or (kind is C.LogisticRegression and not params.get("regParam"))
 
     def fit(self, df: DataFrame) -> Model:
         e = self.kind(**self.params)

@@ -11,7 +11,7 @@ from pyspark.ml import regression as R
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.models.base import ColumnModel, Learner, Model, accuracy, arg_max, class_count, cross_validate, fold_of, rmse
+from statloom.models.base import ColumnModel, Learner, Model, accuracy, arg_max, class_count, condensed, cross_validate, fold_of, rmse
 from statloom.plans.lineage import cut
 
 _OWN = ("prediction", "probability")
@@ -81,9 +81,18 @@ class AveragedRegressor(Learner):
         return Mean([one.fit(df) for one in self.learners])
 
 
+def _weight(df: DataFrame) -> Column:
+    return F.col("weight") if "weight" in df.columns else F.lit(1.0)
+
+
 def _weighted(df: DataFrame, factor: Column) -> DataFrame:
-    w = F.col("weight") if "weight" in df.columns else F.lit(1.0)
-    return df.withColumn("weight", w * factor)
+    return df.withColumn("weight", _weight(df) * factor)
+
+
+def _few(df: DataFrame, learner: Learner) -> DataFrame:
+    """``df`` with its equal rows as one, where the learner allows it and there are enough of them."""
+    few = condensed(df, [learner], {"weight": _weight(df)})
+    return df if few is None else few
 
 
 def _poisson(u: Column) -> Column:
@@ -97,7 +106,10 @@ def _poisson(u: Column) -> Column:
 
 
 class Bagging(Learner):
-    """Models of bootstrap samples, each a Poisson weight a row from its key and the seed."""
+    """Models of bootstrap samples, each a Poisson weight a row from its key and the seed.
+
+    Where equal rows are many, the weights of all rounds are added up in one aggregation.
+    """
 
     def __init__(self, learner: Learner, rounds: int = 10, key: str = "id", seed: int = 0, soft: bool = True, regression: bool = False) -> None:
         self.learner, self.rounds, self.key, self.seed, self.soft, self.regression = learner, rounds, key, seed, soft, regression
@@ -106,8 +118,10 @@ class Bagging(Learner):
         return _poisson(F.pmod(F.xxhash64(self.key, F.lit(self.seed), F.lit(i)), F.lit(1 << 40)) / float(1 << 40))
 
     def fit(self, df: DataFrame) -> Model:
-        models = [self.learner.fit(_weighted(df, self.factor(i)).where("weight > 0")) for i in range(self.rounds)]
-        return Mean(models) if self.regression else Vote(models, class_count(df), soft=self.soft)
+        few = condensed(df, [self.learner], {f"__w{i}": _weight(df) * self.factor(i) for i in range(self.rounds)})
+        drawn = lambda i: _weighted(df, self.factor(i)) if few is None else few.withColumn("weight", F.col(f"__w{i}"))
+        models = [self.learner.fit(drawn(i).where("weight > 0")) for i in range(self.rounds)]
+        return Mean(models) if self.regression else Vote(models, class_count(df if few is None else few), soft=self.soft)
 
 
 class Wagging(Bagging):
@@ -133,6 +147,7 @@ class AdaBoost(Learner):
         self.learner, self.rounds, self.samme = learner, rounds, samme
 
     def fit(self, df: DataFrame) -> Model:
+        df = _few(df, self.learner)
         classes = class_count(df)
         now = _weighted(df, F.lit(1.0))
         models, alphas = [], []
@@ -161,6 +176,7 @@ class ArcX4(Learner):
         self.learner, self.rounds = learner, rounds
 
     def fit(self, df: DataFrame) -> Model:
+        df = _few(df, self.learner)
         now, models = df.withColumn("__missed", F.lit(0.0)), []
         for _ in range(self.rounds):
             model = self.learner.fit(_weighted(now, 1 + F.pow("__missed", F.lit(4.0))))
@@ -257,13 +273,14 @@ class LogitBoost(Learner):
         self.regressor, self.rounds, self.most = regressor, rounds, most
 
     def fit(self, df: DataFrame) -> Model:
-        now = cut(df.withColumn("__f", F.lit(0.0)).withColumn("__y", F.col("label")))
+        few = condensed(df, [self.regressor], {"__n": F.lit(1.0)})
+        now = cut((df.withColumn("__n", F.lit(1.0)) if few is None else few).withColumn("__f", F.lit(0.0)).withColumn("__y", F.col("label")))
         models = []
         for _ in range(self.rounds):
             p = 1 / (1 + F.exp(-2 * F.col("__f")))
             w = F.greatest(p * (1 - p), F.lit(1e-8))
             z = F.greatest(F.least((F.col("__y") - p) / w, F.lit(self.most)), F.lit(-self.most))
-            model = self.regressor.fit(now.withColumn("label", z).withColumn("weight", w))
+            model = self.regressor.fit(now.withColumn("label", z).withColumn("weight", F.col("__n") * w))
             models.append(model)
             now = cut(model.transform(now.drop(*_OWN)).withColumn("__f", F.col("__f") + 0.5 * F.col("prediction")).select(now.columns))
         return _Additive(models, 0.5)
@@ -300,12 +317,15 @@ class Stacking(Learner):
 
     def fit(self, df: DataFrame) -> Model:
         classes = 0 if self.regression else class_count(df)
-        dealt, parts = df.withColumn("__fold", fold_of(F.col(self.key), self.folds)), None
+        fold = fold_of(F.col(self.key), self.folds)
+        few = condensed(df, [*self.learners, self.top], {"weight": _weight(df), "__n": F.lit(1.0)}, {"__fold": fold})
+        dealt, parts = df.withColumn("__fold", fold) if few is None else few, None
+        seen = [] if few is None else [F.col("__n").alias("weight")]  # to the learner on top rows count alike
         for i in range(self.folds):
             rest = dealt.where(F.col("__fold") != i)
-            one = _meta(_with([x.fit(rest) for x in self.learners], dealt.where(F.col("__fold") == i)), len(self.learners), classes).select(F.col("__meta").alias("features"), "label")
+            one = _meta(_with([x.fit(rest) for x in self.learners], dealt.where(F.col("__fold") == i)), len(self.learners), classes).select(F.col("__meta").alias("features"), "label", *seen)
             parts = one if parts is None else parts.unionByName(one)
-        return _Stacked([x.fit(df) for x in self.learners], self.top.fit(cut(parts)), classes)
+        return _Stacked([x.fit(df if few is None else few) for x in self.learners], self.top.fit(cut(parts)), classes)
 
 
 def _score(df: DataFrame) -> Column:

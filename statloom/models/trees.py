@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.models.base import Learner, Model, class_count, dimensions
-from statloom.models.ensemble import Mean, Vote
+from statloom.models.ensemble import Mean, Vote, _few
 
 
 # Impurity of class weights in an array; gains are the parent's less the children's mean.
@@ -205,6 +205,8 @@ class ExtraTree(Learner):
     random decision tree); ``regression`` splits by variance.
     """
 
+    sums = True
+
     def __init__(self, depth: int = 6, features: int | None = None, tries: int = 1, least: float = 2.0, measure: str = "gini", seed: int = 0, regression: bool = False) -> None:
         self.depth, self.features, self.tries, self.least, self.measure, self.seed, self.regression = depth, features, tries, least, measure, seed, regression
 
@@ -269,6 +271,7 @@ class ExtraTrees(Learner):
         self.trees, self.make, self.regression = trees, lambda i: ExtraTree(depth, features, tries=tries, seed=seed * 1000 + i, regression=regression), regression
 
     def fit(self, df: DataFrame) -> Model:
+        df = _few(df, self.make(0))
         models = [self.make(i).fit(df) for i in range(self.trees)]
         return Mean(models) if self.regression else Vote(models, class_count(df), soft=True)
 
