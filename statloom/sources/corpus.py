@@ -37,10 +37,11 @@ def bucket(token: Column, size: int) -> Column:
 
 
 def hashed_vectors(docs: DataFrame, key: str, size: int = 1 << 18, text: str = "text", idf: bool = False) -> DataFrame:
-    """``key, vec``: counts of hashed tokens (those of one number add up); ``idf`` multiplies by ln(documents / documents with it)."""
-    counts = docs.select(key, text).repartition(key).select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, bucket(F.col("token"), size).alias("at")).agg(F.count("*").cast("double").alias("n"))
+    """``key, vec``: counts of hashed tokens (those of one number add up); ``idf`` multiplies by ln(documents / documents with it). Documents without tokens have an empty one."""
+    token = F.col("token")
+    counts = docs.select(key, text).repartition(key).select(key, F.explode_outer(tokens(F.col(text))).alias("token")).groupBy(key, F.when(token.isNotNull(), bucket(token, size)).alias("at")).agg(F.count("*").cast("double").alias("n"))
     if idf:
         total = docs.count()
-        df = counts.groupBy("at").agg(F.count("*").alias("df"))
-        counts = counts.join(F.broadcast(df) if size <= COLUMNS else df, "at").select(key, "at", (F.col("n") * F.log(total / F.col("df"))).alias("n"))
-    return counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("vec"))
+        df = counts.where("at is not null").groupBy("at").agg(F.count("*").alias("df"))
+        counts = counts.join(F.broadcast(df) if size <= COLUMNS else df, "at", "left").select(key, "at", (F.col("n") * F.log(total / F.col("df"))).alias("n"))
+    return counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n")))).alias("vec"))
